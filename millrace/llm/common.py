@@ -50,8 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
-    """Slices record batches so that each holds about `limit` bytes of text (one row at least)."""
+def text_chunks(batches, text: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 20):
+    """Slices record batches so that each holds about `limit` bytes of text and at most `rows` rows (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -61,6 +61,7 @@ def text_chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0.0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            to = min(to, at + rows)
             yield batch.slice(at, to - at)
             at = to
 

@@ -21,7 +21,7 @@ from .tokens import encoder
 
 MAGIC, BLOCK = b"DAC1", 512
 HEAD = struct.Struct("<4sIQ")
-SHARDS = "part int, seq int, doc_ids array<bigint>, ends array<bigint>, n_tokens bigint, code binary"
+SHARDS = "part int, seq int, before bigint, doc_ids array<bigint>, ends array<bigint>, n_tokens bigint, code binary"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -108,18 +108,18 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     def encode(batches):
         from pyspark import TaskContext
 
-        part, enc, seq = TaskContext.get().partitionId(), encoder(path), 0
+        part, enc, seq, before = TaskContext.get().partitionId(), encoder(path), 0, 0
         held: list[tuple] = []
 
         def shard():
-            nonlocal held, seq
+            nonlocal held, seq, before
             ids = np.concatenate([x[2] for x in held])
             ends = np.cumsum(np.concatenate([x[1] for x in held]))
-            row = {"part": [part], "seq": [seq], "doc_ids": [pa.concat_arrays([x[0] for x in held])], "ends": [ends], "n_tokens": [len(ids)], "code": [pack(ids)]}
-            held, seq = [], seq + 1
+            row = {"part": [part], "seq": [seq], "before": [before], "doc_ids": [pa.concat_arrays([x[0] for x in held])], "ends": [ends], "n_tokens": [len(ids)], "code": [pack(ids)]}
+            held, seq, before = [], seq + 1, before + len(ids)
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("code", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("code", pa.binary())])
         for chunk in text_chunks(batches, "t"):
             ids, lens = enc.encode(chunk.column("t"))
             with_end = np.insert(ids, np.cumsum(lens), end_id).astype(np.uint32)
@@ -135,7 +135,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
-    """The shards with `base`, the number of ids in all shards before. Sums of the parts (one row a partition) go to the driver, never rows."""
+    """The shards with `base`, the number of ids in all parts before theirs. Sums of the parts (one row a partition) go to the driver, never rows."""
     spark = shards.sparkSession
     sums = sorted((r.part, r.n) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     before, bases = 0, []
@@ -159,9 +159,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     lo = hi
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(lens, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    from pyspark.sql import Window
-
-    placed = shard_starts(shards).withColumn("before", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
-    slim = shards.select("part", "seq", "doc_ids", "ends", "code")
-    offsets = placed.select("part", "seq", "base", F.coalesce("before", F.lit(0)).alias("before"))
-    return slim.join(offsets, ["part", "seq"]).select("doc_ids", "ends", "code", "base", "before").mapInArrow(rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shard_starts(shards).select("doc_ids", "ends", "code", "base", "before").mapInArrow(rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
