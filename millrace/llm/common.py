@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,6 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """After a table was written, lets the context cleaner delete the exchanges that it came from: it follows the driver's garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for explicit exchanges: what the session is tuned to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, language, mixing, packing, quality, token_counts, token_store
+from . import fingerprints, html_text, language, mixing, packing, quality, substrings, token_counts, token_store
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -43,8 +47,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_fingerprints, op4_best_fit_packing, op5_html_text, op6_quality_rules, op7_language, op8_source_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_store, op2_fingerprints, op3_substring_dedup, op4_best_fit_packing, op5_html_text, op6_quality_rules, op7_language, op8_source_mix, op10_token_counts)}
+
+
+#: Words of every text, for DuckDB.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(len(w) - 34)) AS s FROM d WHERE len(w) >= 35),
+g AS (SELECT doc_id, s, count(*) OVER (PARTITION BY array_to_string(w[s + 1 : s + 35], ' ')) AS c FROM p),
+gone AS (SELECT DISTINCT doc_id, s + o AS i FROM g, range(35) AS t(o) WHERE c > 1),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": _OP3}
