@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, language, mixing, packing, quality, substrings, token_counts, token_store
+from . import fingerprints, html_text, jaccard_join, language, mixing, packing, quality, substrings, token_counts, token_store
 from .common import table
 
 
@@ -42,12 +42,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_fingerprints, op3_substring_dedup, op4_best_fit_packing, op5_html_text, op6_quality_rules, op7_language, op8_source_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_store, op2_fingerprints, op3_substring_dedup, op4_best_fit_packing, op5_html_text, op6_quality_rules, op7_language, op8_source_mix, op9_jaccard_join, op10_token_counts)}
 
 
 #: Words of every text, for DuckDB.
@@ -64,6 +68,18 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, least(len(w), 1)))) AS s FROM d),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[s + 1 : s + 4], ' ') AS k FROM p),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g AS a JOIN g AS b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * o >= 85 * (a.n + b.n - o)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY ALL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3}
+    return {"op3_substring_dedup": _OP3, "op9_jaccard_join": _OP9}
