@@ -169,4 +169,7 @@ def assess(docs: DataFrame, rules=RULES, threshold: float = 0.5, id_col: str = "
 def keep_good(docs: DataFrame, rules=RULES, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows that `assess` keeps, with their own columns: measured once for the fit and once for the verdict, so nothing is written or exchanged but vote counts."""
     marked = voted(docs, rules, text_col)
-    return judge(marked, fit(marked, rules), threshold).where("kept").select("_row.*")
+    model = fit(marked, rules)
+    # A row number keeps the optimizer from moving the filter, and with it copies of all measures, below their projections.
+    held = judge(marked, model, threshold).select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
+    return held.where("kept AND _n >= 0").select("_row.*")
