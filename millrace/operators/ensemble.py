@@ -66,6 +66,14 @@ class RandomForestClassifier(_Forest):
         return ForestClassifierModel(tuple(features), classes, self._grow(rows, features, n, max(1, isqrt(len(features))), params))
 
 
+def _count(votes: str, c: float) -> Column:
+    return F.size(F.filter(votes, lambda x: x == c))
+
+
+def _total(rows: str, c: int) -> Column:
+    return F.aggregate(rows, F.lit(0.0), lambda a, r: a + r[c])
+
+
 @dataclass(frozen=True)
 class ForestClassifierModel:
     features: tuple[str, ...]
@@ -81,7 +89,7 @@ class ForestClassifierModel:
         require(df, self.features)
         votes = F.array(*[t.column(list(self.features), lambda n: F.lit(float(n.value))) for t in self.trees])
         held = df.withColumn("_v", votes)
-        counts = F.array(*[F.size(F.filter("_v", lambda x, c=c: x == c)) for c in self.classes])
+        counts = F.array(*[_count("_v", c) for c in self.classes])
         return held.withColumn("_c", counts).withColumn(output, F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position("_c", F.array_max("_c")) - 1).cast("int"))).drop("_v", "_c")
 
     def predict_probabilities(self, df: DataFrame, output: str = "probability") -> DataFrame:
@@ -89,7 +97,7 @@ class ForestClassifierModel:
         require(df, self.features)
         rows = F.array(*[t.column(list(self.features), lambda n: F.array(*[F.lit(float(x)) for x in n.proba])) for t in self.trees])
         held = df.withColumn("_r", rows)
-        mean = F.array(*[F.aggregate("_r", F.lit(0.0), lambda a, r, c=c: a + r[c]) / len(self.trees) for c in range(len(self.classes))])
+        mean = F.array(*[_total("_r", c) / len(self.trees) for c in range(len(self.classes))])
         return held.withColumn(output, mean).drop("_r")
 
     def score(self, df: DataFrame, label: str = "label") -> float:
