@@ -81,7 +81,7 @@ class KMeans(Config):
                     best = got
         finally:
             d.unpersist()
-        return KMeansModel(tuple(features), tuple(map(tuple, best[0])), best[1], best[2], tuple(map(tuple, best[3])))
+        return KMeansModel(tuple(features), tuple(map(tuple, best[0].tolist())), best[1], best[2], tuple(map(tuple, best[3].tolist())))
 
     def _pick(self, d: DataFrame, p: int, weight: Column, *mark) -> np.ndarray:
         """One row with probability in proportion to its weight: the least of exponential keys, one aggregation."""

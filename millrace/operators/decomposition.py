@@ -30,7 +30,8 @@ class PCA(Config, FitTransformMixin):
         signs = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)])
         vectors = vectors * np.where(signs == 0, 1, signs)[:, None]
         variance, total = values / max(m.n - 1, 1), values.sum()
-        return PCAModel(tuple(features), tuple(m.mean), tuple(map(tuple, vectors[:k])), tuple(variance[:k]), tuple(values[:k] / total if total > 0 else values[:k]), tuple(np.sqrt(values[:k])))
+        ratio = values[:k] / total if total > 0 else values[:k]
+        return PCAModel(tuple(features), tuple(m.mean.tolist()), tuple(map(tuple, vectors[:k].tolist())), tuple(variance[:k].tolist()), tuple(ratio.tolist()), tuple(np.sqrt(values[:k]).tolist()))
 
 
 @dataclass(frozen=True)
