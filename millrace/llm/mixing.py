@@ -184,10 +184,11 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, share:
 
     n_shards = -(-int(quotas.sum()) // shard)
     slots = spark.range(0, n_shards, 1, max(1, min(n_shards, width(spark)))).mapInArrow(draw, "k int, block bigint")
-    times = slots.groupBy("k", "block").agg(F.count("*").alias("times"))
+    # The plan takes slots for as few as the shards that they come from: without the hint it would broadcast them.
+    times = slots.groupBy("k", "block").agg(F.count("*").alias("times")).hint("merge")
     reached = placed.select("u", "k", "b", "n").mapInArrow(parts, "u bigint, k int, block bigint, words bigint")
     taken = reached.join(times, ["k", "block"]).groupBy("u").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return placed.join(taken, "u", "left").select(F.col("i").alias("doc_id"), F.col("n").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.col("s").alias("source"))
+    return placed.join(taken.hint("merge"), "u", "left").select(F.col("i").alias("doc_id"), F.col("n").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.col("s").alias("source"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
