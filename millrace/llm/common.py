@@ -137,9 +137,16 @@ def hashed_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64) * BASE)
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words before each text (one more entry than texts)."""
+#: By byte: A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words before each text (one more entry than texts). lower: A-Z count as a-z."""
     raw, ends = text_bytes(texts)
+    if lower:
+        raw = LOWER[raw]
     starts, stops, offsets = word_spans(raw, ends)
     return hashed_spans(raw, starts, stops), offsets
 

@@ -15,11 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, components, filled, hashed_words, materialize, mix, ragged, release, text_chunks, window_hashes
+from .common import BASE, components, hashed_words, materialize, mix, ragged, release, text_chunks, window_hashes
 
 #: Words of a shingle, threshold in hundredths, dimensions of the points, members of an R-tree cell.
 SHINGLE, PERCENT, DIMS, CELL = 4, 85, 64, 500
@@ -32,7 +31,7 @@ NONE = np.iinfo(np.int64).min
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, and the number before each text (one more entry than texts). A-Z are lower-cased."""
-    words, offsets = hashed_words(pc.ascii_lower(filled(texts)))
+    words, offsets = hashed_words(texts, lower=True)
     n = np.diff(offsets)
     count = np.maximum(n - k + 1, 0)
     every = window_hashes(words, k)
@@ -201,7 +200,9 @@ def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = P
     """Links (a, b) between sets, enough of them that what all links connect is connected."""
     met = known.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     # A key of one set only says nothing; least and greatest are combined before the exchange, however many meet there.
-    hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+    # Written, so that both sides of the join that follows are exchanges which adaptive execution can split.
+    hubs = materialize(met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "hubs")
+    release(hubs)
     meetings = materialize(met.join(hubs, "key").distinct(), "meetings")
     release(meetings)
     nodes = meetings.select("node").distinct()

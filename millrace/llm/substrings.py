@@ -107,7 +107,9 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     keyed = _keyed(docs, id_col, text_col)
     every = materialize(keyed.mapInArrow(_chain_rows(k, m), _CHAINS), "chains")
     # Minimizers that occur twice: counts are combined before the exchange, however common one is.
-    twice = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Written, so that both sides of the join that follows are exchanges which adaptive execution can split.
+    twice = materialize(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "twice")
+    release(twice)
     found = materialize(every.join(twice, "anchor"), "repeated")
     release(found)
     classes = materialize(

@@ -11,16 +11,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np
 import pyarrow as pa
 
-from .common import filled, ragged, text_bytes, word_spans
+from .common import LOWER, filled, ragged, text_bytes, word_spans
 
 #: Distinct words whose ids a worker remembers; beyond that it starts afresh (memory only, never results).
 REMEMBERED = 500_000
 
-#: By byte: marks that a run of letters or digits never holds, ASCII letters and digits, and lower case of A-Z.
-MARKS, ALNUM, FOLD = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+#: By byte: marks that a run of letters or digits never holds, ASCII letters and digits.
+MARKS, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 MARKS[[*b",.;:!?"]] = True
 ALNUM[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
-FOLD[65:91] += 32
 #: Words of lower-case letters up to U+00FF, and the letters by which byte-level files write the bytes that have no letter of their own.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
@@ -147,7 +146,7 @@ class Encoder:
             cuts = np.flatnonzero(cut)
             starts, stops = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([stops, cuts]))
             raw = raw if (special := _near(raw, ord("<"))) is None else raw.copy()
-            lower = FOLD[raw]
+            lower = LOWER[raw]
             if special is not None:  # words that may hold a special token's string stay as they are
                 odd = np.zeros(len(raw) + 1, np.int32)
                 np.cumsum(special, out=odd[1:])
