@@ -161,8 +161,6 @@ def _tree_pairs(percent: int):
             left, right = [], []
             for r in batch.to_pylist():
                 m = r["members"]
-                if len({x["component"] for x in m}) < 2:
-                    continue
                 points = np.frombuffer(b"".join(x["point"] for x in m), np.uint32).reshape(len(m), DIMS).astype(np.int64)
                 sizes = np.array([x["n"] for x in m], np.int64)
                 part, leaf = np.array([x["component"] for x in m]), np.array([x["leaf"] for x in m])
@@ -210,15 +208,22 @@ def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = P
     wanted = first.select("node", F.col("one._a").alias("_a"), F.col("one._b").alias("_b"))
 
     def sets(batches):
+        last = None
         for chunk in text_chunks(batches, "_t"):
+            # Rows of equal id and text give equal sets; sorted as the join leaves them, all but the first go.
+            node = chunk.column("node").to_numpy()
+            new = np.append(node[0] != last, node[1:] != node[:-1])
+            last = node[-1]
+            chunk = chunk.filter(pa.array(new))
+            if chunk.num_rows == 0:
+                continue
             hashes, offsets = shingle_sets(chunk.column("_t"), k)
             points = points_of(hashes, offsets)
             at = offsets.tolist()
             yield pa.RecordBatch.from_arrays([chunk.column("node"), pa.array(np.diff(offsets)), pa.array([p.tobytes() for p in points], pa.binary()), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "n", "point", "s"])
 
-    # Rows of equal id and text give equal sets.
     whole = keyed.join(wanted, ["_a", "_b"]).select("node", "_t").mapInArrow(sets, "node bigint, n bigint, point binary, s binary")
-    whole = materialize(whole.groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("s").alias("s")), "sets")
+    whole = materialize(whole, "sets")
     release(whole)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -243,6 +248,7 @@ def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = P
 
     stars = meetings.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
     tested = verified(bounded(stars), "stars")
+    release(tested)
     linked = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     part = materialize(components(linked), "parts")
     of = lambda c, name: part.select(F.col("node").alias(c), F.col("component").alias(name))
@@ -250,13 +256,16 @@ def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = P
     apart = stars.join(of("x", "cx"), "x", "left").join(of("y", "cy"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select(F.col("x").alias("node"), F.col("y").alias("hub"))
     open_ = meetings.join(apart, ["node", "hub"], "left_semi").select("key").distinct()
     members = meetings.join(open_, "key", "left_semi").select("key", "node")
-    members = members.join(whole.select("node", "n", "point"), "node").join(of("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     cells = members.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("leaves"))
     split = members.join(cells, "key").withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))).withColumn("i", F.least("leaf", "other")).withColumn("j", F.greatest("leaf", "other"))
-    # What met is the same under most keys: equal cells are searched once.
-    cell = split.groupBy("key", "i", "j").agg(F.sort_array(F.collect_set(F.struct("node", "leaf", "component", "n", "point"))).alias("members"))
-    cell = cell.where(F.size("members") > 1).select((F.col("i") == F.col("j")).alias("within"), "members").distinct()
+    # What met is the same under most keys: equal cells are searched once, and only then get their members' points.
+    cell = split.groupBy("key", "leaves", "i", "j").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
+    cell = materialize(cell.select("leaves", "i", "j", "nodes").distinct().withColumn("cell", F.monotonically_increasing_id()), "cells")
+    release(cell)
+    member = cell.select("cell", "leaves", (F.col("i") == F.col("j")).alias("within"), F.explode("nodes").alias("node")).join(of("node", "component"), "node", "left")
+    member = member.join(whole.select("node", "n", "point"), "node").withColumn("component", F.coalesce("component", "node")).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))
+    cell = member.groupBy("cell", "within").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("node", "leaf", "component", "n", "point")).alias("members")).where("lo < hi").select("within", "members")
     late = cell.mapInArrow(_tree_pairs(percent), "x bigint, y bigint").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = verified(late, "late").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return linked.union(more)
