@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from .common import BASE, components, hashed_words, materialize, mix, ragged, release, text_chunks, window_hashes
 
 #: Words of a shingle, threshold in hundredths, dimensions of the points, members of an R-tree cell.
-SHINGLE, PERCENT, DIMS, CELL = 4, 85, 64, 500
+SHINGLE, PERCENT, DIMS, CELL = 4, 85, 128, 500
+
+#: Largest count that a point holds; two such counts bound nothing.
+FULL = (1 << 16) - 1
 
 #: From this size on sets are grouped; the ratio of one size class to the next.
 GROUPED, CLASS = 64, 1.6
@@ -100,7 +103,14 @@ def keys_of(hashes: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) ->
 def points_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts by group, sets by DIMS."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    return np.bincount(owner * DIMS + (hashes >> np.uint64(58)).astype(np.int64), minlength=(len(offsets) - 1) * DIMS).astype(np.uint32).reshape(-1, DIMS)
+    place = owner * DIMS + (hashes >> np.uint64(65 - DIMS.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=(len(offsets) - 1) * DIMS), FULL).astype(np.uint16).reshape(-1, DIMS)
+
+
+def smaller(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima, a bound on the overlap of the sets behind the points; no bound where both counts are full."""
+    least = np.minimum(a, b)
+    return least.sum(1, dtype=np.int64) + (1 << 40) * (least.max(1, initial=0) >= FULL)
 
 
 def profiles(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -144,7 +154,7 @@ class Tree:
             upper, least, most = self.levels[level]
             near = (100 * most[found] >= percent * size) & (percent * least[found] <= 100 * size)
             found = found[near]
-            bound = np.minimum(upper[found], point).sum(1)
+            bound = smaller(upper[found], point)
             found = found[bound >= needed(size, np.maximum(least[found], -(-percent * size // 100)), percent)]
             if level == 0:
                 return self.order[found]
@@ -161,14 +171,17 @@ def _tree_pairs(percent: int):
             left, right = [], []
             for r in batch.to_pylist():
                 m = r["members"]
-                points = np.frombuffer(b"".join(x["point"] for x in m), np.uint32).reshape(len(m), DIMS).astype(np.int64)
+                points = np.frombuffer(b"".join(x["point"] for x in m), np.uint16).reshape(len(m), DIMS)
                 sizes = np.array([x["n"] for x in m], np.int64)
                 part, leaf = np.array([x["component"] for x in m]), np.array([x["leaf"] for x in m])
                 node = [x["node"] for x in m]
-                tree = Tree(points, sizes)
-                for i in range(len(m)):
-                    for j in tree.search(points[i], int(sizes[i]), percent).tolist():
-                        if i < j and part[i] != part[j] and (r["within"] or leaf[i] != leaf[j]):
+                ask = held = np.arange(len(m))
+                if not r["within"]:  # one leaf is searched for the members of the other
+                    ask, held = np.flatnonzero(leaf == leaf.max()), np.flatnonzero(leaf == leaf.min())
+                tree = Tree(points[held], sizes[held])
+                for i in ask.tolist():
+                    for j in held[tree.search(points[i], int(sizes[i]), percent)].tolist():
+                        if part[i] != part[j] and (i < j or not r["within"]):
                             left.append(node[i])
                             right.append(node[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["x", "y"])
@@ -239,9 +252,9 @@ def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = P
 
         def rows(batches):
             for batch in batches:
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, DIMS) for c in ("px", "py"))
+                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, DIMS) for c in ("px", "py"))
                 nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
-                able = np.minimum(p, q).sum(1, dtype=np.int64) >= needed(nx, ny, percent)
+                able = smaller(p, q) >= needed(nx, ny, percent)
                 yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(able)), batch.column("y").filter(pa.array(able))], names=["x", "y"])
 
         return pairs.join(a, "x").join(b, "y").select("x", "y", "nx", "ny", "px", "py").mapInArrow(rows, "x bigint, y bigint")
@@ -255,16 +268,22 @@ def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = P
     # Keys where some document is still apart from the hub: all that met there are compared, through R-trees.
     apart = stars.join(of("x", "cx"), "x", "left").join(of("y", "cy"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select(F.col("x").alias("node"), F.col("y").alias("hub"))
     open_ = meetings.join(apart, ["node", "hub"], "left_semi").select("key").distinct()
-    members = meetings.join(open_, "key", "left_semi").select("key", "node")
-    cells = members.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("leaves"))
-    split = members.join(cells, "key").withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))).withColumn("i", F.least("leaf", "other")).withColumn("j", F.greatest("leaf", "other"))
+    members = meetings.join(open_, "key", "left_semi").select("key", "node").join(of("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = materialize(members, "open")
+    # Documents outside a key's largest component are compared with all others, so its own members are never paired.
+    # Both sides are cut into leaves; a cell is two of them.
+    by_part = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = by_part.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / CELL).cast("int").alias("lm"), F.ceil((F.col("all") - F.col("main.n")) / CELL).cast("int").alias("lo")).where("lo > 0")
+    leaf = F.when(F.col("component") == F.col("main"), -1 - F.pmod(F.xxhash64("node"), F.col("lm"))).otherwise(F.pmod(F.xxhash64("node"), F.col("lo"))).cast("int")
+    split = members.join(main, "key").withColumn("leaf", leaf)
+    split = split.withColumn("other", F.explode(F.sequence(F.when(F.col("leaf") < 0, 0).otherwise(-F.col("lm")), F.col("lo") - 1))).withColumn("i", F.least("leaf", "other")).withColumn("j", F.greatest("leaf", "other"))
     # What met is the same under most keys: equal cells are searched once, and only then get their members' points.
-    cell = split.groupBy("key", "leaves", "i", "j").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
-    cell = materialize(cell.select("leaves", "i", "j", "nodes").distinct().withColumn("cell", F.monotonically_increasing_id()), "cells")
+    cell = split.groupBy("key", "i", "j").agg(F.sort_array(F.collect_set(F.struct("node", "leaf"))).alias("nodes")).where(F.size("nodes") > 1)
+    cell = materialize(cell.select((F.col("i") == F.col("j")).alias("within"), "nodes").distinct().withColumn("cell", F.monotonically_increasing_id()), "cells")
     release(cell)
-    member = cell.select("cell", "leaves", (F.col("i") == F.col("j")).alias("within"), F.explode("nodes").alias("node")).join(of("node", "component"), "node", "left")
-    member = member.join(whole.select("node", "n", "point"), "node").withColumn("component", F.coalesce("component", "node")).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))
+    member = cell.select("cell", "within", F.explode("nodes").alias("m")).select("cell", "within", "m.node", "m.leaf").join(of("node", "component"), "node", "left")
+    member = member.join(whole.select("node", "n", "point"), "node").withColumn("component", F.coalesce("component", "node"))
     cell = member.groupBy("cell", "within").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("node", "leaf", "component", "n", "point")).alias("members")).where("lo < hi").select("within", "members")
     late = cell.mapInArrow(_tree_pairs(percent), "x bigint, y bigint").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = verified(late, "late").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
