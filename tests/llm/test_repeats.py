@@ -136,8 +136,8 @@ def test_groups_odd_tables(spark, docs):
 
 def test_tree_finds_all_that_the_bound_allows():
     r = np.random.default_rng(3)
-    points = r.poisson(2, (200, jaccard_join.DIMS)).astype(np.int64)
-    sizes = points.sum(1)
+    points = r.poisson(2, (200, jaccard_join.DIMS)).astype(np.uint16)
+    sizes = points.sum(1, dtype=np.int64)
     tree = jaccard_join.Tree(points, sizes)
     for i in range(0, 200, 17):
         bound = np.minimum(points, points[i]).sum(1)
