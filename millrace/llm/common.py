@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -43,9 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """After a table was written, lets the context cleaner delete the exchanges that it came from: it follows the driver's garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """After a table was written, lets the context cleaner delete the exchanges that it came from: it follows the driver's garbage.
+
+    What a finished query holds becomes garbage only after its listeners have seen it end, so this is done again after a moment.
+    """
+    for _ in range(3):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def width(spark: SparkSession) -> int:

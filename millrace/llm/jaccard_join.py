@@ -210,11 +210,15 @@ def _overlap(percent: int):
 def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between sets, enough of them that what all links connect is connected."""
     met = known.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    # A key of one set only says nothing; least and greatest are combined before the exchange, however many meet there.
-    # Written, so that both sides of the join that follows are exchanges which adaptive execution can split.
-    hubs = materialize(met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "hubs")
-    release(hubs)
-    meetings = materialize(met.join(hubs, "key").distinct(), "meetings")
+    # A key of one row says nothing; counts are combined before the exchange, however many meet there. They are written,
+    # so that both sides of the join that follows are exchanges which adaptive execution can split.
+    twice = materialize(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "twice")
+    release(twice)
+    shared = materialize(met.join(twice, "key").distinct(), "shared")
+    release(shared)
+    # Copies of one set are one node, so keys that only they have go now.
+    hubs = materialize(shared.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "hubs")
+    meetings = materialize(shared.join(hubs, "key"), "meetings")
     release(meetings)
     nodes = meetings.select("node").distinct()
     first = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_a", "_b")).alias("one"), F.first("n").alias("n"))
