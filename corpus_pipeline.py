@@ -6,32 +6,55 @@ below the shared checkpoint folder and read again.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import jaccard_join, mixing, packing, quality, substrings
-from millrace.llm.common import materialize, table
+from millrace.llm.common import materialize, noted, remove, table
+
+#: Tables that the stage before wrote on its way. Its result has been written and read again by the time the next stage begins.
+_before: list[str] = []
+
+
+def tidy(stage):
+    """Deletes what the stage before left, and notes what this one writes."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _before)
+        _before.clear()
+        with noted(_before):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted rules keep."""
     return quality.keep_good(docs)
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group of near duplicates: shingles of five words, similarity 0.8."""
     return jaccard_join.one_of_each(docs, k=5, percent=80)
 
 
+@tidy
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that occur twice; n_chars follows the text."""
     return substrings.without_repeats(docs)
 
 
+@tidy
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
 
 
+@tidy
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row for each piece of a document, with its sequence and place there."""
     return packing.best_fit(packing.pieces(docs))

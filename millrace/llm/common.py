@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -36,11 +37,43 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Where the tables that are being written are noted, if anywhere.
+_noted: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the shared folder and reads it back: cuts lineage so that lost executors cost no earlier work."""
     path = f"{scratch_root(df.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for paths in _noted:
+        paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+@contextlib.contextmanager
+def noted(paths: list[str]):
+    """Within it, the places of tables that `materialize` writes are added to `paths`."""
+    _noted.append(paths)
+    try:
+        yield
+    finally:
+        _noted.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables, on whatever store they are; those that are gone already are passed over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` wrote and that nothing will read again: what came from them has been written."""
+    for df in tables:
+        remove(df.sparkSession, [df.written_to])
 
 
 def release(df: DataFrame) -> None:
@@ -219,7 +252,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         small_min = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_min, "a")
         nxt = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        cur = materialize(nxt, "star")
+        old, cur = cur, materialize(nxt, "star")
+        discard(old)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, components, hashed_words, materialize, mix, ragged, release, text_chunks, window_hashes
+from .common import BASE, components, discard, hashed_words, materialize, mix, ragged, release, text_chunks, window_hashes
 
 #: Words of a shingle, threshold in hundredths, dimensions of the points, members of an R-tree cell.
 SHINGLE, PERCENT, DIMS, CELL = 4, 85, 128, 500
@@ -207,8 +207,8 @@ def _overlap(percent: int):
     return rows
 
 
-def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between sets, enough of them that what all links connect is connected."""
+def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between sets, enough of them that what all links connect is connected. known: profiles, deleted once read; slim: the same without keys."""
     met = known.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     # A key of one row says nothing; counts are combined before the exchange, however many meet there. They are written,
     # so that both sides of the join that follows are exchanges which adaptive execution can split.
@@ -219,9 +219,10 @@ def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = P
     # Copies of one set are one node, so keys that only they have go now.
     hubs = materialize(shared.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "hubs")
     meetings = materialize(shared.join(hubs, "key"), "meetings")
+    discard(known, twice, shared, hubs)
     release(meetings)
     nodes = meetings.select("node").distinct()
-    first = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_a", "_b")).alias("one"), F.first("n").alias("n"))
+    first = slim.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_a", "_b")).alias("one"), F.first("n").alias("n"))
     wanted = first.select("node", F.col("one._a").alias("_a"), F.col("one._b").alias("_b"))
 
     def sets(batches):
@@ -284,13 +285,15 @@ def links(keyed: DataFrame, known: DataFrame, k: int = SHINGLE, percent: int = P
     split = split.withColumn("other", F.explode(F.sequence(F.when(F.col("leaf") < 0, 0).otherwise(-F.col("lm")), F.col("lo") - 1))).withColumn("i", F.least("leaf", "other")).withColumn("j", F.greatest("leaf", "other"))
     # What met is the same under most keys: equal cells are searched once, and only then get their members' points.
     cell = split.groupBy("key", "i", "j").agg(F.sort_array(F.collect_set(F.struct("node", "leaf"))).alias("nodes")).where(F.size("nodes") > 1)
-    cell = materialize(cell.select((F.col("i") == F.col("j")).alias("within"), "nodes").distinct().withColumn("cell", F.monotonically_increasing_id()), "cells")
+    cells_ = cell = materialize(cell.select((F.col("i") == F.col("j")).alias("within"), "nodes").distinct().withColumn("cell", F.monotonically_increasing_id()), "cells")
     release(cell)
     member = cell.select("cell", "within", F.explode("nodes").alias("m")).select("cell", "within", "m.node", "m.leaf").join(of("node", "component"), "node", "left")
     member = member.join(whole.select("node", "n", "point"), "node").withColumn("component", F.coalesce("component", "node"))
     cell = member.groupBy("cell", "within").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("node", "leaf", "component", "n", "point")).alias("members")).where("lo < hi").select("within", "members")
     late = cell.mapInArrow(_tree_pairs(percent), "x bigint, y bigint").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = verified(late, "late").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = verified(late, "late")
+    discard(whole, meetings, members, cells_, part)
+    more = found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return linked.union(more)
 
 
@@ -304,8 +307,9 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     t = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("_a"), F.xxhash64(t, F.col(id_col).isNull()).alias("_b"), t.alias("_t"))
     known = materialize(profiles(keyed, k, percent), "profiles")
-    part = components(links(keyed, known, k, percent))
-    rows = known.select("_a", "_b", "n", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    slim = materialize(known.select("_a", "_b", "n", "node"), "sizes")
+    part = components(links(keyed, known, slim, k, percent))
+    rows = slim.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(rows.withColumn("id", F.when(F.col("_a") != NONE, F.col("_a"))), "rows")
     least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
     return rows.join(least, "component", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "_a", "_b")
