@@ -164,7 +164,15 @@ class Tree:
 
 
 def _tree_pairs(percent: int):
-    """Of cells (members: node, leaf, component, n, point; within: one leaf or two): pairs of different components that the R-tree lets through."""
+    """Of cells (cell; members: node, leaf, component, n, point, cells; within: one leaf or two): pairs of different components that the R-tree lets through.
+
+    A pair that is compared in several cells comes from the least of them only: `cells` are all of a member's, as three
+    times the cell plus 0 (one leaf), 1 (in the lower one of two) or 2 (in the upper one).
+    """
+
+    def first(x: dict, y: dict) -> int:
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        return min((c for c, side in x.items() if (other := y.get(c)) is not None and (side == 0 or side != other)), default=-1)
 
     def rows(batches):
         for batch in batches:
@@ -177,11 +185,14 @@ def _tree_pairs(percent: int):
                 node = [x["node"] for x in m]
                 ask = held = np.arange(len(m))
                 if not r["within"]:  # one leaf is searched for the members of the other
+                    if leaf.max() == leaf.min():
+                        continue
                     ask, held = np.flatnonzero(leaf == leaf.max()), np.flatnonzero(leaf == leaf.min())
+                of = [{c // 3: c % 3 for c in x["cells"]} for x in m]
                 tree = Tree(points[held], sizes[held])
                 for i in ask.tolist():
                     for j in held[tree.search(points[i], int(sizes[i]), percent)].tolist():
-                        if part[i] != part[j] and (i < j or not r["within"]):
+                        if part[i] != part[j] and (i < j or not r["within"]) and first(of[i], of[j]) == r["cell"]:
                             left.append(node[i])
                             right.append(node[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["x", "y"])
@@ -287,9 +298,11 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
     cell = split.groupBy("key", "i", "j").agg(F.sort_array(F.collect_set(F.struct("node", "leaf"))).alias("nodes")).where(F.size("nodes") > 1)
     cells_ = cell = materialize(cell.select((F.col("i") == F.col("j")).alias("within"), "nodes").distinct().withColumn("cell", F.monotonically_increasing_id()), "cells")
     release(cell)
-    member = cell.select("cell", "within", F.explode("nodes").alias("m")).select("cell", "within", "m.node", "m.leaf").join(of("node", "component"), "node", "left")
-    member = member.join(whole.select("node", "n", "point"), "node").withColumn("component", F.coalesce("component", "node"))
-    cell = member.groupBy("cell", "within").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("node", "leaf", "component", "n", "point")).alias("members")).where("lo < hi").select("within", "members")
+    side = F.when(F.col("within"), 0).when(F.col("m.leaf") == F.col("low"), 1).otherwise(2)
+    member = cell.select("cell", "within", F.array_min(F.col("nodes.leaf")).alias("low"), F.explode("nodes").alias("m")).select("cell", "within", "m.node", "m.leaf", (F.col("cell") * 3 + side).alias("code"))
+    all_cells = member.groupBy("node").agg(F.collect_list("code").alias("cells"))
+    member = member.join(of("node", "component"), "node", "left").join(whole.select("node", "n", "point"), "node").join(all_cells, "node").withColumn("component", F.coalesce("component", "node"))
+    cell = member.groupBy("cell", "within").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("node", "leaf", "component", "n", "point", "cells")).alias("members")).where("lo < hi").select("cell", "within", "members")
     late = cell.mapInArrow(_tree_pairs(percent), "x bigint, y bigint").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     found = verified(late, "late")
     discard(whole, meetings, members, cells_, part)
