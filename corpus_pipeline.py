@@ -38,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every group of near duplicates: shingles of five words, similarity 0.8."""
+    """One row of every group of near duplicates, that of the least id: shingles of five words, similarity 0.8."""
     return jaccard_join.one_of_each(docs, k=5, percent=80)
 
 

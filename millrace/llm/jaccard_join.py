@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, components, discard, hashed_words, materialize, mix, ragged, release, text_chunks, window_hashes
+from .common import BASE, components, discard, hashed_words, materialize, mix, ragged, release, text_chunks, width, window_hashes
 
 #: Words of a shingle, threshold in hundredths, dimensions of the points, members of an R-tree cell.
 SHINGLE, PERCENT, DIMS, CELL = 4, 85, 128, 500
@@ -311,7 +311,7 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id reachable by links), and the row's keys _a, _b.
+    """Per row: doc_id, n_shingles, component_id (least id reachable by links), the row's keys _a, _b, and its component (a node; null: empty set).
 
     Sets are told apart by a 64-bit digest, shingles by a 64-bit hash. Null and empty texts have the empty set and link with
     nothing; fewer words than a shingle's are one shingle; rows without an id link like others and are passed over for the
@@ -325,7 +325,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     rows = slim.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(rows.withColumn("id", F.when(F.col("_a") != NONE, F.col("_a"))), "rows")
     least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
-    return rows.join(least, "component", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "_a", "_b")
+    return rows.join(least, "component", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "_a", "_b", "component")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -333,10 +333,20 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` (doc_id and text among its columns) whose id is the least of their group; rows without an id, and repeats of such rows, stay as they are."""
-    groups = near_groups(docs, k, percent)
-    drop = groups.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND component_id <> doc_id").select("doc_id", "_b").distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    d, g = row.alias("d"), drop.alias("g")
-    match = (F.col("d._row.doc_id") == F.col("g.doc_id")) & (F.xxhash64(F.coalesce(F.col("d._row.text"), F.lit("")), F.lit(False)) == F.col("g._b"))
-    return d.join(g, match, "left_anti").select("_row.*")
+    """One row of every group of `docs` (doc_id and text among its columns), and all rows without words, which link with nothing.
+
+    The row of a group is that of its least id (none: last), then of the least text hash; of rows that are equal in both
+    the one whose other columns hash least.
+    """
+    rows = near_groups(docs, k, percent).where("component IS NOT NULL").groupBy("component", "_a", "_b").agg(F.count("*").alias("c"))
+    rows = materialize(rows, "copies")
+    first = rows.groupBy("component").agg(F.min(F.struct((F.col("_a") == NONE).alias("none"), "_a", "_b")).alias("one"))
+    rows = rows.join(first, "component").withColumn("drop", (F.col("_a") != F.col("one._a")) | (F.col("_b") != F.col("one._b")))
+    marked = materialize(rows.where("drop OR c > 1").select("_a", "_b", "drop"), "marked")
+    a, b = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull())
+    keyed = docs.select(a.alias("_a"), b.alias("_b"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    single = keyed.join(marked.select("_a", "_b"), ["_a", "_b"], "left_anti").select("_row")
+    # Dealt out anew before they are combined, so that a row with very many repeats is not one task's.
+    repeated = keyed.join(marked.where("NOT drop").select("_a", "_b"), ["_a", "_b"], "left_semi").repartition(width(docs.sparkSession))
+    repeated = repeated.groupBy("_a", "_b").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
+    return single.union(repeated).select("_row.*")

@@ -164,6 +164,36 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def repeated_rows():
+    """Groups whose least id is repeated, shared by near copies, or missing in some or all rows."""
+    r = random.Random(12)
+    make = lambda n=200: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    near = lambda w, i: [*w[:i], "edit", *w[i + 1 :]]
+    twice, with_null, shared, nulls, alone = make(), make(), make(), make(), make()
+    groups = {
+        "twice": [(1, twice, "s1"), (1, twice, "s1"), (1, twice, "s2"), (4, twice, "s1")],
+        "with_null": [(None, with_null, "s1"), (2, with_null, "s1"), (None, near(with_null, 50), "s2")],
+        "shared": [(3, shared, "s1"), (3, near(shared, 90), "s1")],
+        "nulls": [(None, nulls, "s1"), (None, nulls, "s1"), (None, near(nulls, 3), "s1")],
+        "alone": [(9, alone, "s1")],
+    }
+    rows = [(d, " ".join(w), "en", s, 0, name, 0, 0) for name, members in groups.items() for d, w, s in members]
+    return rows + [(None, None, None, None, 0, "empty", 0, 0), (8, "", None, None, 0, "empty", 0, 0), (8, "", None, None, 0, "empty", 0, 0)]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = frame(spark, repeated_rows()).select("doc_id", "text", "lang", "source", "n_chars", "kept")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got[name] = docs.collect()
+        assert Counter(r.kept for r in got[name]) == {"twice": 1, "with_null": 1, "shared": 1, "nulls": 1, "alone": 1, "empty": 3}
+        assert {r.kept: (r.doc_id, len(words(r.text))) for r in got[name] if r.kept != "empty"} == {"twice": (1, 200), "with_null": (2, 200), "shared": (3, 200), "nulls": (None, 200), "alone": (9, 200)}
+
+
 DATA = "/root/testdata/sf0.001"
 
 
