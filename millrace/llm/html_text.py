@@ -2,8 +2,9 @@
 
 A page's text nodes are grouped by their root-to-leaf path of block tags. A path's ratios are its text and its
 punctuation per node; both are smoothed along the page, multiplied, and nodes above a share of the spread are taken as
-content. The smallest element that holds nearly all of their text is the article; its blocks are returned in page order
-but for those under elements that a page uses for other things (menus, forms, adverts, comments of readers).
+content. The article is the nearest article or main element around them, else the smallest element that holds all of them
+and the heading before; its blocks are returned in page order but for those under elements that a page uses for other
+things (menus, forms, adverts, comments of readers).
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ NOT_WORDS = frozenset(
     " sidebar sidenav menu menus nav navbar navigation navi breadcrumb breadcrumbs footer topbar masthead comment comments commentlist respond replies reply disqus share sharing social related recommended"
     " widget widgets login signup signin search searchbox toolbar pagination pager copyright legal disclaimer paywall alert toc".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset({"html", "body", "article", "main"})
 
 
@@ -139,10 +141,34 @@ def _smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
+def _shared(around: list[tuple[int, ...]]) -> int:
+    """How many elements from the outermost on are the same around all blocks."""
+    first, last = min(around), max(around)
+    return next((d for d, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))
+
+
+def _declared(tags: list[str]) -> int:
+    """The number of elements down to the last article or main; 0: none."""
+    return max((d + 1 for d, t in enumerate(tags) if t in ("article", "main")), default=0)
+
+
+def _heading(path: str) -> bool:
+    return path.rpartition("/")[2] in HEADINGS
+
+
+def _from_title(able: list, own: list[int]) -> int:
+    """Where the article begins: at the h1 before these blocks, or a heading just before, if they hold none of their own."""
+    if any(able[i][1].endswith("/h1") for i in own):
+        return own[0]
+    title = next((i for i in range(own[0] - 1, -1, -1) if able[i][1].endswith("/h1")), -1)
+    if title < 0 and own[0] and not _heading(able[own[0]][1]) and _heading(able[own[0] - 1][1]):
+        title = own[0] - 1
+    return own[0] if title < 0 else title
+
+
 def content(page: str, level: float = 0.5, whole: float = 0.9) -> list[str]:
-    """The article's blocks. level: threshold in standard deviations; whole: share of content text that the article's element holds."""
-    found = blocks(page)
-    able = [b for b in found if b[4] and b[3] * 2 < max(1, len(b[2]))]  # no menus of links
+    """The article's blocks. level: threshold in standard deviations; whole: share of content text from which on a page's article and main elements are taken at their word."""
+    able = [b for b in blocks(page) if b[4] and b[3] * 2 < max(1, len(b[2]))]  # no menus of links
     if not able:
         return []
     chars, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -156,20 +182,19 @@ def content(page: str, level: float = 0.5, whole: float = 0.9) -> list[str]:
     mean = sum(fused) / len(fused)
     spread = (sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5
     taken = [b for b, f in zip(able, fused) if f >= min(level * spread, max(fused))] or able
-    weight: dict[int, int] = defaultdict(int)
-    for around, _, text, _, _ in taken:
-        for i in around:
-            weight[i] += len(text)
-    total, deep = sum(len(b[2]) for b in taken), {}
-    for around, *_ in taken:
-        for d, i in enumerate(around):
-            deep[i] = d
-    article = max((i for i in weight if weight[i] >= whole * total), key=lambda i: (deep[i], weight[i]))
-    # A lone block is no article: its neighbours in the same element belong to it.
-    if any(b[0][-1] == article for b in taken):
-        own = next(b[0] for b in taken if b[0][-1] == article)
-        article = own[-2] if len(own) > 1 else own[-1]
-    return [b[2] for b in able if article in b[0]]
+    marked = [b for b in taken if _declared(b[1].split("/"))]
+    if marked and sum(len(b[2]) for b in marked) >= whole * sum(len(b[2]) for b in taken):
+        taken = marked
+    depth = _shared([b[0] for b in taken])
+    around, tags = taken[0][0], taken[0][1].split("/")
+    inside = _declared(tags[:depth])
+    if inside:
+        return [b[2] for b in able if b[0][:inside] == around[:inside]]
+    # No article or main element is around all. A lone block is no article: its neighbours in the same element belong to it.
+    if depth > 1 and any(len(b[0]) == depth for b in taken):
+        depth -= 1
+    own = [i for i, b in enumerate(able) if b[0][:depth] == around[:depth]]
+    return [b[2] for b in able[_from_title(able, own) : own[-1] + 1]]
 
 
 def main_text(page: str) -> str:

@@ -88,6 +88,26 @@ def test_html_without_article_elements():
     assert html_text.content(page) == ["Title", "Long text of the page, with points. And more of it, and more, to the end.", "Yes."]
 
 
+LINES = [f"Line {i} of the text, which is long enough to be content, with points. And commas, of course." for i in range(10)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in LINES)
+ITEMS = "".join(f"<li>{x}</li>" for x in LINES)
+
+
+@pytest.mark.parametrize(
+    "page,before,after",
+    [
+        (f"<article><header><h1>Title</h1></header><div class=body>{PARAGRAPHS}</div></article>", ["Title"], []),
+        (f"<article><h1>Title</h1><p>Intro.</p><ul>{ITEMS}</ul></article>", ["Title", "Intro."], []),
+        (f"<article><section>{PARAGRAPHS}</section><section><p>A short end.</p></section></article>", [], ["A short end."]),
+        (f"<body><div><div>{PARAGRAPHS}</div><div><p>{LINES[0]}</p></div></div></body>", [], LINES[:1]),
+        (f"<body><div id=menu><a href=/>x</a></div><div><div><h1>Title</h1><p>By me.</p></div><div class=text>{PARAGRAPHS}</div></div></body>", ["Title", "By me."], []),
+        (f"<body><main><article>{PARAGRAPHS}</article></main><div><p>Elsewhere.</p></div></body>", [], []),
+    ],
+)
+def test_html_whole_article(page, before, after):
+    assert html_text.content(page) == before + LINES + after
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "y")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
