@@ -152,6 +152,11 @@ def _declared(tags: list[str]) -> int:
     return max((d + 1 for d, t in enumerate(tags) if t in ("article", "main")), default=0)
 
 
+def _linked(block: tuple) -> bool:
+    """Whether half or more of the block is links."""
+    return block[3] * 2 >= max(1, len(block[2]))
+
+
 def _heading(path: str) -> bool:
     return path.rpartition("/")[2] in HEADINGS
 
@@ -168,7 +173,9 @@ def _from_title(able: list, own: list[int]) -> int:
 
 def content(page: str, level: float = 0.5, whole: float = 0.9) -> list[str]:
     """The article's blocks. level: threshold in standard deviations; whole: share of content text from which on a page's article and main elements are taken at their word."""
-    able = [b for b in blocks(page) if b[4] and b[3] * 2 < max(1, len(b[2]))]  # no menus of links
+    found = [b for b in blocks(page) if b[4]]
+    # Blocks of links don't decide where the article is, but for one that has no others.
+    able = [b for b in found if not _linked(b)] or [b for b in found if _declared(b[1].split("/"))]
     if not able:
         return []
     chars, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -189,12 +196,17 @@ def content(page: str, level: float = 0.5, whole: float = 0.9) -> list[str]:
     around, tags = taken[0][0], taken[0][1].split("/")
     inside = _declared(tags[:depth])
     if inside:
-        return [b[2] for b in able if b[0][:inside] == around[:inside]]
+        return [b[2] for b in found if b[0][:inside] == around[:inside]]
     # No article or main element is around all. A lone block is no article: its neighbours in the same element belong to it.
     if depth > 1 and any(len(b[0]) == depth for b in taken):
         depth -= 1
-    own = [i for i, b in enumerate(able) if b[0][:depth] == around[:depth]]
-    return [b[2] for b in able[_from_title(able, own) : own[-1] + 1]]
+    own = [i for i, b in enumerate(found) if b[0][:depth] == around[:depth]]
+    begin, end = _from_title(found, own), own[-1] + 1
+    # What is taken may be the page itself, or lie beside the article: lists of nothing but links are its menus there.
+    page_wide = tags[depth - 1] in ("", "html", "body")
+    texts = {b[0][: depth + 1] for b in able} if page_wide else set()
+    menu = lambda i, b: _linked(b) and not _heading(b[1]) and (i < own[0] or page_wide and b[0][: depth + 1] not in texts)
+    return [b[2] for i, b in enumerate(found[begin:end], begin) if not menu(i, b)]
 
 
 def main_text(page: str) -> str:

@@ -108,6 +108,20 @@ def test_html_whole_article(page, before, after):
     assert html_text.content(page) == before + LINES + after
 
 
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<body><main><div>{}</div></main></body>", "<body><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul><div>{}</div></body>"])
+def test_html_links_in_the_article(around):
+    """A title that is a permalink, a short paragraph and references that are links; menus beside it stay out."""
+    inner = f"<h1><a href=/1>Title</a></h1>{PARAGRAPHS}<p>See <a href=/2>this longer one</a>.</p><ul><li><a href=/3>First reference</a></li><li><a href=/4>Second reference</a></li></ul>"
+    assert html_text.content(around.format(inner)) == ["Title", *LINES, "See this longer one.", "First reference", "Second reference"]
+
+
+def test_html_links_around_the_article():
+    page = f"<body><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul><h2><a href=/1>Title</a></h2>{PARAGRAPHS}<div><p><a href=/c>Next</a></p></div></body>"
+    assert html_text.content(page) == ["Title", *LINES]
+    assert html_text.content("<ul><li><a href=/>Home</a></li></ul><article><h1><a href=/1>Title</a></h1><p><a href=/2>All of it</a></p></article>") == ["Title", "All of it"]
+    assert html_text.content("<ul><li><a href=/>Home</a></li></ul>") == []
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "y")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
