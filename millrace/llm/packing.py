@@ -1,9 +1,9 @@
 """Best-fit packing by swap-based local search (operator 4).
 
 Pieces are dealt to groups of a fixed size by hash, so every group is one bounded task however many there are. A group
-starts from best-fit decreasing and then tries to empty its least-filled bins: pieces move to, or are exchanged one for
-one and two for one with, other underfull bins whenever that raises the sum of squared fills; freed space lets a bin's
-pieces go until it is empty.
+starts from best-fit decreasing; where that is above the lower bound, pieces move to, or are exchanged one for one and two
+for one with, other underfull bins until no such step raises the sum of squared fills, which empties bins. Partners come
+from an index by what a bin holds without the pieces that it gives up.
 """
 
 from __future__ import annotations
@@ -49,39 +49,91 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_
 
 
 class Bins:
-    """Underfull bins of one group, ordered by free space."""
+    """Bins of one group. `order`: by free space, for best fit. `rest`: by fill that remains without nothing, one or two of a bin's pieces: the sum of these and the bin; of underfull bins, for exchanges."""
 
     def __init__(self, size: int):
         self.size, self.items, self.free, self.order = size, [], [], []
-
-    def add(self, k: int, item: tuple[int, int]):
-        self.order.pop(bisect_left(self.order, (self.free[k], k)))
+        self.rest: list[list[tuple[int, int]]] | None = None
+
+    def put(self, item: tuple[int, int]):
+        """Best fit."""
+        at = bisect_left(self.order, (item[0], -1))
+        if at < len(self.order):
+            free, k = self.order.pop(at)
+        else:
+            free, k = self.size, len(self.items)
+            self.items.append([])
+            self.free.append(free)
         self.items[k].append(item)
-        self.free[k] -= item[0]
-        insort(self.order, (self.free[k], k))
-
-    def drop(self, k: int, item: tuple[int, int]):
-        self.order.pop(bisect_left(self.order, (self.free[k], k)))
-        self.items[k].remove(item)
-        self.free[k] += item[0]
+        self.free[k] = free - item[0]
         insort(self.order, (self.free[k], k))
 
-    def open(self) -> int:
-        self.items.append([])
-        self.free.append(self.size)
-        insort(self.order, (self.size, len(self.free) - 1))
-        return len(self.free) - 1
-
-    def fit(self, need: int, but: int = -1) -> int:
-        """The bin with the least free space that holds `need`, other than `but`; -1: none."""
-        at = bisect_left(self.order, (need, -1))
-        while at < len(self.order) and self.order[at][1] == but:
-            at += 1
-        return self.order[at][1] if at < len(self.order) else -1
-
-
-def pack(lengths: np.ndarray, size: int, rounds: int = 4, tries: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of every length: best-fit decreasing, then local search. `tries`: partner bins looked at for one piece."""
+    def index(self):
+        self.rest = [[] for _ in range(self.size + 1)]
+        for k in range(len(self.items)):
+            self._enter(k, insort)
+
+    def _enter(self, k: int, how):
+        if not self.free[k] or not self.items[k]:
+            return
+        fill = self.size - self.free[k]
+        for s in self.sums(k):
+            how(self.rest[fill - s], (s, k))
+
+    def sums(self, k: int) -> dict[int, list[tuple[int, int]]]:
+        """What the bin can give up, by the sum: nothing, one piece or two."""
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for item in self.items[k]:
+            by_size.setdefault(item[0], []).append(item)
+        out: dict[int, list[tuple[int, int]]] = {0: []}
+        sizes = sorted(by_size)
+        for n in sizes:
+            out[n] = [by_size[n][0]]
+        for i, n in enumerate(sizes):
+            if len(by_size[n]) > 1:
+                out.setdefault(2 * n, by_size[n][:2])
+            for m in sizes[i + 1 :]:
+                out.setdefault(n + m, [by_size[n][0], by_size[m][0]])
+        return out
+
+    def exchange(self, k: int, item: tuple[int, int]) -> bool:
+        """Gives a piece of bin k to the bin that gets fullest by it, for nothing, one or two pieces of less in sum, if the sum of squared fills rises.
+
+        The sum of both fills stays, so it rises exactly if the partner gets fuller than k was.
+        """
+        n = item[0]
+        for left in range(self.size - n, self.size - self.free[k] - n, -1):
+            for s, j in self.rest[left][:2]:  # a bin is there once, so one of two isn't k
+                if s >= n:
+                    break
+                if j != k:
+                    back = self.sums(j)[s]
+                    self._enter(k, _leave)
+                    self._enter(j, _leave)
+                    self.items[k].remove(item)
+                    for other in back:
+                        self.items[j].remove(other)
+                    self.items[k] += back
+                    self.items[j].append(item)
+                    self.free[k] += n - s
+                    self.free[j] -= n - s
+                    self._enter(k, insort)
+                    self._enter(j, insort)
+                    return True
+        return False
+
+
+def _leave(entries: list, entry: tuple[int, int]):
+    entries.pop(bisect_left(entries, entry))
+
+
+def lower_bound(lengths: np.ndarray, size: int) -> int:
+    """No packing has fewer bins: all tokens need room, and no two pieces above half a bin share one."""
+    return max(-(-int(lengths.sum()) // size), int((2 * lengths > size).sum()))
+
+
+def pack(lengths: np.ndarray, size: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of every length: best-fit decreasing, then local search until no exchange raises the sum of squared fills, or no packing has fewer bins. rounds: passes over all bins at most; None: as many as it takes."""
     bins = Bins(size)
     whole, items = [], []
     for i in np.argsort(-lengths, kind="stable").tolist():
@@ -90,19 +142,22 @@ def pack(lengths: np.ndarray, size: int, rounds: int = 4, tries: int = 400) -> t
             whole.append(i)
             continue
         items.append((n, i))
-        k = bins.fit(n)
-        bins.add(bins.open() if k < 0 else k, (n, i))
-    least = -(-sum(n for n, _ in items) // size)
-    for _ in range(rounds):
-        before = sum(1 for x in bins.items if x)
-        if before <= least:
-            break
+        bins.put((n, i))
+    least, count, moved, done = lower_bound(np.array([n for n, _ in items], np.int64), size), len(bins.items), True, 0
+    while moved and count > least and done != rounds:
+        if not done:
+            bins.index()
+        moved, done = False, done + 1
         # The emptiest bins first: what they hold must go elsewhere.
-        for k in [k for f, k in sorted(bins.order, key=lambda x: (-x[0], x[1])) if bins.items[k]][: max(8, before // 20)]:
+        for k in sorted(range(len(bins.items)), key=lambda k: (-bins.free[k], k)):
             for item in sorted(bins.items[k], reverse=True):
-                _place(bins, k, item, tries)
-        if sum(1 for x in bins.items if x) == before:
-            break
+                if bins.free[k] and bins.exchange(k, item):
+                    moved = True
+            if not bins.items[k] and bins.free[k] == size:
+                bins.free[k] = 0  # closed
+                count -= 1
+                if count <= least:
+                    break
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     full = [x for x in bins.items if x]
     for k, held in enumerate(full):
@@ -114,51 +169,6 @@ def pack(lengths: np.ndarray, size: int, rounds: int = 4, tries: int = 400) -> t
     return bin_of, offset
 
 
-def _place(bins: Bins, k: int, item: tuple[int, int], tries: int) -> bool:
-    """Moves a piece out of bin k, or exchanges it for less, where that raises the sum of squared fills."""
-    n = item[0]
-    fill = bins.size - bins.free[k]
-    j = bins.fit(n, but=k)
-    if j >= 0 and bins.size - bins.free[j] + n > fill:  # move
-        bins.drop(k, item)
-        bins.add(j, item)
-        return True
-    # One for one: a smaller piece comes back, and the partner gets fuller. Two for one: two smaller pieces come back.
-    at = len(bins.order) - 1
-    for _ in range(min(tries, len(bins.order))):
-        free, j = bins.order[at]
-        at -= 1
-        if free == 0 or at < 0:
-            break
-        if j == k or not bins.items[j] or bins.size - free <= fill:
-            continue
-        best = None
-        held = sorted(bins.items[j])
-        for x, other in enumerate(held):
-            gain = n - other[0]
-            if 0 < gain <= free and (best is None or gain > best[0]):
-                best = (gain, [other])
-            for second in held[x + 1 :]:
-                gain = n - other[0] - second[0]
-                if gain <= 0:
-                    break
-                if gain <= free and (best is None or gain > best[0]):
-                    best = (gain, [other, second])
-        if best:
-            bins.drop(k, item)
-            for other in best[1]:
-                bins.drop(j, other)
-                bins.add(k, other)
-            bins.add(j, item)
-            for other in sorted(best[1], reverse=True):  # what came back is smaller and may now fit elsewhere
-                m = bins.fit(other[0], but=k)
-                if m >= 0 and bins.size - bins.free[m] + other[0] > bins.size - bins.free[k]:
-                    bins.drop(k, other)
-                    bins.add(m, other)
-            return True
-    return False
-
-
 def best_fit(cut: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to the rows of `cut` (with `length`, at most size): packed per hashed group of about `group` pieces.
 

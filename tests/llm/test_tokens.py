@@ -130,6 +130,22 @@ def test_search_empties_bins():
     assert len(set(packing.pack(lengths, 10)[0].tolist())) == 3
 
 
+def test_search_ends_where_no_exchange_raises_squared_fill():
+    lengths = np.random.default_rng(0).integers(250, 600, 400)
+    bins, _ = packing.pack(lengths, 1000)
+    held = [lengths[bins == b].tolist() for b in sorted(set(bins.tolist()))]
+    assert len(held) > packing.lower_bound(lengths, 1000)
+    for k, mine in enumerate(held):
+        for j, other in enumerate(held):
+            back = [0, *other, *(x + y for i, x in enumerate(other) for y in other[i + 1 :])]
+            assert j == k or not any(s < n and sum(mine) < sum(other) + n - s <= 1000 for n in mine for s in back)
+
+
+def test_search_reaches_the_lower_bound():
+    lengths = np.random.default_rng(0).integers(20, 700, 400)
+    assert len(set(packing.pack(lengths, 1000)[0].tolist())) == packing.lower_bound(lengths, 1000)
+
+
 def test_counts(spark, docs, rows, tok):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, limit=100).collect())
     want = sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()), len(ids(tok, r[1])), len(ids(tok, r[1])) > 100) for r in rows)
