@@ -12,8 +12,8 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,16 +172,20 @@ def pack(lengths: np.ndarray, size: int, rounds: int | None = None) -> tuple[np.
 def best_fit(cut: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to the rows of `cut` (with `length`, at most size): packed per hashed group of about `group` pieces.
 
-    Rows of equal content are told apart by a number of their own; full pieces take a sequence each. Empty in, empty out.
+    Rows are dealt by a written number of their own too, so rows of equal or no id are spread like others; full pieces take a
+    sequence each. Empty in, empty out.
     """
-    cut = materialize(cut, "pieces")
-    groups = max(1, -(-cut.count() // group))
+    columns = cut.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
+    cut = materialize(cut.withColumn("_n", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-cut.count() // group))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c for c in pdf.columns if c != "length"], kind="stable", na_position="first").reset_index(drop=True)
-        bin_of, offset = pack(pdf["length"].to_numpy(), size)
-        return pdf.assign(sequence_id=bin_of * groups + pdf["_g"], offset=offset).drop(columns="_g")
+    def solve(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in rows.column_names if c != "length"], null_placement="at_start")
+        rows = rows.take(order)
+        bin_of, offset = pack(rows["length"].to_numpy(), size)
+        numbers = bin_of * groups + rows["_g"].to_numpy()
+        return rows.select(columns).append_column("sequence_id", pa.array(numbers, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     # Hash partitioning of few numbers is uneven, so groups are a hash of the rows; each is one task's.
-    return cut.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).groupBy("_g").applyInPandas(solve, schema)
+    return cut.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "_n"), F.lit(groups))).groupBy("_g").applyInArrow(solve, schema)

@@ -111,6 +111,16 @@ def test_packing_odd_tables(spark, docs, rows):
     assert {r.doc_id for r in got} == {r[0] for r in rows}
 
 
+def test_packing_spreads_rows_without_ids(spark):
+    """Rows of no id and of one id go to many groups; ids stay exact beside nulls."""
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(None, "a b c")] * 300 + [(big, "d e")] * 300, "doc_id long, text string")
+    got = packing.best_fit(packing.pieces(docs), group=30).collect()
+    assert Counter(r.doc_id for r in got) == {None: 300, big: 300}
+    groups = Counter(r.sequence_id % 20 for r in got)
+    assert len(groups) == 20 and max(groups.values()) <= 60
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_local_search_beats_best_fit(seed):
     """Never more bins than best-fit decreasing alone, and sound."""
