@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..core import Config, ConvergenceWarning, InvalidParameterError, require
 from ..functions.rng import key
-from ..plans.frame import checked, number, scratch
+from ..plans.frame import checked, number
+from ..plans.scratch import materialize
 
 
 def squared_distance(features, center) -> Column:
@@ -71,7 +72,7 @@ class KMeans(Config):
         if not 0 < self.n_clusters <= n:
             raise InvalidParameterError("n_clusters must lie between 1 and the number of rows")
         d = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(features)])
-        d = scratch(d, "kmeans").cache()
+        d = materialize(d, "kmeans").cache()
         try:
             best = None
             for run in range(1 if init is not None else max(1, self.n_init)):
@@ -169,28 +170,28 @@ class DBSCAN(Config):
             raise InvalidParameterError("eps and min_samples must be positive")
         checked(df, [*features, row_id])
         p = len(features)
-        x = scratch(df.select(F.col(row_id).cast("long").alias("i"), *[number(c).alias(f"x{k}") for k, c in enumerate(features)]), "dbscan")
+        x = materialize(df.select(F.col(row_id).cast("long").alias("i"), *[number(c).alias(f"x{k}") for k, c in enumerate(features)]), "dbscan")
         y = x.select(F.col("i").alias("j"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(p)])
-        near = scratch(_grid_join(x, y, p, self.eps).select("i", "j"), "near")
+        near = materialize(_grid_join(x, y, p, self.eps).select("i", "j"), "near")
         core = near.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select("i")
-        core = scratch(core, "core")
+        core = materialize(core, "core")
         both = near.join(core, "i", "left_semi").join(core.select(F.col("i").alias("j")), "j", "left_semi").where("i <> j").select("i", "j")
-        label = _min_labels(core, scratch(both, "edges"))
+        label = _min_labels(core, materialize(both, "edges"))
         order = label.select("c").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("c")) - 1).cast("int"))  # a row a cluster
-        cores = scratch(label.join(order, "c").select("i", "cluster"), "cores")
+        cores = materialize(label.join(order, "c").select("i", "cluster"), "cores")
         reach = near.join(cores.select(F.col("i").alias("j"), "cluster"), "j").groupBy("i").agg(F.min("cluster").alias("reach"))
         labels = x.select("i").join(cores, "i", "left").join(reach, "i", "left").select(F.col("i").alias(row_id), F.coalesce("cluster", "reach", F.lit(-1)).alias("label"))
-        return DBSCANModel(tuple(features), self.eps, row_id, scratch(x.join(cores, "i"), "model"), scratch(labels, "labels"))
+        return DBSCANModel(tuple(features), self.eps, row_id, materialize(x.join(cores, "i"), "model"), materialize(labels, "labels"))
 
 
 def _min_labels(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
     """(i, c): least node connected to each, by neighbours' least labels and then the labels' own labels, which halves the way each round."""
-    cur = scratch(nodes.select("i", F.col("i").alias("c")), "labels")
+    cur = materialize(nodes.select("i", F.col("i").alias("c")), "labels")
     for _ in range(limit):
         near = edges.join(cur.select(F.col("i").alias("j"), "c"), "j").groupBy("i").agg(F.min("c").alias("m"))
         step = cur.join(near, "i", "left").select("i", F.least("c", F.coalesce("m", "c")).alias("n"), "c")
         jump = step.join(step.select(F.col("i").alias("n"), F.col("n").alias("nn")), "n", "left")
-        nxt = scratch(jump.select("i", F.least("n", F.coalesce("nn", "n")).alias("c"), F.col("c").alias("was")), "labels")
+        nxt = materialize(jump.select("i", F.least("n", F.coalesce("nn", "n")).alias("c"), F.col("c").alias("was")), "labels")
         cur = nxt.select("i", "c")
         if nxt.where("c <> was").isEmpty():
             return cur

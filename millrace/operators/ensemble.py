@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..core import Config, InvalidParameterError, require
 from ..functions.rng import key, uniform
 from ..plans.cart import Node, Params, grow, importances
-from ..plans.frame import checked, number, numbered, scratch
+from ..plans.frame import checked, number, numbered
+from ..plans.scratch import discard, materialize
 from . import metrics
 from .tree import class_rows, validated
 
@@ -157,7 +158,7 @@ class _Boosting(Config):
         names = list(features)
         if self.subsample < 1:
             rows = numbered(rows, [F.xxhash64(*rows.columns), *[F.col(f"`{c}`") for c in rows.columns]], "i")
-        state = scratch(rows, "boost")
+        state = materialize(rows, "boost")
         for t in range(self.n_trees):
             part = state.withColumn("r", residual)
             if self.subsample < 1:
@@ -167,7 +168,9 @@ class _Boosting(Config):
             trees.append(root)
             if t + 1 < self.n_trees:
                 step = root.column(names, lambda x: F.lit(float(x.value)))
-                state = scratch(state.withColumn("raw", F.col("raw") + F.lit(self.learning_rate) * step), "boost")
+                old, state = state, materialize(state.withColumn("raw", F.col("raw") + F.lit(self.learning_rate) * step), "boost")
+                discard(old)
+        discard(state)
         return tuple(trees)
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..core import EmptyInputError, InvalidParameterError, require
 from ..functions.rng import key
-from ..plans.frame import number, numbered, scratch
+from ..plans.frame import number, numbered
+from ..plans.scratch import materialize
 from ..plans.gram import Moments, moments
 from . import metrics
 
@@ -86,7 +87,7 @@ class StratifiedKFold:
 
 def folds(df: DataFrame, cv: int, seed: int, row_id: str) -> DataFrame:
     """Shuffled folds, written once."""
-    return scratch(KFold(cv, True, seed).split(df, row_id), "folds")
+    return materialize(KFold(cv, True, seed).split(df, row_id), "folds")
 
 
 def cross_val_score(estimator, df: DataFrame, features: list[str], label: str = "label", cv: int = 5, scorer="r2", seed: int = 0, row_id: str = "row_id", prepared: DataFrame | None = None) -> list[float]:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import Config, InvalidParameterError, require
-from ..plans.frame import checked, number, scratch
+from ..plans.frame import checked, number
+from ..plans.scratch import materialize
 from . import metrics
 
 #: Rows of a training block, and bytes up to which all blocks travel to every task.
@@ -39,7 +40,7 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, x: Column, train_id
     n = train.count() if n is None else n
     p = len(train.select(x.alias("x")).first()["x"]) if n else 1
     q = queries.select(F.col(query_id).cast("long").alias("q"), x.alias("x"))
-    blocks = scratch(_blocks(train, train_id, x, n), "train")
+    blocks = materialize(_blocks(train, train_id, x, n), "train")
 
     def nearest(ids: np.ndarray, t: np.ndarray, qs: np.ndarray, qx: np.ndarray):
         d = np.zeros((len(qx), len(t)))
@@ -99,7 +100,7 @@ class _Config(Config):
         n = checked(df, features, label)
         weights = _valid(self.k, self.weights, n)
         rows = df.select(F.col(row_id).cast("long").alias("row_id"), *[number(c).alias(c) for c in features], number(label).alias("label"))
-        return scratch(rows, "knn"), weights, n
+        return materialize(rows, "knn"), weights, n
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frame import scratch
+from .scratch import discard, materialize
 
 #: Ranges of values within a feature.
 RANGES = 64
@@ -82,7 +82,7 @@ def grow(rows: DataFrame, features: list[str], p: Params, allowed: dict[int, lis
     weights = [F.col("w") * (F.col("y") == c).cast("double") for c in range(k)] if k else [F.col("w") * F.col("y"), F.col("w") * F.col("y") * F.col("y")]
     names = [f"s{i}" for i in range(len(weights))]
     keys = ["tree", "node"]
-    data = scratch(rows.withColumn("node", F.lit(1).cast("long")), "cart")
+    data = materialize(rows.withColumn("node", F.lit(1).cast("long")), "cart")
     bounds = data.select(*[F.percentile_approx(F.col(f"`{f}`"), [i / RANGES for i in range(1, RANGES)], 2000) for f in features]).first()
     bounds = [sorted(set(b or [])) for b in bounds]
     trees: dict[int, Node] = {}
@@ -110,17 +110,20 @@ def grow(rows: DataFrame, features: list[str], p: Params, allowed: dict[int, lis
             if r.lo != r.hi and r.n >= p.min_samples_split and not 0 <= p.max_depth <= depth:
                 split_ids.append((r.tree, r.node))
         if not split_ids:
+            discard(data)
             return trees
         best = _splits(data, features, bounds, names, weights, p, allowed, {r.tree: None for r in stats}, split_ids)
         for r in best:
             node = at[r.tree, r.node]
             node.feature, node.threshold, node.gain = r.feature, r.threshold, r.gain
         if not best:
+            discard(data)
             return trees
         spark = rows.sparkSession
         table = spark.createDataFrame([(r.tree, r.node, r.feature, r.threshold) for r in best], "tree int, node long, feature int, threshold double")
         x = F.get(F.array(*[F.col(f"`{f}`") for f in features]), F.col("feature"))
-        data = scratch(data.join(table, keys).withColumn("node", F.col("node") * 2 + F.when(x <= F.col("threshold"), 0).otherwise(1)).drop("feature", "threshold"), "cart")
+        old, data = data, materialize(data.join(table, keys).withColumn("node", F.col("node") * 2 + F.when(x <= F.col("threshold"), 0).otherwise(1)).drop("feature", "threshold"), "cart")
+        discard(old)
         depth += 1
 
 

@@ -1,14 +1,12 @@
-"""Helpers over DataFrames: doubles, row numbers without a global sort in one task, scratch tables."""
+"""Helpers over DataFrames: doubles, row numbers without a global sort in one task."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core import EmptyInputError, InvalidParameterError, require
+from .scratch import materialize
 
 
 def number(name: str) -> Column:
@@ -27,18 +25,6 @@ def checked(df: DataFrame, features: list[str], *more: str) -> int:
     return n
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the folder that executors share (spark.checkpoint.dir; a temporary one only where unset) and reads it back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -49,7 +35,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFr
     keyed = [o.alias(f"_o{i}") for i, o in enumerate(order)]
     keys = [f"_o{i}" for i in range(len(order))]
     ranged = df.select("*", *keyed).repartitionByRange(partitions(spark), *keys).withColumn("_p", F.spark_partition_id())
-    held = scratch(ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*keys))), "numbered")
+    held = materialize(ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*keys))), "numbered")
     sizes = {r["_p"]: r["n"] for r in held.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     before, bases = 0, []
     for p in sorted(sizes):

@@ -21,7 +21,7 @@ from .operators.pipeline import Pipeline, estimator_step, transform_step
 from .operators.preprocessing import LabelEncoder, MinMaxScaler, OneHotEncoder, SimpleImputer, StandardScaler
 from .operators.sparse import Sparse
 from .operators.tree import DecisionTreeClassifier, DecisionTreeRegressor
-from .plans.frame import scratch
+from .plans.scratch import materialize
 from .sources.datasets import make_blobs, make_classification, make_regression
 from .sources.persistence import load_json, load_msgpack, load_native, save_json, save_msgpack, save_native
 
@@ -753,7 +753,7 @@ def model_round_trip(spark, d):
     text, raw = io.StringIO(), io.BytesIO()
     save_json(text, m)
     save_msgpack(raw, m)
-    folder = scratch(spark.range(1), "model").inputFiles()[0].rsplit("/", 1)[0] + "-saved"
+    folder = materialize(spark.range(1), "model").inputFiles()[0].rsplit("/", 1)[0] + "-saved"
     save_native(spark, folder, m)
     text.seek(0)
     raw.seek(0)
@@ -772,7 +772,7 @@ def stream_standard_scaler(spark, d):
 
     df = items(spark, d)
     m = StandardScaler().fit(df, _THREE)
-    base = scratch(df, "stream")
+    base = materialize(df, "stream")
     folder = base.inputFiles()[0].rsplit("/", 1)[0]
     stream = spark.readStream.schema(base.schema).parquet(folder)
     score_stream(stream, m, f"{folder}-scored", f"{folder}-progress").awaitTermination()
