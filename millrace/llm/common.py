@@ -1,13 +1,8 @@
-"""What several operators share: scratch tables, word splitting and hashing in Arrow, components."""
+"""What several operators share: word splitting and hashing in Arrow, components."""
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import os
-import tempfile
-import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import discard, materialize
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -26,67 +23,6 @@ CHUNK_BYTES = 3 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-#: Where the tables that are being written are noted, if anywhere.
-_noted: list[list[str]] = []
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below the shared folder and reads it back: cuts lineage so that lost executors cost no earlier work."""
-    path = f"{scratch_root(df.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for paths in _noted:
-        paths.append(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-@contextlib.contextmanager
-def noted(paths: list[str]):
-    """Within it, the places of tables that `materialize` writes are added to `paths`."""
-    _noted.append(paths)
-    try:
-        yield
-    finally:
-        _noted.remove(paths)
-
-
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes written tables, on whatever store they are; those that are gone already are passed over."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that `materialize` wrote and that nothing will read again: what came from them has been written."""
-    for df in tables:
-        remove(df.sparkSession, [df.written_to])
-
-
-def release(df: DataFrame) -> None:
-    """After a table was written, lets the context cleaner delete the exchanges that it came from: it follows the driver's garbage.
-
-    What a finished query holds becomes garbage only after its listeners have seen it end, so this is done again after a moment.
-    """
-    for _ in range(3):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def width(spark: SparkSession) -> int:
     """Partitions for explicit exchanges: what the session is tuned to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -237,9 +173,10 @@ def arrow_strings(values) -> pa.Array:
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Smallest node reachable from every node of `edges` (a, b): rows (node, component).
 
-    Alternates large-star and small-star steps until nothing moves. Each step is one aggregation (combined
-    before its shuffle) and one join back, which adaptive execution splits when a node is hot; nothing is collected.
-    Null ends and loops carry no link. A component of one node only is not returned.
+    Alternates large-star and small-star steps until nothing moves. A step is an aggregation (combined before its
+    shuffle) and a join back; the aggregate is written first, so both sides of the join are plain exchanges and adaptive
+    execution splits a hot node. Nothing is collected. Null ends and loops carry no link. A component of one node only is
+    not returned.
     """
     cur = materialize(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
@@ -247,13 +184,13 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     seen = None
     for _ in range(limit):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        small_min = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(small_min, "a")
         nxt = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         old, cur = cur, materialize(nxt, "star")
-        discard(old)
+        discard(old, least, large, small_min)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -261,7 +198,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    found = materialize(cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
+    discard(cur)
+    return found
 
 
 def default_tokenizer() -> str:

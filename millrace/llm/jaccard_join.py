@@ -7,8 +7,8 @@ the R-tree prunes by. Pairs that survive are verified on the sets themselves.
 What makes the join distributed: sets that are alike enough differ in few shingles, so when the shingles of a size class
 are hashed into more groups than that, some group is the same in both. Documents meet under the hash of a group's
 content, first with the least document there only (one pair a document, never all pairs), and again, through R-trees of
-bounded cells, where such a meeting left documents unconnected. Sets of a few shingles meet under their least-hashed ones
-(a prefix) instead.
+bounded cells, where such a meeting left documents unconnected. No link is lost where only empty groups are the same:
+see `keys_of`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, components, discard, hashed_words, materialize, mix, ragged, release, text_chunks, width, window_hashes
+from .common import BASE, components, discard, hashed_words, materialize, mix, ragged, text_chunks, width, window_hashes
 
 #: Words of a shingle, threshold in hundredths, dimensions of the points, members of an R-tree cell.
 SHINGLE, PERCENT, DIMS, CELL = 4, 85, 128, 500
@@ -26,8 +26,8 @@ SHINGLE, PERCENT, DIMS, CELL = 4, 85, 128, 500
 #: Largest count that a point holds; two such counts bound nothing.
 FULL = (1 << 16) - 1
 
-#: From this size on sets are grouped; the ratio of one size class to the next.
-GROUPED, CLASS = 64, 1.6
+#: The ratio of one size class to the next.
+CLASS = 1.6
 
 NONE = np.iinfo(np.int64).min
 
@@ -55,30 +55,31 @@ def needed(a, b, percent: int = PERCENT):
 
 
 def _classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of the size classes, and each one's number of groups: one more than the shingles in which two linked sets may differ."""
-    lows = [GROUPED]
+    """Lower bounds of the size classes, and each one's number of groups: one more than the shingles in which two linked sets of up to that size may differ."""
+    lows = [1]
     while lows[-1] < 1 << 40:
         lows.append(int(lows[-1] * CLASS) + 1)
     lows = np.array(lows, np.int64)
-    most = lows[1:] - 1  # size of the larger set; the smaller is no larger
-    return lows, 2 * most - 2 * needed(most, most, percent) + 1
+    most = lows[1:] - 1
+    return lows, 2 * most * (100 - percent) // (100 + percent) + 1
 
 
 def keys_of(hashes: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which linked sets meet, and the set of each."""
+    """Keys under which linked sets meet, and the set of each.
+
+    Two linked sets meet in the class of the larger one: in its groups they differ in fewer shingles than there are groups,
+    so some group is the same in both. Where all that are the same may be empty ones, which is seen from each of the two
+    sets alone, they also get the keys of a prefix: of two sets with enough in common, the least-hashed shingles (as many
+    as may be missing from the other, and one more) share one.
+    """
     n = np.diff(offsets)
     lows, groups = _classes(percent)
-    keys, owners = [], []
-    small = np.flatnonzero((n > 0) & (100 * GROUPED >= percent * n))  # may link with a set below the bound
-    if len(small):
-        lens = n[small] - (-(-percent * n[small] // 100)) + 1
-        at = ragged(offsets[small], lens)
-        keys.append(mix(hashes[at] ^ BASE))
-        owners.append(np.repeat(small, lens))
     own = np.searchsorted(lows, n, side="right") - 1
-    above = np.searchsorted(lows, 100 * n // percent, side="right") - 1  # class of the largest set that it may link with
-    for shift in (0, 1):
-        rows = np.flatnonzero(n >= GROUPED) if shift == 0 else np.flatnonzero((above > own) & (above >= 0))
+    largest = 100 * n // percent  # that it may link with
+    above = np.searchsorted(lows, largest, side="right") - 1
+    keys, owners = [], []
+    for shift in range(int((above - own).max(initial=0)) + 1):
+        rows = np.flatnonzero((n > 0) & (above >= own + shift))
         if len(rows) == 0:
             continue
         kind = own[rows] + shift
@@ -94,7 +95,14 @@ def keys_of(hashes: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) ->
             row = np.repeat(np.arange(len(rows)), g)[full]
             place = full - begin[row]
             keys.append(mix(sums[full] + mix((kind[row] * 4_000_037 + place).astype(np.uint64) * BASE + count[full].astype(np.uint64))))
-        owners.append(rows[row])
+            owners.append(rows[row])
+            differ = (n[rows] + np.minimum(lows[kind + 1] - 1, largest[rows])) * (100 - percent) // (100 + percent)
+            lone = np.flatnonzero(np.add.reduceat(count == 0, begin, dtype=np.int64) >= g - differ)
+            if len(lone):
+                rows, kind = rows[lone], kind[lone]
+                lens = n[rows] + (-percent * n[rows]) // 100 + 1
+                keys.append(mix(hashes[ragged(offsets[rows], lens)] * BASE + np.repeat(mix(kind.astype(np.uint64) + BASE), lens)))
+                owners.append(np.repeat(rows, lens))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
@@ -146,55 +154,96 @@ class Tree:
             at = np.arange(0, len(upper), fan)
             self.levels.append((np.maximum.reduceat(upper, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Entries whose overlap with the point may reach what their sizes need."""
-        level = len(self.levels) - 1
-        found = np.arange(len(self.levels[-1][0]))
-        while True:
+    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+        """(query, entry) pairs whose overlap may reach what their sizes need. Nodes are visited `at_once` a step at most, so memory is bounded."""
+        top = len(self.levels) - 1
+        width = len(self.levels[top][0])
+        step = max(1, at_once // width)
+        todo = [(top, np.repeat(np.arange(i, min(i + step, len(points))), width), np.tile(np.arange(width), min(step, len(points) - i))) for i in range(0, len(points), step)]
+        queries, entries = [], []
+        while todo:
+            level, q, e = todo.pop()
             upper, least, most = self.levels[level]
-            near = (100 * most[found] >= percent * size) & (percent * least[found] <= 100 * size)
-            found = found[near]
-            bound = smaller(upper[found], point)
-            found = found[bound >= needed(size, np.maximum(least[found], -(-percent * size // 100)), percent)]
+            size = sizes[q]
+            near = np.flatnonzero((100 * most[e] >= percent * size) & (percent * least[e] <= 100 * size))
+            q, e, size = q[near], e[near], size[near]
+            able = np.flatnonzero(smaller(upper[e], points[q]) >= needed(size, np.maximum(least[e], -(-percent * size // 100)), percent))
+            q, e = q[able], e[able]
             if level == 0:
-                return self.order[found]
-            level -= 1
-            found = (found[:, None] * self.fan + np.arange(self.fan)).reshape(-1)
-            found = found[found < len(self.levels[level][0])]
+                queries.append(q)
+                entries.append(self.order[e])
+                continue
+            e = (e[:, None] * self.fan + np.arange(self.fan)).reshape(-1)
+            q = np.repeat(q, self.fan)
+            there = e < len(self.levels[level - 1][0])
+            q, e = q[there], e[there]
+            todo += [(level - 1, q[i : i + at_once], e[i : i + at_once]) for i in range(0, len(q), at_once)]
+        if not queries:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(queries), np.concatenate(entries)
+
+
+def _cells(batches):
+    """Tables of the rows of one or more whole cells (key, i, j), of batches in which a cell's rows follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+        new = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
+        if held and (ids[:, 0] != last).any():
+            new = np.append(0, new)
+        last = ids[:, -1]
+        if len(new):
+            cut = int(new[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _flat(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name)
+    return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks)
 
 
 def _tree_pairs(percent: int):
-    """Of cells (cell; members: node, leaf, component, n, point, cells; within: one leaf or two): pairs of different components that the R-tree lets through.
+    """Of members of cells (key, i, j, leaf, node, component, n, point, keys), sorted by cell: pairs of different components that the R-tree lets through.
 
-    A pair that is compared in several cells comes from the least of them only: `cells` are all of a member's, as three
-    times the cell plus 0 (one leaf), 1 (in the lower one of two) or 2 (in the upper one).
+    A cell is a key's leaf (i = j), or two of its leaves, of which one is searched for the members of the other. A pair that
+    meets under several keys comes from the least of them only; `keys` are all of a member's, in order.
     """
 
-    def first(x: dict, y: dict) -> int:
-        x, y = (x, y) if len(x) <= len(y) else (y, x)
-        return min((c for c, side in x.items() if (other := y.get(c)) is not None and (side == 0 or side != other)), default=-1)
-
     def rows(batches):
-        for batch in batches:
+        for table in _cells(batches):
+            if table.num_rows == 0:
+                continue
+            key, i, j, leaf, node, part, sizes = (table.column(c).to_numpy() for c in ("key", "i", "j", "leaf", "node", "component", "n"))
+            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, DIMS)
+            lists = _flat(table, "keys")
+            values, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            begins = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
             left, right = [], []
-            for r in batch.to_pylist():
-                m = r["members"]
-                points = np.frombuffer(b"".join(x["point"] for x in m), np.uint16).reshape(len(m), DIMS)
-                sizes = np.array([x["n"] for x in m], np.int64)
-                part, leaf = np.array([x["component"] for x in m]), np.array([x["leaf"] for x in m])
-                node = [x["node"] for x in m]
-                ask = held = np.arange(len(m))
-                if not r["within"]:  # one leaf is searched for the members of the other
-                    if leaf.max() == leaf.min():
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(key)]):
+                own = part[a:b]
+                if (own == own[0]).all():
+                    continue
+                if i[a] == j[a]:
+                    ask = held = np.arange(a, b)
+                else:
+                    ask, held = a + np.flatnonzero(leaf[a:b] == j[a]), a + np.flatnonzero(leaf[a:b] == i[a])
+                    if len(ask) == 0 or len(held) == 0:
                         continue
-                    ask, held = np.flatnonzero(leaf == leaf.max()), np.flatnonzero(leaf == leaf.min())
-                of = [{c // 3: c % 3 for c in x["cells"]} for x in m]
-                tree = Tree(points[held], sizes[held])
-                for i in ask.tolist():
-                    for j in held[tree.search(points[i], int(sizes[i]), percent)].tolist():
-                        if part[i] != part[j] and (i < j or not r["within"]) and first(of[i], of[j]) == r["cell"]:
-                            left.append(node[i])
-                            right.append(node[j])
+                q, e = Tree(points[held], sizes[held]).search(points[ask], sizes[ask], percent)
+                x, y = ask[q], held[e]
+                apart = (part[x] != part[y]) & ((x < y) | (i[a] != j[a]))
+                for x, y in zip(x[apart].tolist(), y[apart].tolist()):
+                    if np.intersect1d(values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]], assume_unique=True)[0] == key[a]:
+                        left.append(node[x])
+                        right.append(node[y])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["x", "y"])
 
     return rows
@@ -221,25 +270,26 @@ def _overlap(percent: int):
 def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between sets, enough of them that what all links connect is connected. known: profiles, deleted once read; slim: the same without keys."""
     met = known.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    # A key of one row says nothing; counts are combined before the exchange, however many meet there. They are written,
-    # so that both sides of the join that follows are exchanges which adaptive execution can split.
+    # A key of one row says nothing; counts are combined before the exchange, however many meet there. Here and below
+    # aggregates are written before they are joined, and joins before what needs a key's rows together, so that both sides
+    # of a join are exchanges which adaptive execution can split.
     twice = materialize(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "twice")
-    release(twice)
-    shared = materialize(met.join(twice, "key").distinct(), "shared")
-    release(shared)
-    # Copies of one set are one node, so keys that only they have go now.
-    hubs = materialize(shared.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "hubs")
-    meetings = materialize(shared.join(hubs, "key"), "meetings")
-    discard(known, twice, shared, hubs)
-    release(meetings)
+    both = materialize(met.join(twice, "key"), "both")
+    discard(known, twice)
+    shared = materialize(both.distinct(), "shared")  # copies of one set are one node
+    discard(both)
+    # What met under one key met under many: of keys with the same members one stays. Keys that only copies have go.
+    sign = [F.count("*").alias("c"), F.min("node").alias("hub"), F.bit_xor("node").alias("s"), F.bit_xor(F.xxhash64("node")).alias("t")]
+    blocks = materialize(shared.groupBy("key").agg(*sign).where("c > 1").groupBy("c", "hub", "s", "t").agg(F.min("key").alias("key")).select("key", "hub"), "blocks")
+    meetings = materialize(shared.join(blocks, "key"), "meetings")
+    discard(shared, blocks)
     nodes = meetings.select("node").distinct()
-    first = slim.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_a", "_b")).alias("one"), F.first("n").alias("n"))
-    wanted = first.select("node", F.col("one._a").alias("_a"), F.col("one._b").alias("_b"))
+    wanted = materialize(slim.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_a", "_b")).alias("one")).select("node", F.col("one._a").alias("_a"), F.col("one._b").alias("_b")), "wanted")
 
     def sets(batches):
         last = None
         for chunk in text_chunks(batches, "_t"):
-            # Rows of equal id and text give equal sets; sorted as the join leaves them, all but the first go.
+            # Rows of equal id and text give equal sets; of those that follow each other all but the first go.
             node = chunk.column("node").to_numpy()
             new = np.append(node[0] != last, node[1:] != node[:-1])
             last = node[-1]
@@ -253,13 +303,13 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
 
     whole = keyed.join(wanted, ["_a", "_b"]).select("node", "_t").mapInArrow(sets, "node bigint, n bigint, point binary, s binary")
     whole = materialize(whole, "sets")
-    release(whole)
+    discard(wanted)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         near = whole.select(F.col("node").alias("x"), F.col("s").alias("sx"))
         far = whole.select(F.col("node").alias("y"), F.col("s").alias("sy"))
         out = pairs.join(near, "x").join(far, "y").select("x", "y", "sx", "sy").mapInArrow(_overlap(percent), "x bigint, y bigint, linked boolean")
-        return materialize(out, name)
+        return materialize(out.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), name)
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs whose points allow the overlap that they need."""
@@ -275,38 +325,30 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
 
         return pairs.join(a, "x").join(b, "y").select("x", "y", "nx", "ny", "px", "py").mapInArrow(rows, "x bigint, y bigint")
 
-    stars = meetings.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
-    tested = verified(bounded(stars), "stars")
-    release(tested)
-    linked = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    part = materialize(components(linked), "parts")
-    of = lambda c, name: part.select(F.col("node").alias(c), F.col("component").alias(name))
-    # Keys where some document is still apart from the hub: all that met there are compared, through R-trees.
-    apart = stars.join(of("x", "cx"), "x", "left").join(of("y", "cy"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select(F.col("x").alias("node"), F.col("y").alias("hub"))
-    open_ = meetings.join(apart, ["node", "hub"], "left_semi").select("key").distinct()
-    members = meetings.join(open_, "key", "left_semi").select("key", "node").join(of("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = materialize(members, "open")
-    # Documents outside a key's largest component are compared with all others, so its own members are never paired.
-    # Both sides are cut into leaves; a cell is two of them.
-    by_part = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    stars = materialize(meetings.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct(), "stars")
+    linked = verified(bounded(stars), "linked")
+    part = components(linked)
+    # Keys where some document is still apart from the others: all that met there are compared, through R-trees, but for
+    # pairs of the key's largest component. The others are cut into leaves, and so is that component; a cell is two of them.
+    placed = materialize(meetings.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    discard(meetings, stars, part)
+    by_part = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = by_part.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
     main = main.select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / CELL).cast("int").alias("lm"), F.ceil((F.col("all") - F.col("main.n")) / CELL).cast("int").alias("lo")).where("lo > 0")
+    main = materialize(main, "open")
+    members = materialize(placed.join(main, "key"), "members")
+    discard(placed, main)
+    lists = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # no more than a document has
+    facts = materialize(whole.select("node", "n", "point").join(lists, "node"), "facts")
     leaf = F.when(F.col("component") == F.col("main"), -1 - F.pmod(F.xxhash64("node"), F.col("lm"))).otherwise(F.pmod(F.xxhash64("node"), F.col("lo"))).cast("int")
-    split = members.join(main, "key").withColumn("leaf", leaf)
-    split = split.withColumn("other", F.explode(F.sequence(F.when(F.col("leaf") < 0, 0).otherwise(-F.col("lm")), F.col("lo") - 1))).withColumn("i", F.least("leaf", "other")).withColumn("j", F.greatest("leaf", "other"))
-    # What met is the same under most keys: equal cells are searched once, and only then get their members' points.
-    cell = split.groupBy("key", "i", "j").agg(F.sort_array(F.collect_set(F.struct("node", "leaf"))).alias("nodes")).where(F.size("nodes") > 1)
-    cells_ = cell = materialize(cell.select((F.col("i") == F.col("j")).alias("within"), "nodes").distinct().withColumn("cell", F.monotonically_increasing_id()), "cells")
-    release(cell)
-    side = F.when(F.col("within"), 0).when(F.col("m.leaf") == F.col("low"), 1).otherwise(2)
-    member = cell.select("cell", "within", F.array_min(F.col("nodes.leaf")).alias("low"), F.explode("nodes").alias("m")).select("cell", "within", "m.node", "m.leaf", (F.col("cell") * 3 + side).alias("code"))
-    all_cells = member.groupBy("node").agg(F.collect_list("code").alias("cells"))
-    member = member.join(of("node", "component"), "node", "left").join(whole.select("node", "n", "point"), "node").join(all_cells, "node").withColumn("component", F.coalesce("component", "node"))
-    cell = member.groupBy("cell", "within").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("node", "leaf", "component", "n", "point", "cells")).alias("members")).where("lo < hi").select("cell", "within", "members")
-    late = cell.mapInArrow(_tree_pairs(percent), "x bigint, y bigint").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    found = verified(late, "late")
-    discard(whole, meetings, members, cells_, part)
-    more = found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    spread = members.join(facts, "node").withColumn("leaf", leaf)
+    others = F.explode(F.sequence(F.when(F.col("leaf") < 0, 0).otherwise(-F.col("lm")), F.col("lo") - 1)).alias("other")
+    cell = spread.select("key", "leaf", "node", "component", "n", "point", "keys", others).select("key", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "node", "component", "n", "point", "keys")
+    cell = cell.repartition(width(keyed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    late = materialize(cell.mapInArrow(_tree_pairs(percent), "x bigint, y bigint").distinct(), "late")
+    discard(members, facts)
+    more = verified(late, "more")
+    discard(whole, late)
     return linked.union(more)
 
 
@@ -314,8 +356,9 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     """Per row: doc_id, n_shingles, component_id (least id reachable by links), the row's keys _a, _b, and its component (a node; null: empty set).
 
     Sets are told apart by a 64-bit digest, shingles by a 64-bit hash. Null and empty texts have the empty set and link with
-    nothing; fewer words than a shingle's are one shingle; rows without an id link like others and are passed over for the
-    least one; repeated rows are one set; an empty table gives an empty one; other columns are ignored.
+    nothing; fewer words than a shingle's are one shingle; very long texts are sets like others, one of them in memory at a
+    time; rows without an id link like others and are passed over for the least one; repeated rows are one set; an empty
+    table gives an empty one; other columns are ignored, whatever their names.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("_a"), F.xxhash64(t, F.col(id_col).isNull()).alias("_b"), t.alias("_t"))
@@ -324,8 +367,12 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     part = components(links(keyed, known, slim, k, percent))
     rows = slim.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(rows.withColumn("id", F.when(F.col("_a") != NONE, F.col("_a"))), "rows")
-    least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
-    return rows.join(least, "component", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "_a", "_b", "component")
+    discard(slim, part)
+    least = materialize(rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least")), "least")
+    found = rows.join(least, "component", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "_a", "_b", "component")
+    found = materialize(found, "groups")
+    discard(rows, least)
+    return found
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -338,11 +385,12 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     The row of a group is that of its least id (none: last), then of the least text hash; of rows that are equal in both
     the one whose other columns hash least.
     """
-    rows = near_groups(docs, k, percent).where("component IS NOT NULL").groupBy("component", "_a", "_b").agg(F.count("*").alias("c"))
-    rows = materialize(rows, "copies")
-    first = rows.groupBy("component").agg(F.min(F.struct((F.col("_a") == NONE).alias("none"), "_a", "_b")).alias("one"))
-    rows = rows.join(first, "component").withColumn("drop", (F.col("_a") != F.col("one._a")) | (F.col("_b") != F.col("one._b")))
-    marked = materialize(rows.where("drop OR c > 1").select("_a", "_b", "drop"), "marked")
+    found = near_groups(docs, k, percent)
+    rows = materialize(found.where("component IS NOT NULL").groupBy("component", "_a", "_b").agg(F.count("*").alias("c")), "copies")
+    first = materialize(rows.groupBy("component").agg(F.min(F.struct((F.col("_a") == NONE).alias("none"), "_a", "_b")).alias("one")), "first")
+    both = rows.join(first, "component").withColumn("drop", (F.col("_a") != F.col("one._a")) | (F.col("_b") != F.col("one._b")))
+    marked = materialize(both.where("drop OR c > 1").select("_a", "_b", "drop"), "marked")
+    discard(found, rows, first)
     a, b = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull())
     keyed = docs.select(a.alias("_a"), b.alias("_b"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     single = keyed.join(marked.select("_a", "_b"), ["_a", "_b"], "left_anti").select("_row")

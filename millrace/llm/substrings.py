@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, discard, hashed_words, materialize, mix, ragged, release, text_bytes, text_chunks, window_hashes, word_spans
+from .common import BASE, discard, hashed_words, materialize, mix, ragged, text_bytes, text_chunks, window_hashes, word_spans
 
 #: Words of a window, words of the grams of which the least is a window's minimizer.
 K, M = 35, 12
@@ -109,10 +109,8 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     # Minimizers that occur twice: counts are combined before the exchange, however common one is.
     # Written, so that both sides of the join that follows are exchanges which adaptive execution can split.
     twice = materialize(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "twice")
-    release(twice)
     found = materialize(every.join(twice, "anchor"), "repeated")
     discard(every, twice)
-    release(found)
     classes = materialize(
         found.groupBy("anchor", "content", "n").agg(F.count("*").alias("c"), F.min(F.struct("_a", "_b", "start")).alias("one")), "classes"
     )
@@ -122,13 +120,11 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     parts = parts.groupBy("_a", "_b").agg(F.collect_list("part").alias("parts"))  # no more than one document has
     mixed = keyed.join(parts, ["_a", "_b"]).select("_a", "_b", "_t", "parts")
     windows = materialize(mixed.mapInArrow(_window_rows(k), "anchor bigint, w bigint, lone boolean, _a bigint, _b bigint, start bigint"), "windows")
-    release(windows)
     same = windows.groupBy("anchor", "w").agg(F.countDistinct("_a", "_b", "start").alias("c")).where("c > 1").select("anchor", "w")
     single = windows.where("lone").join(same, ["anchor", "w"]).select(F.col("anchor"), F.col("w").alias("content"), F.lit(1).alias("n"), "_a", "_b", "start").distinct()
     whole = found.join(classes.where("c > 1").select("anchor", "content", "n"), ["anchor", "content", "n"]).select("anchor", "content", "n", "_a", "_b", "start")
     edges = materialize(whole.unionByName(single), "edges")
     discard(found, classes, windows)
-    release(edges)
     return compact(edges, k)
 
 
@@ -145,7 +141,6 @@ def compact(edges: DataFrame, k: int = K) -> DataFrame:
     e = e.withColumn("at", F.lead("start").over(document)).withColumn("to", F.lead("v").over(document))
     linked = F.col("at") == F.col("start") + F.col("n")
     e = materialize(e.select("_a", "_b", "start", "n", "v", F.when(linked, F.col("to")).alias("to")), "arcs")
-    release(e)
     arcs = e.groupBy("v", "to").agg(F.count("*").alias("c"))  # combined before the exchange
     begins = e.groupBy("v").agg(F.count("*").alias("all")).join(e.where("to IS NOT NULL").groupBy(F.col("to").alias("v")).agg(F.count("*").alias("entered")), "v", "left")
     one_out = arcs.groupBy("v").agg(F.count("*").alias("out")).where("out = 1").select("v")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import jaccard_join, substrings
-from millrace.llm.common import components
+from millrace.llm.common import BASE, components, mix
 
 from .helpers import corpus, frame, words
 
@@ -139,10 +139,14 @@ def test_tree_finds_all_that_the_bound_allows():
     points = r.poisson(2, (200, jaccard_join.DIMS)).astype(np.uint16)
     sizes = points.sum(1, dtype=np.int64)
     tree = jaccard_join.Tree(points, sizes)
-    for i in range(0, 200, 17):
-        bound = np.minimum(points, points[i]).sum(1)
-        able = (bound >= jaccard_join.needed(sizes[i], sizes, 60)) & (100 * sizes >= 60 * sizes[i]) & (60 * sizes <= 100 * sizes[i])
-        assert set(np.flatnonzero(able).tolist()) <= set(tree.search(points[i], int(sizes[i]), 60).tolist())
+    for at_once in (1 << 14, 7):
+        q, e = tree.search(points, sizes, 60, at_once)
+        found = set(zip(q.tolist(), e.tolist()))
+        assert len(found) == len(q)
+        for i in range(0, 200, 17):
+            bound = np.minimum(points, points[i]).sum(1)
+            able = (bound >= jaccard_join.needed(sizes[i], sizes, 60)) & (100 * sizes >= 60 * sizes[i]) & (60 * sizes <= 100 * sizes[i])
+            assert {(i, j) for j in np.flatnonzero(able).tolist()} <= found
 
 
 def test_components(spark):
@@ -233,3 +237,65 @@ def test_queries_with_sql(spark, name):
     r = c.execute(queries.oracle_sql()[name])
     names = [x[0] for x in r.description]
     assert sorted(map(tuple, queries.queries()[name](spark, DATA).select(*names).collect())) == sorted(r.fetchall())
+
+
+def hashes_by_group(n_groups, wanted, salt):
+    """Hashes, `wanted[i]` of them in group i."""
+    out, r = [], np.random.default_rng(salt)
+    left = dict(enumerate(wanted))
+    while any(left.values()):
+        h = r.integers(0, 1 << 63, 4096).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            group = (mix(h + BASE) % np.uint64(n_groups)).astype(int)
+        for x, g in zip(h.tolist(), group.tolist()):
+            if left.get(g, 0):
+                left[g] -= 1
+                out.append(x)
+    return np.array(out, np.uint64)
+
+
+def test_no_link_is_lost_where_only_empty_groups_are_equal():
+    """Sets of 84 hashes, 78 shared, that fill a few groups only, each of which a difference touches."""
+    lows, groups = jaccard_join._classes(85)
+    kind = int(np.searchsorted(lows, 84, side="right")) - 1
+    n_groups, used = int(groups[kind]), 6
+    shared = hashes_by_group(n_groups, [78 // used] * used, 1)
+    mine, yours = hashes_by_group(n_groups, [1] * used, 2), hashes_by_group(n_groups, [1] * used, 3)
+    assert len(shared) == 78 and 100 * 78 >= 85 * 90
+    both = [np.sort(np.concatenate([shared, x])) for x in (mine, yours)]
+    keys, owners = jaccard_join.keys_of(np.concatenate(both), np.array([0, 84, 168]))
+    assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_linked_sets_share_a_key(percent):
+    """Random pairs at the threshold, of all sizes from one shingle on."""
+    r = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(r.integers(1, 40)) if r.random() < 0.7 else int(r.integers(40, 900))
+        m = int(r.integers(n, 100 * n // percent + 1))
+        overlap = int(jaccard_join.needed(n, m, percent))
+        if overlap > n:
+            continue
+        every = r.integers(0, 1 << 63, n + m).astype(np.uint64)
+        a, b = np.sort(every[:n]), np.sort(np.concatenate([every[:overlap], every[n : n + m - overlap]]))
+        keys, owners = jaccard_join.keys_of(np.concatenate([a, b]), np.array([0, n, n + m]), percent)
+        assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist()), (n, m)
+
+
+def test_pairs_come_from_one_key(monkeypatch):
+    """Pairs that meet under several keys come out once, whatever the batches."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    points = r.poisson(1, (6, jaccard_join.DIMS)).astype(np.uint16)
+    points[1:] = points[0]
+    size, rows = int(points[0].sum()), []
+    for key in (5, 7, 9):
+        rows += [(key, 0, 0, 0, v, v % 3, size, points[v].tobytes(), [5, 7, 9] if v else [7, 9]) for v in range(6) if v or key > 5]
+    names = ["key", "i", "j", "leaf", "node", "component", "n", "point", "keys"]
+    table = pa.table({c: pa.array([x[k] for x in rows], pa.list_(pa.int64()) if c == "keys" else pa.binary() if c == "point" else pa.int64()) for k, c in enumerate(names)})
+    want = sorted((x, y) for x in range(6) for y in range(x) if x % 3 != y % 3)
+    for at in (1, 4, 100):
+        out = pa.Table.from_batches(jaccard_join._tree_pairs(85)(iter(table.to_batches(at))))
+        assert sorted((max(p), min(p)) for p in zip(out["x"].to_pylist(), out["y"].to_pylist())) == want
