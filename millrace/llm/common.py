@@ -170,17 +170,58 @@ def arrow_strings(values) -> pa.Array:
     return pa.array(values, pa.string())
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+#: Edges that one task connects: 16 MB of numbers, whatever the corpus.
+ONE_TASK = 1 << 20
+
+
+def _forest(batches):
+    """Of edges (a, b): for every node there but the least of its component, an edge to that. What a task holds is numpy arrays of its edges."""
+    every = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if not every:
+        return
+    edges = np.concatenate(every, axis=1)
+    nodes, index = np.unique(edges, return_inverse=True)
+    a, b = index.reshape(edges.shape)
+    root = np.arange(len(nodes))
+    while True:  # hang every root below the least root that an edge leads to, then shorten ways
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
+
+
+def components(edges: DataFrame, limit: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Smallest node reachable from every node of `edges` (a, b): rows (node, component).
 
-    Alternates large-star and small-star steps until nothing moves. A step is an aggregation (combined before its
-    shuffle) and a join back; the aggregate is written first, so both sides of the join are plain exchanges and adaptive
-    execution splits a hot node. Nothing is collected. Null ends and loops carry no link. A component of one node only is
-    not returned.
+    Each task first replaces the edges that it holds by a forest that connects the same nodes. If no more than `one_task`
+    edges are left, one task finishes them. Else large-star and small-star steps alternate until nothing moves: a step is an
+    aggregation (combined before its shuffle) and a join back; the aggregate is written first, so both sides of the join
+    are plain exchanges and adaptive execution splits a hot node. Nothing is collected. Null ends and loops carry no link.
+    A component of one node only is not returned.
     """
-    cur = materialize(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
+    kind = "a bigint, b bigint"
+    some = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    cur = materialize(some.mapInArrow(_forest, kind), "edges")
+    if cur.count() <= one_task:
+        old, cur = cur, materialize(cur.coalesce(1).mapInArrow(_forest, kind), "star")
+        discard(old)
+    else:
+        cur = _stars(cur, limit)
+    roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    found = materialize(cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
+    discard(cur)
+    return found
+
+
+def _stars(edges: DataFrame, limit: int) -> DataFrame:
+    """Edges from every node to the least of its component, by large-star and small-star steps over a written table, which goes."""
+    cur = edges
     seen = None
     for _ in range(limit):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -193,14 +234,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         discard(old, least, large, small_min)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
-            break
+            return cur
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    found = materialize(cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
-    discard(cur)
-    return found
+    raise RuntimeError("components did not settle")
 
 
 def default_tokenizer() -> str:

@@ -24,7 +24,7 @@ from .common import BASE, components, discard, hashed_words, materialize, mix, r
 SHINGLE, PERCENT, DIMS, CELL = 4, 85, 128, 500
 
 #: Largest count that a point holds; two such counts bound nothing.
-FULL = (1 << 16) - 1
+FULL = (1 << 8) - 1
 
 #: The ratio of one size class to the next.
 CLASS = 1.6
@@ -112,7 +112,7 @@ def points_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts by group, sets by DIMS."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     place = owner * DIMS + (hashes >> np.uint64(65 - DIMS.bit_length())).astype(np.int64)
-    return np.minimum(np.bincount(place, minlength=(len(offsets) - 1) * DIMS), FULL).astype(np.uint16).reshape(-1, DIMS)
+    return np.minimum(np.bincount(place, minlength=(len(offsets) - 1) * DIMS), FULL).astype(np.uint8).reshape(-1, DIMS)
 
 
 def smaller(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def _tree_pairs(percent: int):
             if table.num_rows == 0:
                 continue
             key, i, j, leaf, node, part, sizes = (table.column(c).to_numpy() for c in ("key", "i", "j", "leaf", "node", "component", "n"))
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, DIMS)
+            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, DIMS)
             lists = _flat(table, "keys")
             values, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             begins = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
@@ -280,8 +280,8 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
     discard(both)
     # What met under one key met under many: of keys with the same members one stays. Keys that only copies have go.
     sign = [F.count("*").alias("c"), F.min("node").alias("hub"), F.bit_xor("node").alias("s"), F.bit_xor(F.xxhash64("node")).alias("t")]
-    blocks = materialize(shared.groupBy("key").agg(*sign).where("c > 1").groupBy("c", "hub", "s", "t").agg(F.min("key").alias("key")).select("key", "hub"), "blocks")
-    meetings = materialize(shared.join(blocks, "key"), "meetings")
+    blocks = materialize(shared.groupBy("key").agg(*sign).where("c > 1").groupBy("c", "hub", "s", "t").agg(F.min("key").alias("hash")).select("hash", "hub", F.monotonically_increasing_id().alias("key")), "blocks")
+    meetings = materialize(shared.withColumnRenamed("key", "hash").join(blocks, "hash").drop("hash"), "meetings")
     discard(shared, blocks)
     nodes = meetings.select("node").distinct()
     wanted = materialize(slim.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_a", "_b")).alias("one")).select("node", F.col("one._a").alias("_a"), F.col("one._b").alias("_b")), "wanted")
@@ -301,14 +301,15 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
             at = offsets.tolist()
             yield pa.RecordBatch.from_arrays([chunk.column("node"), pa.array(np.diff(offsets)), pa.array([p.tobytes() for p in points], pa.binary()), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "n", "point", "s"])
 
-    whole = keyed.join(wanted, ["_a", "_b"]).select("node", "_t").mapInArrow(sets, "node bigint, n bigint, point binary, s binary")
+    whole = keyed.join(wanted.hint("merge"), ["_a", "_b"]).select("node", "_t").mapInArrow(sets, "node bigint, n bigint, point binary, s binary")
     whole = materialize(whole, "sets")
     discard(wanted)
 
+    # Tables of sets and of documents to look up grow with the corpus: none is broadcast.
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         near = whole.select(F.col("node").alias("x"), F.col("s").alias("sx"))
         far = whole.select(F.col("node").alias("y"), F.col("s").alias("sy"))
-        out = pairs.join(near, "x").join(far, "y").select("x", "y", "sx", "sy").mapInArrow(_overlap(percent), "x bigint, y bigint, linked boolean")
+        out = pairs.hint("merge").join(near, "x").hint("merge").join(far, "y").select("x", "y", "sx", "sy").mapInArrow(_overlap(percent), "x bigint, y bigint, linked boolean")
         return materialize(out.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), name)
 
     def bounded(pairs: DataFrame) -> DataFrame:
@@ -318,20 +319,20 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
 
         def rows(batches):
             for batch in batches:
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, DIMS) for c in ("px", "py"))
+                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, DIMS) for c in ("px", "py"))
                 nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
                 able = smaller(p, q) >= needed(nx, ny, percent)
                 yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(able)), batch.column("y").filter(pa.array(able))], names=["x", "y"])
 
         return pairs.join(a, "x").join(b, "y").select("x", "y", "nx", "ny", "px", "py").mapInArrow(rows, "x bigint, y bigint")
 
-    stars = materialize(meetings.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct(), "stars")
+    stars = meetings.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
     linked = verified(bounded(stars), "linked")
     part = components(linked)
     # Keys where some document is still apart from the others: all that met there are compared, through R-trees, but for
     # pairs of the key's largest component. The others are cut into leaves, and so is that component; a cell is two of them.
     placed = materialize(meetings.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    discard(meetings, stars, part)
+    discard(meetings, part)
     by_part = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = by_part.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
     main = main.select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / CELL).cast("int").alias("lm"), F.ceil((F.col("all") - F.col("main.n")) / CELL).cast("int").alias("lo")).where("lo > 0")

@@ -4,14 +4,14 @@ Every window of k words is an edge of a de Bruijn graph over the corpus. Edges a
 windows that share a minimizer (the least hash among the window's m-word grams) are one super-k-mer, told by its
 minimizer and by the hash of its words. A window that occurs twice has the same minimizer both times, so only chains
 whose minimizer occurs twice are looked at again: equal chains are repeated as a whole, and chains that share a
-minimizer but differ are compared window by window. Repeated chains are then compacted: where a chain has one successor
-and that has one predecessor, they join to one path. A path's occurrences, by their source coordinates, must agree in
-length and content before their words are removed.
+minimizer but differ are compared window by window, by their words. Repeated chains are then compacted: where a chain has one successor
+and that has one predecessor, they join to one path. The words at the source coordinates of a path's occurrences are then
+read again, and only occurrences with the words of another one are removed, so colliding hashes take no text away.
 """
 
 from __future__ import annotations
 
-import hashlib
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -83,81 +83,125 @@ def _chain_rows(k: int, m: int):
     return rows
 
 
-def _window_rows(k: int):
-    """Hashes of the single windows of the chains listed beside each text."""
+def _spaced(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words of all texts, each followed by one space; where each word starts there (and the end); the number of words before each text."""
+    raw, ends = text_bytes(texts)
+    starts, stops, offsets = word_spans(raw, ends)
+    lens = stops - starts + 1
+    at = ragged(starts, lens)
+    data = raw[np.minimum(at, max(0, len(raw) - 1))]
+    cuts = np.concatenate([[0], np.cumsum(lens)])
+    data[cuts[1:] - 1] = 32
+    return data.tobytes(), cuts, offsets
+
+
+def _digest_rows(k: int, single: bool):
+    """For each text and the spans listed beside it (first window, windows, node): a digest of the words that a span covers, or of each of its windows."""
 
     def rows(batches):
         for chunk in text_chunks(batches, "_t"):
-            hashes, offsets = hashed_words(chunk.column("_t"))
-            windows = window_hashes(hashes, k)
+            blob, cuts, offsets = _spaced(chunk.column("_t"))
             lists = chunk.column("parts")
             flat = lists.flatten()
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            start, n, lone, anchor = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "lone", "anchor"))
-            n = n.astype(np.int64)
-            which, at = np.repeat(np.arange(len(start)), n), ragged(start, n)
+            start, n, node, lone = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "node", "lone"))
+            if single:
+                which, at = np.repeat(np.arange(len(start)), n), ragged(start, n.astype(np.int64))
+                n = np.ones(len(at), np.int64)
+            else:
+                which, at = np.arange(len(start)), start
+            first = at + offsets[owner[which]]
+            digests = [sha256(blob[x:y]).digest()[:16] for x, y in zip(cuts[first].tolist(), cuts[first + n + (k - 1)].tolist())]
             a, b = (chunk.column(c).to_numpy()[owner[which]] for c in ("_a", "_b"))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[which]), pa.array(windows[at + offsets[owner[which]]].view(np.int64)), pa.array(lone[which]), pa.array(a), pa.array(b), pa.array(at)], names=["anchor", "w", "lone", "_a", "_b", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[which]), pa.array(digests, pa.binary()), pa.array(lone[which]), pa.array(a), pa.array(b), pa.array(at), pa.array(n.astype(np.int64))], names=["node", "words", "lone", "_a", "_b", "start", "n"])
 
     return rows
 
 
+def _digests(keyed: DataFrame, spans: DataFrame, k: int, name: str, single: bool = False) -> DataFrame:
+    """`_digest_rows` of spans (_a, _b, start, n, node, lone), read from the texts at their coordinates; written. A repeated row's spans come once for each row."""
+    parts = materialize(spans.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", F.col("n").cast("long").alias("n"), "node", "lone")).alias("parts")), "parts")  # no more than one document has
+    out = keyed.join(parts, ["_a", "_b"]).select("_a", "_b", "_t", "parts").mapInArrow(_digest_rows(k, single), "node bigint, words binary, lone boolean, _a bigint, _b bigint, start bigint, n bigint")
+    out = materialize(out, name)
+    discard(parts)
+    return out
+
+
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of words that repeated windows cover: rows (_a, _b, start, stop), one a path and occurrence; spans may overlap."""
+    """Spans of words that repeated windows cover: rows (_a, _b, start, stop), one a path and occurrence; spans may overlap. Written."""
     keyed = _keyed(docs, id_col, text_col)
     every = materialize(keyed.mapInArrow(_chain_rows(k, m), _CHAINS), "chains")
-    # Minimizers that occur twice: counts are combined before the exchange, however common one is.
-    # Written, so that both sides of the join that follows are exchanges which adaptive execution can split.
+    # Minimizers that occur twice: counts are combined before the exchange, however common one is. Here and below aggregates
+    # are written before they are joined, so that both sides are exchanges which adaptive execution can split.
     twice = materialize(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "twice")
     found = materialize(every.join(twice, "anchor"), "repeated")
     discard(every, twice)
     classes = materialize(
         found.groupBy("anchor", "content", "n").agg(F.count("*").alias("c"), F.min(F.struct("_a", "_b", "start")).alias("one")), "classes"
     )
-    # Chains of one minimizer that differ, one of them met once only: one occurrence of each is compared window by window.
-    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 AND least = 1").select("anchor")
-    parts = classes.join(kinds, "anchor").select("one._a", "one._b", F.struct("one.start", "n", (F.col("c") == 1).alias("lone"), "anchor").alias("part"))
-    parts = parts.groupBy("_a", "_b").agg(F.collect_list("part").alias("parts"))  # no more than one document has
-    mixed = keyed.join(parts, ["_a", "_b"]).select("_a", "_b", "_t", "parts")
-    windows = materialize(mixed.mapInArrow(_window_rows(k), "anchor bigint, w bigint, lone boolean, _a bigint, _b bigint, start bigint"), "windows")
-    same = windows.groupBy("anchor", "w").agg(F.countDistinct("_a", "_b", "start").alias("c")).where("c > 1").select("anchor", "w")
-    single = windows.where("lone").join(same, ["anchor", "w"]).select(F.col("anchor"), F.col("w").alias("content"), F.lit(1).alias("n"), "_a", "_b", "start").distinct()
-    whole = found.join(classes.where("c > 1").select("anchor", "content", "n"), ["anchor", "content", "n"]).select("anchor", "content", "n", "_a", "_b", "start")
-    edges = materialize(whole.unionByName(single), "edges")
-    discard(found, classes, windows)
-    return compact(edges, k)
-
-
-def compact(edges: DataFrame, k: int = K) -> DataFrame:
-    """Joins repeated chains that follow each other without a branch to paths; returns their occurrences (_a, _b, start, stop).
+    # Chains of one minimizer that differ, one of them met once only: one occurrence of each is compared window by window,
+    # by the windows' words.
+    kinds = materialize(classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 AND least = 1").select("anchor"), "kinds")
+    mixed = classes.join(kinds, "anchor").select("one._a", "one._b", "one.start", "n", F.col("anchor").alias("node"), (F.col("c") == 1).alias("lone"))
+    windows = _digests(keyed, mixed, k, "windows", single=True)
+    same = materialize(windows.groupBy("node", "words").agg(F.countDistinct("_a", "_b", "start").alias("c")).where("c > 1").select("node", "words"), "same")
+    single = windows.where("lone").join(same, ["node", "words"]).select(F.col("node").alias("anchor"), F.xxhash64("words").alias("content"), F.lit(1).alias("n"), "_a", "_b", "start", F.lit(True).alias("lone"))
+    again = materialize(classes.where("c > 1").select("anchor", "content", "n"), "again")
+    whole = found.join(again, ["anchor", "content", "n"]).select("anchor", "content", "n", "_a", "_b", "start", F.lit(False).alias("lone"))
+    edges = materialize(whole.unionByName(single).distinct(), "edges")  # rows of equal id and text count once from here on
+    discard(found, classes, kinds, windows, same, again)
+    spans = compact(edges, keyed, k)
+    discard(edges)
+    return spans
+
+
+def compact(edges: DataFrame, keyed: DataFrame, k: int = K) -> DataFrame:
+    """Joins repeated chains that follow each other without a branch to paths, and checks these; returns (_a, _b, start, stop). Written.
 
     A link is kept where a chain is always followed by the same chain (or never by another) and that one never follows
     anything else; the end of a run counts as a successor of its own, so every occurrence of a path's first chain is the
-    whole path. Occurrences of a path that disagree in length or content fall back to their chains.
+    whole path. The words at a path's source coordinates are read, and an occurrence is returned if they are those of
+    another one; `lone` edges are windows whose words have been compared already. Where occurrences of a path disagree
+    (its hashes collided), its chains are checked one by one.
     """
     document = Window.partitionBy("_a", "_b").orderBy("start")
     node = F.xxhash64("anchor", "content", "n")
-    e = edges.select("_a", "_b", "start", "n", node.alias("v"))
+    e = edges.select("_a", "_b", "start", "n", "lone", node.alias("v"))
     e = e.withColumn("at", F.lead("start").over(document)).withColumn("to", F.lead("v").over(document))
     linked = F.col("at") == F.col("start") + F.col("n")
-    e = materialize(e.select("_a", "_b", "start", "n", "v", F.when(linked, F.col("to")).alias("to")), "arcs")
-    arcs = e.groupBy("v", "to").agg(F.count("*").alias("c"))  # combined before the exchange
-    begins = e.groupBy("v").agg(F.count("*").alias("all")).join(e.where("to IS NOT NULL").groupBy(F.col("to").alias("v")).agg(F.count("*").alias("entered")), "v", "left")
+    e = materialize(e.select("_a", "_b", "start", "n", "lone", "v", F.when(linked, F.col("to")).alias("to")), "arcs")
+    arcs = materialize(e.groupBy("v", "to").agg(F.count("*").alias("c")), "followed")  # combined before the exchange
+    begins = arcs.groupBy("v").agg(F.sum("c").alias("all")).join(arcs.where("to IS NOT NULL").groupBy(F.col("to").alias("v")).agg(F.sum("c").alias("entered")), "v", "left")
     one_out = arcs.groupBy("v").agg(F.count("*").alias("out")).where("out = 1").select("v")
     ins = arcs.where("to IS NOT NULL").groupBy("to").agg(F.count("*").alias("in"))
     one_in = ins.where("in = 1").join(begins.where("all = entered").select(F.col("v").alias("to")), "to").select("to")
-    links = arcs.where("to IS NOT NULL").join(one_out, "v", "left_semi").join(one_in, "to", "left_semi").select("v", "to", F.lit(1).alias("go"))
+    links = materialize(arcs.where("to IS NOT NULL").join(one_out, "v", "left_semi").join(one_in, "to", "left_semi").select("v", "to", F.lit(1).alias("go")), "links")
     marked = e.join(links, ["v", "to"], "left")
     before = F.lag("go").over(document)
     joined = F.coalesce(before, F.lit(0)) * (F.lag(F.col("start") + F.col("n")).over(document) == F.col("start")).cast("int")
     runs = marked.withColumn("head", F.coalesce(1 - joined, F.lit(1))).withColumn("path", F.sum("head").over(document.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = runs.groupBy("_a", "_b", "path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min_by("v", "start").alias("v"), F.sum(F.col("v").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("chains"))
-    paths = materialize(paths, "paths")
-    agree = paths.groupBy("v").agg((F.min("sum") == F.max("sum")).alias("a"), (F.min(F.col("end") - F.col("start")) == F.max(F.col("end") - F.col("start"))).alias("b"), F.count("*").alias("c"))
-    wrong = paths.join(agree.where("NOT (a AND b)").select("v"), "v", "left_semi")
-    sound = paths.join(agree.where("a AND b").select("v"), "v", "left_semi").select("_a", "_b", "start", "end")
-    again = e.alias("e").join(wrong.alias("w"), (F.col("e._a") == F.col("w._a")) & (F.col("e._b") == F.col("w._b")) & (F.col("e.start") >= F.col("w.start")) & (F.col("e.start") < F.col("w.end")), "left_semi").select("_a", "_b", "start", (F.col("start") + F.col("n")).alias("end"))
-    return sound.union(again).select("_a", "_b", "start", (F.col("end") + (k - 1)).alias("stop"))
+    paths = runs.groupBy("_a", "_b", "path").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"), F.min_by("v", "start").alias("node"), F.min("lone").alias("lone"))
+    paths = materialize(paths.drop("path"), "paths")
+
+    def agreed(spans: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        told = _digests(keyed, spans, k, f"{name}-words")
+        seen = materialize(told.groupBy("node", "words").agg(F.count("*").alias("c")).where("c > 1").select("node", "words", F.lit(True).alias("good")), f"{name}-seen")
+        checked = materialize(told.join(seen, ["node", "words"], "left").select("_a", "_b", "start", "n", F.coalesce("good", F.lit(False)).alias("good")), name)
+        discard(told, seen)
+        return checked.where("good").drop("good"), checked
+
+    sound, checked = agreed(paths.where("NOT lone"), "checked")
+    spans = paths.where("lone").select("_a", "_b", "start", "n").union(sound)
+    wrong = materialize(checked.where("NOT good").select("_a", "_b", "start", "n").distinct(), "wrong")
+    if not wrong.isEmpty():
+        inside = (F.col("e._a") == F.col("w._a")) & (F.col("e._b") == F.col("w._b")) & (F.col("e.start") >= F.col("w.start")) & (F.col("e.start") < F.col("w.start") + F.col("w.n"))
+        pieces = e.alias("e").join(wrong.alias("w"), inside, "left_semi")
+        doubtful = materialize(pieces.where("NOT lone").select("v").distinct(), "doubtful")
+        good, _ = agreed(e.join(doubtful, "v", "left_semi").select("_a", "_b", "start", "n", F.col("v").alias("node"), "lone"), "again")
+        spans = spans.union(pieces.where("lone").select("_a", "_b", "start", "n")).union(good)
+    spans = materialize(spans.select("_a", "_b", "start", (F.col("start") + F.col("n") + (k - 1)).alias("stop")), "spans")
+    discard(e, arcs, links, paths, checked, wrong)
+    return spans
 
 
 def _kept(spaced: bool):
@@ -199,15 +243,19 @@ def _kept(spaced: bool):
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", spaced: bool = True) -> DataFrame:
     """Every row with its own columns as a struct `_row`, n_words, n_removed and `kept`, the text without the words of windows that occur twice.
 
-    Windows are judged on the input. Null and empty texts have no words; texts of fewer than k words lose none; a repeated
-    row's windows occur twice, so both lose theirs; an empty table gives an empty one.
+    Windows are judged on the input. Null and empty texts have no words; texts of fewer than k words lose none; very long
+    texts are read whole, one of them in memory at a time; a repeated row's windows occur twice, so both lose theirs; rows
+    with null ids count like others; an empty table gives an empty one; other columns are in `_row` if not `spaced`, else
+    ignored, whatever their names.
     """
-    spans = repeated_spans(docs, k, m, id_col, text_col).groupBy("_a", "_b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(docs, k, m, id_col, text_col)
+    lists = materialize(spans.groupBy("_a", "_b").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "lists")
+    discard(spans)
     t = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if spaced is False or c == id_col])
     keyed = docs.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_a"), F.xxhash64(t, F.col(id_col).isNull()).alias("_b"), t.alias("_t"))
     kind = keyed.schema["_row"].dataType.simpleString()
-    both = keyed.join(spans, ["_a", "_b"], "left").select("_row", "_t", "spans")
+    both = keyed.join(lists, ["_a", "_b"], "left").select("_row", "_t", "spans")
     return both.mapInArrow(_kept(spaced), f"_row {kind}, n_words bigint, n_removed bigint, kept string")
 
 

@@ -63,6 +63,23 @@ def test_chains_hold_every_window_once():
     assert got == sorted((o, i) for o in range(5) for i in range(offsets[o + 1] - offsets[o] - 34))
 
 
+def test_colliding_hashes_take_no_text_away(spark, monkeypatch):
+    """All chains of one length have the same hash: only what really repeats goes."""
+    real = substrings.chains
+
+    def collide(hashes, offsets, k=substrings.K, m=substrings.M):
+        owner, start, size, anchor, content = real(hashes, offsets, k, m)
+        return owner, start, size, np.zeros_like(anchor), np.zeros_like(content)
+
+    monkeypatch.setattr(substrings, "chains", collide)
+    r = random.Random(3)
+    make = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(50))
+    twice = make()
+    rows = [(i, t, None, None, 0, None, 0, 0) for i, t in enumerate([make(), make(), make(), twice, twice])]
+    got = {x.doc_id: x.n_removed for x in substrings.digest(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(3)] == [0, 0, 0] and got[3] == got[4]
+
+
 def shingle_set(t, k):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -136,7 +153,7 @@ def test_groups_odd_tables(spark, docs):
 
 def test_tree_finds_all_that_the_bound_allows():
     r = np.random.default_rng(3)
-    points = r.poisson(2, (200, jaccard_join.DIMS)).astype(np.uint16)
+    points = r.poisson(2, (200, jaccard_join.DIMS)).astype(np.uint8)
     sizes = points.sum(1, dtype=np.int64)
     tree = jaccard_join.Tree(points, sizes)
     for at_once in (1 << 14, 7):
@@ -149,10 +166,11 @@ def test_tree_finds_all_that_the_bound_allows():
             assert {(i, j) for j in np.flatnonzero(able).tolist()} <= found
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components(spark, one_task):
     r = random.Random(2)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(None, 3), (7, 7)]
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     root = {}
 
     def find(x):
@@ -165,7 +183,7 @@ def test_components(spark):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in list(root)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 def repeated_rows():
@@ -288,7 +306,7 @@ def test_pairs_come_from_one_key(monkeypatch):
     import pyarrow as pa
 
     r = np.random.default_rng(4)
-    points = r.poisson(1, (6, jaccard_join.DIMS)).astype(np.uint16)
+    points = r.poisson(1, (6, jaccard_join.DIMS)).astype(np.uint8)
     points[1:] = points[0]
     size, rows = int(points[0].sum()), []
     for key in (5, 7, 9):
