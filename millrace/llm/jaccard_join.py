@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import BASE, components, discard, hashed_words, materialize, mix, ragged, text_chunks, width, window_hashes
 
-#: Words of a shingle, threshold in hundredths, dimensions of the points, members of an R-tree cell.
-SHINGLE, PERCENT, DIMS, CELL = 4, 85, 128, 500
+#: Words of a shingle, threshold in hundredths, dimensions of the points and of the tree's boxes, members of an R-tree cell.
+SHINGLE, PERCENT, DIMS, BOXES, CELL = 4, 85, 512, 64, 2000
 
-#: Largest count that a point holds; two such counts bound nothing.
-FULL = (1 << 8) - 1
+#: Keys of a member that are looked at to see whether a pair has met under a lesser one.
+LEAST = 32
+
+#: Largest count that a point holds, and a box; two such counts bound nothing.
+FULL, BOX_FULL = (1 << 8) - 1, (1 << 16) - 1
 
 #: The ratio of one size class to the next.
 CLASS = 1.6
@@ -115,10 +118,16 @@ def points_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(place, minlength=(len(offsets) - 1) * DIMS), FULL).astype(np.uint8).reshape(-1, DIMS)
 
 
+def coarse(points: np.ndarray) -> np.ndarray:
+    """Points of BOXES dimensions, each the sum of neighbours; the sum of their minima is no less than that of the points'."""
+    parts = points.reshape(len(points), BOXES, -1)
+    return np.where((parts == FULL).any(2), BOX_FULL, parts.sum(2, dtype=np.uint32)).astype(np.uint16)
+
+
 def smaller(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums of coordinate minima, a bound on the overlap of the sets behind the points; no bound where both counts are full."""
     least = np.minimum(a, b)
-    return least.sum(1, dtype=np.int64) + (1 << 40) * (least.max(1, initial=0) >= FULL)
+    return least.sum(1, dtype=np.int64) + (1 << 40) * (least.max(1, initial=0) >= (FULL if a.dtype == np.uint8 else BOX_FULL))
 
 
 def profiles(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -143,11 +152,13 @@ def profiles(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 
 class Tree:
-    """R-tree over points: nodes of a fixed fan-out, packed along the sum and then the first coordinates."""
+    """R-tree over points: nodes of a fixed fan-out, packed along the sum and then the first coordinates; boxes are of coarse points."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = 16):
-        self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
-        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
+        boxes = coarse(points)
+        self.order = np.lexsort((boxes[:, 1], boxes[:, 0], sizes))
+        self.points = points[self.order]
+        self.levels = [(boxes[self.order], sizes[self.order], sizes[self.order])]
         self.fan = fan
         while len(self.levels[-1][0]) > fan:
             upper, least, most = self.levels[-1]
@@ -156,7 +167,7 @@ class Tree:
 
     def search(self, points: np.ndarray, sizes: np.ndarray, percent: int, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
         """(query, entry) pairs whose overlap may reach what their sizes need. Nodes are visited `at_once` a step at most, so memory is bounded."""
-        top = len(self.levels) - 1
+        boxes, top = coarse(points), len(self.levels) - 1
         width = len(self.levels[top][0])
         step = max(1, at_once // width)
         todo = [(top, np.repeat(np.arange(i, min(i + step, len(points))), width), np.tile(np.arange(width), min(step, len(points) - i))) for i in range(0, len(points), step)]
@@ -167,9 +178,12 @@ class Tree:
             size = sizes[q]
             near = np.flatnonzero((100 * most[e] >= percent * size) & (percent * least[e] <= 100 * size))
             q, e, size = q[near], e[near], size[near]
-            able = np.flatnonzero(smaller(upper[e], points[q]) >= needed(size, np.maximum(least[e], -(-percent * size // 100)), percent))
+            need = needed(size, np.maximum(least[e], -(-percent * size // 100)), percent)
+            able = np.flatnonzero(smaller(upper[e], boxes[q]) >= need)
             q, e = q[able], e[able]
             if level == 0:
+                able = np.flatnonzero(smaller(self.points[e], points[q]) >= need[able])
+                q, e = q[able], e[able]
                 queries.append(q)
                 entries.append(self.order[e])
                 continue
@@ -213,8 +227,9 @@ def _flat(table: pa.Table, name: str) -> pa.Array:
 def _tree_pairs(percent: int):
     """Of members of cells (key, i, j, leaf, node, component, n, point, keys), sorted by cell: pairs of different components that the R-tree lets through.
 
-    A cell is a key's leaf (i = j), or two of its leaves, of which one is searched for the members of the other. A pair that
-    meets under several keys comes from the least of them only; `keys` are all of a member's, in order.
+    A cell is a key's leaf (i = j), or two of its leaves, of which one is searched for the members of the other. `keys` are a
+    member's least ones, in order: a pair that has met under one of them comes from there only. It may come again where it
+    meets under further keys, but never not at all.
     """
 
     def rows(batches):
@@ -241,7 +256,8 @@ def _tree_pairs(percent: int):
                 x, y = ask[q], held[e]
                 apart = (part[x] != part[y]) & ((x < y) | (i[a] != j[a]))
                 for x, y in zip(x[apart].tolist(), y[apart].tolist()):
-                    if np.intersect1d(values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]], assume_unique=True)[0] == key[a]:
+                    met = np.intersect1d(values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]], assume_unique=True)
+                    if len(met) == 0 or met[0] >= key[a]:
                         left.append(node[x])
                         right.append(node[y])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["x", "y"])
@@ -339,7 +355,7 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
     main = materialize(main, "open")
     members = materialize(placed.join(main, "key"), "members")
     discard(placed, main)
-    lists = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # no more than a document has
+    lists = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST).alias("keys"))  # no more than a document has
     facts = materialize(whole.select("node", "n", "point").join(lists, "node"), "facts")
     leaf = F.when(F.col("component") == F.col("main"), -1 - F.pmod(F.xxhash64("node"), F.col("lm"))).otherwise(F.pmod(F.xxhash64("node"), F.col("lo"))).cast("int")
     spread = members.join(facts, "node").withColumn("leaf", leaf)

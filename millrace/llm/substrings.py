@@ -121,7 +121,7 @@ def _digest_rows(k: int, single: bool):
 def _digests(keyed: DataFrame, spans: DataFrame, k: int, name: str, single: bool = False) -> DataFrame:
     """`_digest_rows` of spans (_a, _b, start, n, node, lone), read from the texts at their coordinates; written. A repeated row's spans come once for each row."""
     parts = materialize(spans.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", F.col("n").cast("long").alias("n"), "node", "lone")).alias("parts")), "parts")  # no more than one document has
-    out = keyed.join(parts, ["_a", "_b"]).select("_a", "_b", "_t", "parts").mapInArrow(_digest_rows(k, single), "node bigint, words binary, lone boolean, _a bigint, _b bigint, start bigint, n bigint")
+    out = keyed.join(parts.hint("merge"), ["_a", "_b"]).select("_a", "_b", "_t", "parts")  # grows with the corpus: not broadcast.mapInArrow(_digest_rows(k, single), "node bigint, words binary, lone boolean, _a bigint, _b bigint, start bigint, n bigint")
     out = materialize(out, name)
     discard(parts)
     return out
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if spaced is False or c == id_col])
     keyed = docs.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_a"), F.xxhash64(t, F.col(id_col).isNull()).alias("_b"), t.alias("_t"))
     kind = keyed.schema["_row"].dataType.simpleString()
-    both = keyed.join(lists, ["_a", "_b"], "left").select("_row", "_t", "spans")
+    both = keyed.join(lists.hint("merge"), ["_a", "_b"], "left").select("_row", "_t", "spans")
     return both.mapInArrow(_kept(spaced), f"_row {kind}, n_words bigint, n_removed bigint, kept string")
 
 
