@@ -94,9 +94,15 @@ def fit(labelled: DataFrame, sample: int = 1200, landmarks: int = 240, ridge: fl
         return None
     each = max(20, sample // len(counts))
     d = d.withColumn("h", F.xxhash64(F.col("i"), F.lit(11)))
-    # First a share that holds twice the sample, by a bound on the hash; then the least hashes of each language.
-    share = F.create_map(*[x for g, n in counts.items() for x in (F.lit(g), F.lit(min(1.0, 2 * each / n)))])
-    d = d.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share[F.col("g")])
+    # First a share that holds twice the sample, by a bound on the hash; then the least hashes of each language. Where many
+    # rows have one id, and so one hash, such a share may hold too few: that language is taken whole.
+    def cut(shares: dict[str, float]) -> DataFrame:
+        share = F.create_map(*[x for g, f in shares.items() for x in (F.lit(g), F.lit(f))])
+        return d.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share[F.col("g")])
+
+    shares = {g: min(1.0, 2 * each / n) for g, n in counts.items()}
+    held = {r.g: r.n for r in cut(shares).groupBy("g").agg(F.count("*").alias("n")).collect()} if min(shares.values()) < 1 else counts
+    d = cut({g: f if held.get(g, 0) >= min(each, counts[g]) else 1.0 for g, f in shares.items()})
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h", "i", "t"))).where(F.col("r") <= each)
 
     def bits(batches):
@@ -132,7 +138,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Learns outside the held-out fold (crc32 of doc_id as text, modulo `folds`) and predicts every row: doc_id, held_out, lang_pred, score.
 
-    Rows without an id are neither held out nor learnt from. Repeated rows each get a row; an empty table gives an empty one.
+    Rows without an id are neither held out nor learnt from; null texts and those without a letter are `und`; very long
+    texts are looked at whole; repeated rows each get a row and are learnt from like others; of equal scores the first
+    language by name wins; an empty table gives an empty one; other columns are ignored, whatever their names. The driver
+    holds `sample` rows of 8 KB, or 20 a language if that is more: languages are the classes, so they are few.
     """
     fold = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(folds)) == held
     model = fit(docs.where(~fold("doc_id")))
