@@ -72,29 +72,45 @@ def split(quotas: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray
         pool -= q
         if want == 0:
             break
-        if q + pool < 10**9:
-            got = int(rng.hypergeometric(q, pool, want)) if q else 0
-        else:  # beyond the library's range: the normal limit, kept within what is possible
-            p = q / (q + pool)
-            got = round(want * p + rng.standard_normal() * (want * p * (1 - p) * pool / max(1, q + pool)) ** 0.5)
-            got = max(0, want - pool, min(q, want, got))
+        got = int(rng.hypergeometric(q, pool, want)) if q else 0
         out[i] = got
         want -= got
     return out
 
 
+def even(quotas: list[int], size: int) -> list[int]:
+    """`size` slots of the quotas in proportion, the largest remainders rounded up."""
+    total = sum(quotas)
+    out = [q * size // total for q in quotas]
+    for i in sorted(range(len(quotas)), key=lambda i: (-(quotas[i] * size % total), i))[: size - sum(out)]:
+        out[i] += 1
+    return out
+
+
 class Shards:
-    """Counts and starts of every source in any output shard."""
+    """Counts and starts of every source in any output shard.
+
+    Quotas are spread evenly over regions of shards, of at most `region` slots (what the exact draws can hold); inside a
+    region they are drawn.
+    """
 
-    def __init__(self, quotas: np.ndarray, shard: int, seed: int):
+    def __init__(self, quotas: np.ndarray, shard: int, seed: int, region: int = 1 << 28):
         self.total, self.shard, self.seed = int(quotas.sum()), shard, seed
-        self.n = -(-self.total // shard)
-        self.path = [(0, self.n, quotas, np.zeros_like(quotas))]
+        self.n, self.per = -(-self.total // shard), max(1, region // shard)
+        self.regions, left, before = [], [int(q) for q in quotas], [0] * len(quotas)
+        for lo in range(0, self.n, self.per):
+            hi = min(self.n, lo + self.per)
+            own = even(left, min(self.total, hi * shard) - lo * shard)
+            self.regions.append((lo, hi, np.array(own, np.int64), np.array(before, np.int64)))
+            left, before = [a - b for a, b in zip(left, own)], [a + b for a, b in zip(before, own)]
+        self.path = []
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(slots, slots before) of each source; neighbours share most of the walk."""
-        while not self.path[-1][0] <= k < self.path[-1][1]:
+        while self.path and not self.path[-1][0] <= k < self.path[-1][1]:
             self.path.pop()
+        if not self.path:
+            self.path.append(self.regions[k // self.per])
         while self.path[-1][1] - self.path[-1][0] > 1:
             lo, hi, quotas, before = self.path[-1]
             mid = (lo + hi) // 2
@@ -125,8 +141,9 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, share:
 
     One row a source goes to the driver (it is what weights are set for). Documents are laid out by range partitions with
     running sums inside each, so a source that holds most rows is spread like any other. Null texts have no words; null
-    sources are a source; rows with equal ids are laid out by size; an empty table gives an empty one; other columns are
-    ignored. Reruns agree: draws depend on the seed and on the sources' sizes alone.
+    sources are a source; rows with equal ids are laid out by size, repeated rows one after the other; very long texts reach
+    into many blocks, which are made a bounded number at a time; an empty table gives an empty one; other columns are
+    ignored, whatever their names. Reruns agree: draws depend on the seed and on the sources' sizes alone.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
