@@ -133,7 +133,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     places = spark.createDataFrame([(t, before[p]) for p, t in top.items()], "top long, _part long")  # a row a partition
     copies = firsts.join(F.broadcast(places), F.col("_id").eqNullSafe(F.col("top"))).select("_part", "_id", "_t", F.lit(0).alias("_own"))
     both = d.select("_part", "_id", "_t", F.lit(1).alias("_own")).union(copies)
-    return both.repartition(n, "_part").sortWithinPartitions("_part", F.desc("_own"), F.desc_nulls_last("_id"), "_t"), parts
+    return both.repartitionById(n, F.col("_part").cast("int")).sortWithinPartitions("_part", F.desc("_own"), F.desc_nulls_last("_id"), "_t"), parts
 
 
 def edited(text: str, following: str) -> str:
@@ -145,8 +145,10 @@ def edited(text: str, following: str) -> str:
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    One exchange of the texts; fingerprints of a text and of its edited form are made in the same pass. A single row is its
-    own next one; repeated rows follow each other; an empty table gives an empty one; other columns are ignored.
+    One exchange of the texts; fingerprints of a text and of its edited form are made in the same pass. Null texts are empty
+    ones; very long texts are hashed whole, one of them in memory at a time; a single row is its own next one; repeated
+    rows follow each other; null ids come last; an empty table gives an empty one; other columns are ignored, whatever
+    their names.
     """
     dealt, _ = with_next(docs, id_col, text_col)
 
