@@ -125,7 +125,8 @@ def test_html_links_around_the_article():
 def test_html_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "y")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in got)[:2] == [(0, 0, 0), (1, 223, 223)] or len(got) == 4
+    text = "\n\n".join(html_text.content(PAGE))
+    assert text and Counter((r.page_id, r.url, r.text) for r in got) == {(1, "u", text): 2, (None, None, ""): 1, (2, "v", ""): 1}
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -165,7 +166,7 @@ def test_quality_fit_matches_plain_expectation_maximisation(spark):
         for v, vote in zip(m.votes, x[:4]):
             good, bad = good * v[vote][0], bad * v[vote][1]
         assert x.p == pytest.approx(good / (good + bad))
-    assert sum((x.p >= 0.5) == t for x, t in zip([m.odds(v) for v in rows] and got, truth)) > 1900 or len(got) == 2000
+    assert [x[:4] for x in got] == rows and sum((x.p >= 0.5) == t for x, t in zip(got, truth)) > 1850
 
 
 def test_quality_filter_keeps_columns(spark, docs):
@@ -209,6 +210,14 @@ def test_language_without_labels(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_language_of_one_repeated_id(spark):
+    """All rows of a language share an id, and so a hash, whatever side of the first cut that falls on."""
+    rows = [(i, t, g) for i in (1, 7) for g, t in (("en", "the other thing and"), ("fr", "que le temps é"))] * 80
+    for i in range(8):
+        df = spark.createDataFrame([(i, t, g) for _, t, g in rows], "doc_id long, text string, lang string")
+        assert set(language.fit(df, sample=40).langs) == {"en", "fr"}
+
+
 def test_nystroem_equals_full_kernel_ridge():
     """With every row a landmark the solution is kernel ridge regression itself."""
     r = np.random.default_rng(2)
@@ -249,6 +258,43 @@ def test_shards_share_out_the_quotas():
     assert all((again[k][0] == mixing.Shards(q, 128, 3)[k][0]).all() for k in (7, 3, 30))
 
 
+def test_shards_in_regions():
+    """Quotas beyond one region are spread evenly, and drawn inside the regions."""
+    q = np.array([100_000, 0, 37, 409_600])
+    s = mixing.Shards(q, 128, 3, region=4096)
+    before = np.zeros(4, int)
+    for k in range(s.n):
+        counts, start = s[k]
+        assert (start == before).all() and counts.sum() == min(128, q.sum() - 128 * k) and (counts >= 0).all()
+        before = before + counts
+    assert (before == q).all() and len(s.regions) == -(-s.n // 32)
+    assert mixing.even([3, 10**18, 0], 10**17)[1] > 99 * 10**15
+    big = mixing.Shards(np.array([3 * 10**11, 10**11]), 4096, 1)
+    assert big[10**7][0].sum() == 4096
+
+
+def test_mix_takes_what_the_slots_read(spark, unique, unique_rows):
+    """Words taken of every document, against the slots drawn one by one."""
+    block, shard, seed = 8, 64, 17
+    sources = mixing.plan([(n, sum(len(words(r[1])) for r in unique_rows if r[3] == n)) for n in {r[3] for r in unique_rows}], block)
+    drawn = [Counter() for _ in sources]
+    shards = mixing.Shards(np.array([x.slots for x in sources]), shard, seed)
+    for place in range(shards.n):
+        counts, before = shards[place]
+        for k, x in enumerate(sources):
+            for slot in range(before[k], before[k] + counts[k]):
+                epoch, i = divmod(slot, x.blocks)
+                drawn[k][int(mixing.permuted(np.array([i]), x.blocks, (seed * 1_000_003 + k) * 64 + epoch)[0])] += 1
+    want = {}
+    for k, x in enumerate(sources):
+        at = 0
+        for r in sorted((r for r in unique_rows if r[3] == x.name), key=lambda r: r[0]):
+            n = len(words(r[1]))
+            want[r[0]] = sum(drawn[k][w // block] for w in range(at, at + n))
+            at += n
+    assert {r.doc_id: r.taken for r in mixing.mix_sources(unique, block, shard, seed=seed).collect()} == want
+
+
 def test_mix(spark, unique, unique_rows):
     got = mixing.mix_sources(unique, block=8).collect()
     size = {r[0]: len(words(r[1])) for r in unique_rows}
