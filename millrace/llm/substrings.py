@@ -121,7 +121,8 @@ def _digest_rows(k: int, single: bool):
 def _digests(keyed: DataFrame, spans: DataFrame, k: int, name: str, single: bool = False) -> DataFrame:
     """`_digest_rows` of spans (_a, _b, start, n, node, lone), read from the texts at their coordinates; written. A repeated row's spans come once for each row."""
     parts = materialize(spans.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", F.col("n").cast("long").alias("n"), "node", "lone")).alias("parts")), "parts")  # no more than one document has
-    out = keyed.join(parts.hint("merge"), ["_a", "_b"]).select("_a", "_b", "_t", "parts")  # grows with the corpus: not broadcast.mapInArrow(_digest_rows(k, single), "node bigint, words binary, lone boolean, _a bigint, _b bigint, start bigint, n bigint")
+    # The spans grow with the corpus, so they are not broadcast.
+    out = keyed.join(parts.hint("merge"), ["_a", "_b"]).select("_a", "_b", "_t", "parts").mapInArrow(_digest_rows(k, single), "node bigint, words binary, lone boolean, _a bigint, _b bigint, start bigint, n bigint")
     out = materialize(out, name)
     discard(parts)
     return out
