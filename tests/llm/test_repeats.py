@@ -243,6 +243,26 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in kept["source_mix"]} == {r.doc_id for r in kept["best_fit_packing"]}
 
 
+def test_pipeline_runs_on_odd_tables(spark, docs, rows, tmp_path):
+    """run() over null ids, repeated rows, null, empty and long texts and columns of clashing names, and over an empty table."""
+    import corpus_pipeline
+
+    for name, table in (("odd", docs), ("empty", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert got and {r.doc_id for r in got} <= {r[0] for r in rows}
+    at = defaultdict(list)
+    for r in got:
+        at[r.sequence_id].append((r.offset, r.length))
+    for held in at.values():
+        ends = [0]
+        for offset, length in sorted(held):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 @pytest.mark.parametrize("name", ["op3_substring_dedup", "op9_jaccard_join"])
 def test_queries_with_sql(spark, name):
