@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from math import exp
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import filled, text_chunks
 
 #: Elements whose content is no markup.
-RAW = "script|style|noscript|template|iframe|textarea|title|xmp|noembed|noframes"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|([^<]+|<)", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in "script style noscript template iframe textarea title xmp noembed noframes".split()}
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -64,71 +67,162 @@ def _other(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int, bool]]:
-    """The page's blocks in order: elements around it (numbers, outermost first), path, text, characters in links, whether it may be article text."""
-    out: list[tuple[tuple[int, ...], str, str, int, bool]] = []
-    tags, ids, others, held, links, n, link, shut = [""], [0], [False], [], 0, 0, 0, None
-
-    def flush():
-        nonlocal held, links
-        if held:
-            text = _SPACE.sub(" ", "".join(held)).strip()
-            if text:
-                out.append((tuple(ids), "/".join(tags), text, links, not others[-1]))
-            held, links = [], 0
-
-    def pop():
-        tags.pop()
-        ids.pop()
-        others.pop()
-
-    for m in _TOKEN.finditer(page):
-        text = m.group(5)
-        if text is not None:
-            if "&" in text:
-                text = html.unescape(text)
-            held.append(text)
-            if link:
-                links += len(text.strip())
-            continue
-        tag = m.group(3)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag in INLINE:
-            if tag == "br":
-                held.append(" ")
-            elif tag == "a":
-                link = 0 if m.group(2) else 1
-            # An inline element that is no article text (a badge, a hidden span) is passed over up to its end.
-            elif shut is None and not m.group(2) and m.group(4) and _other(tag, m.group(4), True):
-                shut = tag, len(held)
-            elif shut and m.group(2) and shut[0] == tag:
-                del held[shut[1] :]
-                shut = None
-            continue
-        flush()
-        shut = None
-        if m.group(2):
-            if tag in tags:
-                while tags[-1] != tag:
-                    pop()
-                pop()
-            link = 0
+def _tokens(page: str) -> Iterator[tuple[str, str, str, str | None]]:
+    """The page's tags (slash, name, attributes, None) and texts ("", "", "", text), in one pass.
+
+    A quote without an end doesn't count as one: tags up to it end at their first `>`. So at most two searches for the end of
+    a quote are in vain. A tag without an end is no text, as in browsers.
+    """
+    at, size, broken = 0, len(page), 0
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            yield "", "", "", page[at:end]
+            at = end
             continue
-        if tag in VOID or m.group(4).endswith("/") and tag not in CLOSES:
+        name = _NAME.match(page, at)
+        if name is None:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+            elif page.startswith(("<!", "<?"), at):
+                at = page.find(">", at) + 1 or size
+            else:
+                yield "", "", "", "<"
+                at += 1
             continue
-        for t in CLOSES.get(tag, ()):
-            if t in tags[-3:] and not (t == "li" and tags[-1] in ("ul", "ol")) and not (t in ("td", "th", "tr") and tags[-1] == "table"):
-                while t in tags[-3:]:
+        begin = name.end()
+        end = begin if begin < broken else _INSIDE.match(page, begin).end()
+        if begin >= broken and page[end : end + 1] != ">":
+            broken = end + 1
+        if begin < broken:
+            end = page.find(">", begin)
+        if end < 0:
+            return
+        slash, tag, at = name.group(1), name.group(2).lower(), end + 1
+        if tag in RAW and not slash:
+            close = RAW[tag].search(page, at)
+            at = (page.find(">", close.end() - 1) + 1 or size) if close else size
+        else:
+            yield slash, tag, page[begin:end], None
+
+
+class Block(NamedTuple):
+    """node: the element that it stands in; path: a number of the tags down to there; links: characters in links; able: whether it may be article text."""
+
+    node: int
+    path: int
+    text: str
+    links: int
+    able: bool
+
+    @property
+    def linked(self) -> bool:
+        """Whether half or more of the block is links."""
+        return self.links * 2 >= max(1, len(self.text))
+
+
+class Page:
+    """A page's blocks and elements, in order. Elements are numbered as they open, 0 is the page, so those inside one are a range."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.tag, self.parent, self.last = [""], [0], [0]
+        self.declared = [0]  # the innermost article or main element around, itself included; 0: none
+        paths: dict[tuple[int, str], int] = {}
+        stack, path, others, opened = [0], [0], [False], Counter()
+        held: list[str] = []
+        links, link, shut = 0, 0, None
+
+        def flush():
+            nonlocal held, links
+            if held:
+                text = _SPACE.sub(" ", "".join(held)).strip()
+                if text:
+                    self.blocks.append(Block(stack[-1], path[-1], text, links, not others[-1]))
+                held, links = [], 0
+
+        def pop():
+            path.pop()
+            others.pop()
+            node = stack.pop()
+            self.last[node] = len(self.tag) - 1
+            opened[self.tag[node]] -= 1
+
+        def near(tag):
+            return any(self.tag[node] == tag for node in stack[-3:])
+
+        for slash, tag, attrs, text in _tokens(page):
+            if text is not None:
+                if "&" in text:
+                    text = html.unescape(text)
+                held.append(text)
+                if link:
+                    links += len(text.strip())
+                continue
+            if tag in INLINE:
+                if tag == "br":
+                    held.append(" ")
+                elif tag == "a":
+                    link = 0 if slash else 1
+                # An inline element that is no article text (a badge, a hidden span) is passed over up to its end.
+                elif shut is None and not slash and attrs and _other(tag, attrs, True):
+                    shut = tag, len(held)
+                elif shut and slash and shut[0] == tag:
+                    del held[shut[1] :]
+                    shut = None
+                continue
+            flush()
+            shut = None
+            if slash:
+                if opened[tag]:
+                    while self.tag[stack[-1]] != tag:
+                        pop()
                     pop()
-        n += 1
-        inside = "article" in tags or "main" in tags
-        others.append(others[-1] or _other(tag, m.group(4), inside or tag in ("article", "main")))
-        tags.append(tag)
-        ids.append(n)
-    flush()
-    return out
+                link = 0
+                continue
+            if tag in VOID or attrs.endswith("/") and tag not in CLOSES:
+                continue
+            for t in CLOSES.get(tag, ()):
+                top = self.tag[stack[-1]]
+                if not (t == "li" and top in ("ul", "ol")) and not (t in ("td", "th", "tr") and top == "table"):
+                    while near(t):
+                        pop()
+            inside = opened["article"] or opened["main"] or tag in ("article", "main")
+            others.append(others[-1] or _other(tag, attrs, inside))
+            node = len(self.tag)
+            self.declared.append(node if tag in ("article", "main") else self.declared[stack[-1]])
+            self.tag.append(tag)
+            self.parent.append(stack[-1])
+            self.last.append(node)
+            opened[tag] += 1
+            path.append(paths.setdefault((path[-1], tag), len(paths) + 1))
+            stack.append(node)
+        flush()
+        while len(stack) > 1:
+            pop()
+        self.last[0] = len(self.tag) - 1
+
+    def heading(self, block: Block, *kinds: str) -> bool:
+        return self.tag[block.node] in (kinds or HEADINGS)
+
+    def within(self, block: Block, node: int) -> bool:
+        return node <= block.node <= self.last[node]
+
+    def shared(self, found: list[Block]) -> int:
+        """The innermost element around all blocks."""
+        node, most = min(b.node for b in found), max(b.node for b in found)
+        while self.last[node] < most:
+            node = self.parent[node]
+        return node
+
+    def branches(self, node: int) -> list[int]:
+        """For the elements from this one to its last, in order: the child of it that they are in (the first: itself)."""
+        out = [node]
+        for n in range(node + 1, self.last[node] + 1):
+            out.append(n if self.parent[n] == node else out[self.parent[n] - node])
+        return out
 
 
 def _smooth(values: list[float], radius: int = 1) -> list[float]:
@@ -141,72 +235,54 @@ def _smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
-def _shared(around: list[tuple[int, ...]]) -> int:
-    """How many elements from the outermost on are the same around all blocks."""
-    first, last = min(around), max(around)
-    return next((d for d, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))
-
-
-def _declared(tags: list[str]) -> int:
-    """The number of elements down to the last article or main; 0: none."""
-    return max((d + 1 for d, t in enumerate(tags) if t in ("article", "main")), default=0)
-
-
-def _linked(block: tuple) -> bool:
-    """Whether half or more of the block is links."""
-    return block[3] * 2 >= max(1, len(block[2]))
-
-
-def _heading(path: str) -> bool:
-    return path.rpartition("/")[2] in HEADINGS
-
-
-def _from_title(able: list, own: list[int]) -> int:
+def _from_title(page: Page, found: list[Block], own: list[int]) -> int:
     """Where the article begins: at the h1 before these blocks, or a heading just before, if they hold none of their own."""
-    if any(able[i][1].endswith("/h1") for i in own):
+    if any(page.heading(found[i], "h1") for i in own):
         return own[0]
-    title = next((i for i in range(own[0] - 1, -1, -1) if able[i][1].endswith("/h1")), -1)
-    if title < 0 and own[0] and not _heading(able[own[0]][1]) and _heading(able[own[0] - 1][1]):
+    title = next((i for i in range(own[0] - 1, -1, -1) if page.heading(found[i], "h1")), -1)
+    if title < 0 and own[0] and not page.heading(found[own[0]]) and page.heading(found[own[0] - 1]):
         title = own[0] - 1
     return own[0] if title < 0 else title
 
 
-def content(page: str, level: float = 0.5, whole: float = 0.9) -> list[str]:
+def content(source: str, level: float = 0.5, whole: float = 0.9) -> list[str]:
     """The article's blocks. level: threshold in standard deviations; whole: share of content text from which on a page's article and main elements are taken at their word."""
-    found = [b for b in blocks(page) if b[4]]
+    page = Page(source)
+    found = [b for b in page.blocks if b.able]
     # Blocks of links don't decide where the article is, but for one that has no others.
-    able = [b for b in found if not _linked(b)] or [b for b in found if _declared(b[1].split("/"))]
+    able = [b for b in found if not b.linked] or [b for b in found if page.declared[b.node]]
     if not able:
         return []
     chars, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for _, path, text, _, _ in able:
-        chars[path] += len(text)
-        marks[path] += len(_PUNCT.findall(text))
-        nodes[path] += 1
-    length = _smooth([chars[p] / nodes[p] for _, p, *_ in able])
-    points = _smooth([(1 + marks[p]) / nodes[p] for _, p, *_ in able])
+    for b in able:
+        chars[b.path] += len(b.text)
+        marks[b.path] += len(_PUNCT.findall(b.text))
+        nodes[b.path] += 1
+    length = _smooth([chars[b.path] / nodes[b.path] for b in able])
+    points = _smooth([(1 + marks[b.path]) / nodes[b.path] for b in able])
     fused = [a * b for a, b in zip(length, points)]
     mean = sum(fused) / len(fused)
     spread = (sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5
-    taken = [b for b, f in zip(able, fused) if f >= min(level * spread, max(fused))] or able
-    marked = [b for b in taken if _declared(b[1].split("/"))]
-    if marked and sum(len(b[2]) for b in marked) >= whole * sum(len(b[2]) for b in taken):
+    least = min(level * spread, max(fused))
+    taken = [b for b, f in zip(able, fused) if f >= least] or able
+    marked = [b for b in taken if page.declared[b.node]]
+    if marked and sum(len(b.text) for b in marked) >= whole * sum(len(b.text) for b in taken):
         taken = marked
-    depth = _shared([b[0] for b in taken])
-    around, tags = taken[0][0], taken[0][1].split("/")
-    inside = _declared(tags[:depth])
-    if inside:
-        return [b[2] for b in found if b[0][:inside] == around[:inside]]
+    around = page.shared(taken)
+    article = page.declared[around]
+    if article:
+        return [b.text for b in found if page.within(b, article)]
     # No article or main element is around all. A lone block is no article: its neighbours in the same element belong to it.
-    if depth > 1 and any(len(b[0]) == depth for b in taken):
-        depth -= 1
-    own = [i for i, b in enumerate(found) if b[0][:depth] == around[:depth]]
-    begin, end = _from_title(found, own), own[-1] + 1
+    if around and any(b.node == around for b in taken):
+        around = page.parent[around]
+    own = [i for i, b in enumerate(found) if page.within(b, around)]
+    begin, end = _from_title(page, found, own), own[-1] + 1
     # What is taken may be the page itself, or lie beside the article: lists of nothing but links are its menus there.
-    page_wide = tags[depth - 1] in ("", "html", "body")
-    texts = {b[0][: depth + 1] for b in able} if page_wide else set()
-    menu = lambda i, b: _linked(b) and not _heading(b[1]) and (i < own[0] or page_wide and b[0][: depth + 1] not in texts)
-    return [b[2] for i, b in enumerate(found[begin:end], begin) if not menu(i, b)]
+    page_wide = page.tag[around] in ("", "html", "body")
+    branch = page.branches(around) if page_wide else []
+    texts = {branch[b.node - around] for b in able if page.within(b, around)} if page_wide else set()
+    menu = lambda i, b: b.linked and not page.heading(b) and (i < own[0] or page_wide and branch[b.node - around] not in texts)
+    return [b.text for i, b in enumerate(found[begin:end], begin) if not menu(i, b)]
 
 
 def main_text(page: str) -> str:
@@ -216,7 +292,8 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars. One pass, no exchange. Null or empty html, and pages without text: an empty text.
 
-    Repeated rows each give a row; other columns are ignored.
+    Repeated rows each give a row; other columns are ignored. Very long or deeply nested pages take time and memory in
+    proportion to their length.
     """
 
     def rows(batches):

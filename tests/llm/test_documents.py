@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,23 @@ def test_html_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div>x" * 160_000, "<div>" * 100_000 + "<p>x.</p>" * 30_000, "<p title='it>Hello." * 50_000 + "'", "<a \"'>x" * 150_000, "<script " * 130_000, "<div>" * 50_000 + "</span></p>" * 60_000, "<!--" * 250_000],
+)
+def test_html_of_a_megabyte_in_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_html_odd_quotes_and_attributes():
+    assert html_text.content("<p title='it>Hello, this is a page.</p><p>More text.</p>") == ["Hello, this is a page.", "More text."]
+    page = "<article><p title='hidden gems'>First, one.</p><p data-id=ad>Second one.</p><p title='a > b'>Third one.</p><p hidden>Not this.</p></article>"
+    assert html_text.content(page) == ["First, one.", "Second one.", "Third one."]
+    assert html_text.content("<article><p>Text, and more.</p><p>1 < 2.</p></article><p title=") == ["Text, and more.", "1 < 2."]
+
+
 def measures(t):
     t = t or ""
     w = words(t)
