@@ -2,12 +2,12 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-
 import pytest
 from pyspark.sql import functions as F
 
