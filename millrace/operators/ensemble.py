@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass
-from math import exp, isqrt, log
+from hashlib import md5
+from math import isqrt, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,15 @@ def bootstrap(rows: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
 
 
 def _subsets(p: int, size: int, trees: int, seed: int) -> dict[int, list[int]]:
-    """A subset of the features for every tree."""
-    return {t: sorted(random.Random(f"{seed}:{t}").sample(range(p), size)) for t in range(trees)}
+    """A subset of the features for every tree: those of least digest."""
+    digest = lambda t, f: md5(f"{seed}:feature:{t}:{f}".encode()).hexdigest()
+    return {t: sorted(sorted(range(p), key=lambda f: digest(t, f))[:size]) for t in range(trees)}
+
+
+def _placed(rows: DataFrame, features, seed: int) -> DataFrame:
+    """Rows with numbers i in an order that depends on their values and the seed alone; equal rows are interchangeable."""
+    values = [F.col(f"`{c}`") for c in (*features, "y")]
+    return numbered(rows, [key(seed, *values), *values], "i")
 
 
 @dataclass(frozen=True)
@@ -39,9 +46,8 @@ class _Forest(Config):
     n_jobs: int = 1
 
     def _grow(self, rows: DataFrame, features, n: int, size: int, params: Params, shift: float = 0.0) -> tuple[Node, ...]:
-        placed = numbered(rows, [F.xxhash64(*rows.columns), *[F.col(f"`{c}`") for c in rows.columns]], "i")
         # Rows of equal values drawn by a tree are one row with a weight.
-        drawn = bootstrap(placed, n, self.n_trees, self.seed).groupBy("tree", *[F.col(f"`{f}`") for f in features], "y").agg(F.sum("w").alias("w"))
+        drawn = bootstrap(_placed(rows, features, self.seed).withColumn("y", F.col("y") - F.lit(shift)), n, self.n_trees, self.seed).groupBy("tree", *[F.col(f"`{f}`") for f in features], "y").agg(F.sum("w").alias("w"))
         trees = grow(drawn, list(features), params, _subsets(len(features), size, self.n_trees, self.seed), shift)
         return tuple(trees[t] for t in range(self.n_trees))
 
@@ -112,7 +118,7 @@ class RandomForestRegressor(_Forest):
         validated("mse", ("mse",), self.min_samples_split, self.min_samples_leaf)
         n = checked(df, features, label)
         shift = float(df.agg(F.avg(number(label))).first()[0])
-        rows = df.select(*[number(f).alias(f) for f in features], (number(label) - F.lit(shift)).alias("y"))
+        rows = df.select(*[number(f).alias(f) for f in features], number(label).alias("y"))
         params = Params(self.max_depth, self.min_samples_split, self.min_samples_leaf, "mse")
         return ForestRegressorModel(tuple(features), self._grow(rows, features, n, max(1, len(features) // 3), params, shift))
 
@@ -157,7 +163,7 @@ class _Boosting(Config):
         params, trees = Params(self.max_depth, 2, self.min_samples_leaf, "mse"), []
         names = list(features)
         if self.subsample < 1:
-            rows = numbered(rows, [F.xxhash64(*rows.columns), *[F.col(f"`{c}`") for c in rows.columns]], "i")
+            rows = _placed(rows, names, self.seed)
         state = materialize(rows, "boost")
         for t in range(self.n_trees):
             part = state.withColumn("r", residual)
@@ -245,7 +251,3 @@ class BoostedClassifierModel:
 
     def score(self, df: DataFrame, label: str = "label") -> float:
         return metrics.accuracy(self.predict(df, "_p"), label, "_p")
-
-
-def sigmoid(x: float) -> float:
-    return 1 / (1 + exp(-x)) if x >= 0 else exp(x) / (1 + exp(x))

@@ -27,6 +27,14 @@ class Sparse:
         rows = [(i, indices[k], data[k]) for i in range(n_rows) for k in range(indptr[i], indptr[i + 1])]
         return Sparse(n_rows, n_cols, spark.createDataFrame(rows, "row long, col int, value double"))
 
+    @staticmethod
+    def from_row_views(df: DataFrame, n_rows: int, n_cols: int) -> "Sparse":
+        """From rows (row, indices, values), as `row_views` gives them; rows that don't fit the dimensions fail the query."""
+        require(df, ["row", "indices", "values"])
+        fits = (F.size("indices") == F.size("values")) & F.col("row").between(0, n_rows - 1) & F.forall("indices", lambda j: j.between(0, n_cols - 1))
+        e = F.when(fits, F.arrays_zip("indices", "values")).otherwise(F.raise_error(F.lit("a row doesn't fit the dimensions")))
+        return Sparse(n_rows, n_cols, df.select(F.col("row").cast("long").alias("row"), F.inline(e).alias("col", "value")).select("row", F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value")))
+
     @staticmethod
     def from_dense(df: DataFrame, features: list[str], row_id: str = "row_id", n_rows: int | None = None) -> "Sparse":
         """Non-zero values of the feature columns."""

@@ -22,7 +22,7 @@ from .operators.preprocessing import LabelEncoder, MinMaxScaler, OneHotEncoder,
 from .operators.sparse import Sparse
 from .operators.tree import DecisionTreeClassifier, DecisionTreeRegressor
 from .plans.scratch import materialize
-from .sources.datasets import make_blobs, make_classification, make_regression
+from .sources.datasets import COLUMNS, ROWS, load_diabetes, load_iris, load_wine, make_blobs, make_classification, make_regression
 from .sources.persistence import load_json, load_msgpack, load_native, save_json, save_msgpack, save_native
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,10 @@ def _r(x: str, digits: int) -> str:
     return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0"
 
 
+def _md5(seed: int, *parts: str) -> str:
+    return f"(CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0::DOUBLE)"
+
+
 # --- preprocessing -------------------------------------------------------------------------------------------------
 
 _THREE = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -279,7 +283,28 @@ def logistic_optimality(spark, d):
     return rounded(g, 6, "g0", "gx", "gz")
 
 
-@query()
+def _newton_sql(steps: int) -> str:
+    """CTEs s (with y, x, z) and w0, w1, ... (a, b, c: intercept and weights): Newton steps for c = 1 from zero, solved by Cramer's rule."""
+    out = ["w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for k in range(steps):
+        out.append(f"e{k} AS (SELECT x, z, y, 1 / (1 + exp(-(a + b * x + c * z))) AS p FROM s, w{k})")
+        out.append(
+            f"h{k} AS MATERIALIZED (SELECT avg(p - y) AS g0, avg((p - y) * x) + any_value(b) AS g1, avg((p - y) * z) + any_value(c) AS g2, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * x) AS h01, avg(p * (1 - p) * z) AS h02, "
+            f"avg(p * (1 - p) * x * x) + 1 AS h11, avg(p * (1 - p) * x * z) AS h12, avg(p * (1 - p) * z * z) + 1 AS h22 FROM e{k}, w{k})"
+        )
+        out.append(f"m{k} AS (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM h{k})")
+        out.append(
+            f"w{k + 1} AS MATERIALIZED (SELECT a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS a, "
+            f"b - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS b, "
+            f"c - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS c FROM m{k}, w{k})"
+        )
+    return ", ".join(out)
+
+
+_LOGISTIC = f"WITH s AS (SELECT l_orderkey, l_partkey, l_quantity / 50 AS x, l_discount * 10 AS z, CAST(l_quantity / 50 + l_discount * 10 + l_tax * 20 > 1.8 AS INT) AS y FROM lineitem), {_newton_sql(10)}"
+
+
+@query(_LOGISTIC + f" SELECT l_orderkey, l_partkey, {_r('1 / (1 + exp(-(a + b * x + c * z)))', 6)} AS p1, (a + b * x + c * z > 0)::INT::DOUBLE AS prediction FROM s, w10")
 def logistic_predict(spark, d):
     df = _labelled(spark, d)
     m = LogisticRegression().fit(df, ["x", "z"])
@@ -392,21 +417,96 @@ def gradient_boosting_regressor(spark, d):
     return rounded(m.predict(df).select("i", "prediction"), 6, "prediction")
 
 
-@query()
+def _levels_sql(rows: str, depth: int, classes: int = 0, allowed: str = "", pre: str = "") -> str:
+    """CTEs that grow trees from `rows` (tree, w, y, f0, f1) level by level: splits {pre}b0, {pre}b1, ... and {pre}leaf (tree, node, value, p0)."""
+    parts = [f"sum(w * CAST(y = {k} AS INT))" for k in range(classes)] if classes else ["sum(w * y)", "sum(w * y * y)"]
+    sums = [f"s{k}" for k in range(len(parts))]
+
+    def impurity(side: str, n: str) -> str:
+        if classes:
+            return "(1 - " + " - ".join(f"({side}{s} / {n}) ** 2" for s in sums) + ")"
+        return f"greatest({side}s1 / {n} - ({side}s0 / {n}) ** 2, 0)"
+
+    out, stats = [f"{pre}d0 AS MATERIALIZED (SELECT tree, 1 AS node, w, y, f0, f1 FROM {rows})"], []
+    for k in range(depth):
+        d = f"{pre}d{k}"
+        use = f"JOIN {allowed} USING (tree, f)" if allowed else ""
+        out += [
+            f"{pre}h{k} AS (SELECT tree, node, f, v, sum(w) AS n, {', '.join(f'{e} AS {s}' for e, s in zip(parts, sums))} FROM (SELECT tree, node, w, y, 0 AS f, f0 AS v FROM {d} UNION ALL SELECT tree, node, w, y, 1, f1 FROM {d}) {use} SEMI JOIN (SELECT tree, node FROM {d} GROUP BY ALL HAVING min(y) <> max(y)) USING (tree, node) GROUP BY ALL)",
+            f"{pre}w{k} AS (SELECT tree, node, f, v, lead(v) OVER o AS nx, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS ln, sum(n) OVER (PARTITION BY tree, node, f) AS tn, {', '.join(f'sum({s}) OVER (o ROWS UNBOUNDED PRECEDING) AS l{s}, sum({s}) OVER (PARTITION BY tree, node, f) AS t{s}' for s in sums)} FROM {pre}h{k} WINDOW o AS (PARTITION BY tree, node, f ORDER BY v))",
+            f"{pre}r{k} AS (SELECT *, tn - ln AS rn, {', '.join(f't{s} - l{s} AS r{s}' for s in sums)} FROM {pre}w{k} WHERE nx IS NOT NULL)",
+            f"{pre}g{k} AS (SELECT tree, node, f, (v + nx) / 2 AS t, round({impurity('t', 'tn')} - ln / tn * {impurity('l', 'ln')} - rn / tn * {impurity('r', 'rn')}, 12) AS gain FROM {pre}r{k})",
+            f"{pre}b{k} AS MATERIALIZED (SELECT tree, node, f, t FROM {pre}g{k} {'' if classes else 'WHERE gain > 0'} QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f, t) = 1)",
+            f"{pre}d{k + 1} AS MATERIALIZED (SELECT tree, node * 2 + CAST(CASE f WHEN 0 THEN f0 ELSE f1 END > t AS INT) AS node, w, y, f0, f1 FROM {d} JOIN {pre}b{k} USING (tree, node))",
+        ]
+    for k in range(depth + 1):
+        if classes:
+            votes = [f"sum(w * CAST(y = {c} AS INT))" for c in range(classes)]
+            best = "CASE " + " ".join(f"WHEN {v} = greatest({', '.join(votes)}) THEN {c}" for c, v in enumerate(votes)) + " END::DOUBLE"
+            stats.append(f"SELECT tree, node, {best} AS value, {votes[0]} / sum(w) AS p0 FROM {pre}d{k} GROUP BY ALL")
+        else:
+            stats.append(f"SELECT tree, node, sum(w * y) / sum(w) AS value, 0.0 AS p0 FROM {pre}d{k} GROUP BY ALL")
+    out.append(f"{pre}leaf AS MATERIALIZED ({' UNION ALL '.join(stats)})")
+    return ", ".join(out)
+
+
+def _route_sql(rows: str, depth: int, pre: str = "") -> str:
+    """CTEs that lead `rows` (tree, i, f0, f1, more) to their leaves: {pre}out adds node, value and p0."""
+    out = [f"{pre}p0 AS (SELECT *, 1 AS node FROM {rows})"]
+    for k in range(depth):
+        out.append(f"{pre}p{k + 1} AS (SELECT p.* EXCLUDE (node), CASE WHEN b.f IS NULL THEN p.node ELSE p.node * 2 + CAST(CASE b.f WHEN 0 THEN p.f0 ELSE p.f1 END > b.t AS INT) END AS node FROM {pre}p{k} AS p LEFT JOIN {pre}b{k} AS b USING (tree, node))")
+    out.append(f"{pre}out AS MATERIALIZED (SELECT * FROM {pre}p{depth} JOIN {pre}leaf USING (tree, node))")
+    return ", ".join(out)
+
+
+def _forest_sql(target: str, trees: int, depth: int, classes: int = 0) -> str:
+    """Bootstraps and features by digests (seed 42), then the trees; out has a row for each row and tree."""
+    shift = "0" if classes else "(SELECT avg(y) FROM v)"
+    return f"""
+WITH s AS ({_TREE}), v AS (SELECT i, f0, f1, {target}::DOUBLE AS y FROM s), n AS (SELECT count(*) AS n FROM v),
+q AS (SELECT f0, f1, y - {shift} AS y, row_number() OVER (ORDER BY md5(concat_ws(':', '42', f0, f1, v.y)), f0, f1, v.y) - 1 AS i FROM v),
+ids AS (SELECT unnest(range(0, (SELECT n * {trees} FROM n))) AS id),
+draws AS (SELECT (id % {trees})::INT AS tree, floor({_md5(42, 'id')} * n)::BIGINT AS i, count(*)::DOUBLE AS w FROM ids, n GROUP BY ALL),
+d AS (SELECT tree, f0, f1, y, sum(w) AS w FROM draws JOIN q USING (i) GROUP BY ALL),
+t AS (SELECT unnest(range(0, {trees}))::INT AS tree), u AS (SELECT unnest([0, 1]) AS f),
+allowed AS (SELECT tree, f FROM t, u QUALIFY row_number() OVER (PARTITION BY tree ORDER BY md5(concat_ws(':', '42', 'feature', tree, f))) = 1),
+{_levels_sql('d', depth, classes, 'allowed')}, z AS (SELECT tree, i, f0, f1 FROM v, t), {_route_sql('z', depth)}
+"""
+
+
+def _boost_sql(rounds: int, depth: int, rate: float, share: float) -> str:
+    """Boosting of two classes, each round on the rows of least digest (seed 0); a{rounds} has raw."""
+    out = [
+        f"s AS ({_TREE})",
+        "v AS (SELECT i AS id, f0, f1, least(c, 1)::DOUBLE AS y FROM s)",
+        "a0 AS MATERIALIZED (SELECT *, ln(avg(y) OVER () / (1 - avg(y) OVER ())) AS raw, row_number() OVER (ORDER BY md5(concat_ws(':', '0', f0, f1, y)), f0, f1, y) - 1 AS i FROM v)",
+    ]
+    for k in range(rounds):
+        out += [
+            f"t{k} AS (SELECT 0 AS tree, 1.0::DOUBLE AS w, y - 1 / (1 + exp(-raw)) AS y, f0, f1 FROM a{k} QUALIFY row_number() OVER (ORDER BY md5(concat_ws(':', '{k}', i)), i) <= greatest(1, floor(count(*) OVER () * {share})))",
+            _levels_sql(f"t{k}", depth, pre=f"x{k}"),
+            f"y{k} AS (SELECT 0 AS tree, * FROM a{k})",
+            _route_sql(f"y{k}", depth, f"x{k}"),
+            f"a{k + 1} AS MATERIALIZED (SELECT id, f0, f1, y, i, raw + {rate} * value AS raw FROM x{k}out)",
+        ]
+    return "WITH " + ", ".join(out)
+
+
+@query(_boost_sql(3, 2, 0.5, 0.8) + f" SELECT id AS i, {_r('1 / (1 + exp(-raw))', 6)} AS p1, (raw >= 0)::INT::DOUBLE AS prediction FROM a3")
 def gradient_boosting_classifier(spark, d):
     df = _tree(spark, d).withColumn("c", F.least("c", F.lit(1.0)))
     m = GradientBoostingClassifier(n_trees=3, learning_rate=0.5, max_depth=2, subsample=0.8).fit(df, ["f0", "f1"], "c")
     return rounded(m.predict(m.predict_probabilities(df)).select("i", F.col("probability")[1].alias("p1"), "prediction"), 6, "p1")
 
 
-@query()
+@query(_forest_sql("c", 8, 4, 3) + f" SELECT i, {_r('avg(p0)', 6)} AS p0, (CASE WHEN sum((value = 0)::INT) >= greatest(sum((value = 1)::INT), sum((value = 2)::INT)) THEN 0 WHEN sum((value = 1)::INT) >= sum((value = 2)::INT) THEN 1 ELSE 2 END)::DOUBLE AS prediction FROM out GROUP BY i")
 def random_forest_classifier(spark, d):
     df = _tree(spark, d)
     m = RandomForestClassifier(n_trees=8, max_depth=4, seed=42).fit(df, ["f0", "f1"], "c")
     return rounded(m.predict(m.predict_probabilities(df)).select("i", F.col("probability")[0].alias("p0"), "prediction"), 6, "p0")
 
 
-@query()
+@query(_forest_sql("y", 8, 4) + f" SELECT i, {_r('avg(value) + (SELECT avg(y) FROM v)', 6)} AS prediction FROM out GROUP BY i")
 def random_forest_regressor(spark, d):
     df = _tree(spark, d)
     m = RandomForestRegressor(n_trees=8, max_depth=4, seed=42).fit(df, ["f0", "f1"], "y")
@@ -487,10 +587,32 @@ def kmeans_inertia(spark, d):
     return rounded(spark.createDataFrame([(m.inertia,)], "inertia double"), 4, "inertia")
 
 
-@query()
+def _plus_sql(k: int, runs: int, steps: int, seed: int) -> str:
+    """k-means++ draws by digests, Lloyd steps from each, and the run of least inertia: CTE won (i, k)."""
+    out = [_POINTS]
+    for r in range(runs):
+        for c in range(k):
+            weight = "least(" + ", ".join(f"(p.x - s{r}_{b}.x) ** 2 + (p.z - s{r}_{b}.z) ** 2" for b in range(c)) + ")" if c else "1.0::DOUBLE"
+            u = f"('0x' || substr(md5(concat_ws(':', '{seed}', '{r}', '{c}', p.x, p.z)), 1, 12))::BIGINT::DOUBLE"
+            seeds = "".join(f", s{r}_{b}" for b in range(c))
+            out.append(f"s{r}_{c} AS MATERIALIZED (SELECT x, z FROM (SELECT p.x, p.z, {weight} AS w, -ln(({u} + 1) / {float((1 << 48) + 1)!r}) AS e FROM p{seeds}) WHERE w > 0 ORDER BY e / w, x, z LIMIT 1)")
+        out.append(f"c{r}_0 AS (" + " UNION ALL ".join(f"SELECT {c} AS k, x, z FROM s{r}_{c}" for c in range(k)) + ")")
+        for t in range(steps):
+            out.append(f"a{r}_{t} AS MATERIALIZED (SELECT p.i, p.x, p.z, c.k, (p.x - c.x) ** 2 + (p.z - c.z) ** 2 AS dd FROM p, c{r}_{t} AS c QUALIFY row_number() OVER (PARTITION BY p.i ORDER BY dd, c.k) = 1)")
+            out.append(f"c{r}_{t + 1} AS MATERIALIZED (SELECT k, avg(x) AS x, avg(z) AS z FROM a{r}_{t} GROUP BY k)")
+    runs_of = " UNION ALL ".join(f"SELECT {r} AS run, i, k, dd FROM a{r}_{steps - 1}" for r in range(runs))
+    out.append(f"every AS MATERIALIZED ({runs_of}), best AS (SELECT run FROM every GROUP BY run ORDER BY sum(dd), run LIMIT 1), won AS (SELECT i, k FROM every JOIN best USING (run))")
+    return "WITH " + ", ".join(out)
+
+
+@query(_plus_sql(4, 2, 8, 7) + " SELECT i, k::INT AS label FROM won")
 def kmeans_plus_plus(spark, d):
     df = _customers(spark, d)
-    return KMeans(4, n_init=2, seed=7).fit(df, ["x", "z"]).labels(df).select("i", "label")
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return KMeans(4, max_iter=8, tol=0.0, n_init=2, seed=7).fit(df, ["x", "z"]).labels(df).select("i", "label")
 
 
 _DB = f"""
@@ -668,10 +790,6 @@ def pipeline_score(spark, d):
 # --- generators ----------------------------------------------------------------------------------------------------
 
 
-def _md5(seed: int, *parts: str) -> str:
-    return f"(CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0::DOUBLE)"
-
-
 def _gauss(seed: int, *parts: str) -> str:
     u, v = _md5(seed, *parts, "'u'"), _md5(seed, *parts, "'v'")
     return f"(sqrt(-2.0 * ln(1.0 - {u})) * cos({2 * pi!r} * {v}))"
@@ -696,6 +814,26 @@ def regression_rows(spark, d):
     return rounded(make_regression(spark, 400, 3, 2, 0.1, 5.0, 9), 7, "f0", "f1", "f2", "label")
 
 
+def _loader(load, name: str, width: int):
+    """A file of the table's shape, its values by a rule, read by its loader; the same rule in SQL."""
+    columns, rows = COLUMNS[name], ROWS[name]
+    values = [f"((i * {j + 3} + {j}) % 97) / 8.0" for j in range(len(columns))]
+    label = f"(i % {width})"
+
+    def run(spark, d):
+        made = spark.range(rows).withColumnRenamed("id", "i").select(*[F.expr(f"CAST({v} AS DOUBLE)").alias(c) for c, v in zip(columns, values)], F.expr(f"CAST({label} AS DOUBLE)").alias("label"))
+        folder = materialize(spark.range(1), name).written_to + "-csv"
+        made.write.csv(folder, header=True)
+        return load(spark, folder)
+
+    query("SELECT " + ", ".join(f"({v})::DOUBLE AS {c}" for c, v in zip(columns, values)) + f", {label}::DOUBLE AS label FROM range({rows}) AS t(i)", f"load_{name}")(run)
+
+
+_loader(load_iris, "iris", 3)
+_loader(load_diabetes, "diabetes", 347)
+_loader(load_wine, "wine", 3)
+
+
 # --- sparse --------------------------------------------------------------------------------------------------------
 
 _SPARSE = "s AS (SELECT p_partkey AS row, unnest([0, 1, 2]) AS col, unnest([p_size % 3, p_size % 4, p_size % 5])::DOUBLE AS value FROM part), e AS (SELECT * FROM s WHERE value <> 0), z AS (SELECT count(*) AS n FROM part)"
@@ -711,6 +849,22 @@ def sparse_from_dense(spark, d):
     return _sparse(spark, d).entries
 
 
+@query("SELECT i AS row, ((i + 2 * j) % 7)::INT AS col, (i + 0.5 * j)::DOUBLE AS value FROM range(300) AS t(i), range(3) AS u(j) WHERE j < i % 4")
+def sparse_from_csr(spark, d):
+    """Row i has i % 4 entries."""
+    cells = [[((i + 2 * j) % 7, i + 0.5 * j) for j in range(i % 4)] for i in range(300)]
+    starts = [0]
+    for row in cells:
+        starts.append(starts[-1] + len(row))
+    return Sparse.from_csr(spark, 300, 7, [v for row in cells for _, v in row], [c for row in cells for c, _ in row], starts).entries
+
+
+@query(f"WITH {_SPARSE} SELECT row, col::INT AS col, value FROM e")
+def sparse_from_row_views(spark, d):
+    s = _sparse(spark, d)
+    return Sparse.from_row_views(s.row_views(), s.n_rows + 1, s.n_cols).entries
+
+
 @query(f"WITH {_SPARSE} SELECT col::BIGINT AS row, row::INT AS col, value FROM e")
 def sparse_transpose(spark, d):
     return _sparse(spark, d).transpose().entries

@@ -13,10 +13,12 @@ from ..plans.frame import partitions
 IRIS = ("sepal_length", "sepal_width", "petal_length", "petal_width")
 DIABETES = ("age", "sex", "bmi", "bp", "s1", "s2", "s3", "s4", "s5", "s6")
 WINE = ("alcohol", "malic_acid", "ash", "alcalinity_of_ash", "magnesium", "total_phenols", "flavanoids", "nonflavanoid_phenols", "proanthocyanins", "color_intensity", "hue", "od280_od315", "proline")
+COLUMNS = {"iris": IRIS, "diabetes": DIABETES, "wine": WINE}
 ROWS = {"iris": 150, "diabetes": 442, "wine": 178}
 
 
-def _load(spark: SparkSession, path: str, columns, rows: int) -> DataFrame:
+def _load(spark: SparkSession, path: str, name: str) -> DataFrame:
+    columns, rows = COLUMNS[name], ROWS[name]
     schema = ", ".join(f"{c} double" for c in (*columns, "label"))
     df = spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
     if df.count() != rows:
@@ -26,17 +28,17 @@ def _load(spark: SparkSession, path: str, columns, rows: int) -> DataFrame:
 
 def load_iris(spark: SparkSession, path: str) -> DataFrame:
     """150 rows of four measures and a class, from a CSV file with a header."""
-    return _load(spark, path, IRIS, ROWS["iris"])
+    return _load(spark, path, "iris")
 
 
 def load_diabetes(spark: SparkSession, path: str) -> DataFrame:
     """442 rows of ten standardised features and a target, from a CSV file with a header."""
-    return _load(spark, path, DIABETES, ROWS["diabetes"])
+    return _load(spark, path, "diabetes")
 
 
 def load_wine(spark: SparkSession, path: str) -> DataFrame:
     """178 rows of thirteen measures and a class, from a CSV file with a header."""
-    return _load(spark, path, WINE, ROWS["wine"])
+    return _load(spark, path, "wine")
 
 
 def _rows(spark: SparkSession, n: int) -> DataFrame:
