@@ -5,16 +5,17 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 from itertools import product
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import Config, ConvergenceWarning, InvalidParameterError, require
 from ..functions.rng import key
-from ..plans.frame import checked, number
-from ..plans.scratch import materialize
+from ..plans.frame import checked, number, numbered
+from ..plans.scratch import discard, materialize
 
 
 def squared_distance(features, center) -> Column:
@@ -159,40 +160,133 @@ def _grid_join(left: DataFrame, right: DataFrame, p: int, eps: float) -> DataFra
     return a.join(b, [f"c{i}" for i in range(dims)]).where(_within([None] * p, eps))
 
 
+def _boxes(p: int, near: bool) -> Column:
+    """Least or largest distance of two rows in boxes (lo*, hi*) and (blo*, bhi*). Sums and roundings are those of `_within`, so the bounds hold exactly."""
+    total = F.lit(0.0)
+    for k in range(p):
+        lo, hi, blo, bhi = (F.col(f"{c}{k}") for c in ("lo", "hi", "blo", "bhi"))
+        d = F.greatest(lo - bhi, blo - hi, F.lit(0.0)) if near else F.greatest(hi - blo, bhi - lo)
+        total = total + d * d
+    return F.sqrt(total)
+
+
+def _to_box(p: int) -> Column:
+    """Distance of the row x* to the box (blo*, bhi*)."""
+    total = F.lit(0.0)
+    for k in range(p):
+        d = F.greatest(F.col(f"x{k}") - F.col(f"bhi{k}"), F.col(f"blo{k}") - F.col(f"x{k}"), F.lit(0.0))
+        total = total + d * d
+    return F.sqrt(total)
+
+
+def _box_aggregates(p: int) -> list[Column]:
+    return [f(f"x{k}").alias(f"{c}{k}") for k in range(p) for f, c in ((F.min, "lo"), (F.max, "hi"))]
+
+
+def _other(cells: DataFrame, p: int, *more: str) -> DataFrame:
+    """The cells as the other side of a pair: h and blo*, bhi*."""
+    return cells.select(F.col("k").alias("h"), *[F.col(f"{c}{k}").alias(f"b{c}{k}") for k in range(p) for c in ("lo", "hi")], *more)
+
+
+def _as_y(rows: DataFrame, p: int, *more: str) -> DataFrame:
+    return rows.select(F.col("k").alias("h"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(p)], *more)
+
+
 @dataclass(frozen=True)
 class DBSCAN(Config):
     eps: float = 0.5
     min_samples: int = 5
 
     def fit(self, df: DataFrame, features: list[str], row_id: str = "row_id") -> "DBSCANModel":
-        """Labels by row: clusters are numbered by their least core id, a border row takes the least cluster that reaches it, noise is -1."""
+        """Labels by row: clusters are numbered by their least core id, a border row takes the least cluster that reaches it, noise is -1.
+
+        Rows meet by cells whose diagonal is less than eps. All rows of a cell with min_samples rows are core, and the core rows of
+        a cell are one cluster, so counts compare rows of sparse cells alone, and links join cells, not rows. Pairs of cells whose
+        boxes settle the matter compare no rows at all.
+        """
         if self.eps <= 0 or self.min_samples <= 0:
             raise InvalidParameterError("eps and min_samples must be positive")
         checked(df, [*features, row_id])
         p = len(features)
-        x = materialize(df.select(F.col(row_id).cast("long").alias("i"), *[number(c).alias(f"x{k}") for k, c in enumerate(features)]), "dbscan")
-        y = x.select(F.col("i").alias("j"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(p)])
-        near = materialize(_grid_join(x, y, p, self.eps).select("i", "j"), "near")
-        core = near.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select("i")
-        core = materialize(core, "core")
-        both = near.join(core, "i", "left_semi").join(core.select(F.col("i").alias("j")), "j", "left_semi").where("i <> j").select("i", "j")
-        label = _min_labels(core, materialize(both, "edges"))
-        order = label.select("c").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("c")) - 1).cast("int"))  # a row a cluster
-        cores = materialize(label.join(order, "c").select("i", "cluster"), "cores")
-        reach = near.join(cores.select(F.col("i").alias("j"), "cluster"), "j").groupBy("i").agg(F.min("cluster").alias("reach"))
-        labels = x.select("i").join(cores, "i", "left").join(reach, "i", "left").select(F.col("i").alias(row_id), F.coalesce("cluster", "reach", F.lit(-1)).alias("label"))
-        return DBSCANModel(tuple(features), self.eps, row_id, materialize(x.join(cores, "i"), "model"), materialize(labels, "labels"))
+        side = self.eps / sqrt(p) * (1 - 1e-9)
+        xs = [f"x{k}" for k in range(p)]
+        x = df.select(F.col(row_id).cast("long").alias("i"), *[number(c).alias(n) for c, n in zip(features, xs)])
+        x = materialize(x.withColumn("k", F.array(*[F.floor(F.col(n) / F.lit(side)) for n in xs])), "dbscan")
+        cells = materialize(x.groupBy("k").agg(F.count("*").alias("n"), *_box_aggregates(p)), "cells")
+        pairs = materialize(self._pairs(cells, p, ceil(self.eps / side)), "pairs")  # k, h, n of h, whole: all rows of the two are within eps
+        sure = pairs.where("whole").groupBy("k").agg(F.sum("n").alias("more"))
+        counted = cells.join(sure, "k", "left").select("k", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        counted = materialize(counted, "counted")
+        open_ = x.join(counted.where(F.col("n") < self.min_samples), "k")  # fewer than min_samples rows a cell
+        tests = pairs.where("not whole").select("k", "h")
+        some = open_.join(tests, "k").join(_as_y(x, p), "h").where(_within(xs, self.eps)).groupBy("i").agg(F.count("*").alias("more"))
+        checked_rows = materialize(open_.join(some, "i", "left").select("i", "k", *xs, (F.col("n") + F.coalesce("more", F.lit(0)) >= self.min_samples).alias("core")), "open")
+        core = x.join(counted.where(F.col("n") >= self.min_samples).select("k"), "k", "left_semi").select("i", "k", *xs)
+        core = materialize(core.union(checked_rows.where("core").select("i", "k", *xs)), "core")
+        clusters = self._clusters(core, pairs, p)  # k, cluster
+        cores = materialize(core.join(clusters, "k").select("i", *xs, "k", "cluster"), "model")
+        border = checked_rows.where("not core").select("i", "k", *xs)
+        own = border.join(clusters, "k").select("i", "cluster")
+        whole = border.join(pairs.where("whole").select("k", "h"), "k").join(clusters.withColumnRenamed("k", "h"), "h").select("i", "cluster")
+        tried = border.join(tests, "k").join(_as_y(cores, p, "cluster"), "h").where(_within(xs, self.eps)).select("i", "cluster")
+        reach = own.union(whole).union(tried).groupBy("i").agg(F.min("cluster").alias("cluster"))
+        found = cores.select("i", "cluster").union(reach)
+        labels = materialize(x.select("i").join(found, "i", "left").select(F.col("i").alias(row_id), F.coalesce("cluster", F.lit(-1)).alias("label")), "labels")
+        discard(x, cells, pairs, counted, checked_rows, core, clusters)
+        return DBSCANModel(tuple(features), self.eps, row_id, cores.drop("k"), labels)
+
+    def _pairs(self, cells: DataFrame, p: int, reach: int) -> DataFrame:
+        """Pairs of different cells whose boxes come within eps: equal squares of `reach` cells, one side copied to the squares around it (first three features)."""
+        dims = range(min(p, 3))
+        shifts = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"d{i}") for i, s in enumerate(v)]) for v in product((-1, 0, 1), repeat=len(dims))])).alias("s")
+        a = cells.drop("n").select("*", shifts).select("*", *[(F.floor(F.col("k")[i] / reach) + F.col(f"s.d{i}")).alias(f"c{i}") for i in dims]).drop("s")
+        b = _other(cells, p, "n").select("*", *[F.floor(F.col("h")[i] / reach).alias(f"c{i}") for i in dims])
+        met = a.join(b, [f"c{i}" for i in dims]).where((F.col("k") != F.col("h")) & (_boxes(p, True) <= self.eps))
+        return met.select("k", "h", "n", (_boxes(p, False) <= self.eps).alias("whole"))
+
+    def _clusters(self, core: DataFrame, pairs: DataFrame, p: int) -> DataFrame:
+        """(k, cluster) of the cells with core rows.
+
+        Two cells are linked by their boxes, or where the row nearest to the other box has a partner there, both linear. What is
+        still apart after that is compared row by row, as far as the rows lie within eps of the other cell's box.
+        """
+        xs = [f"x{k}" for k in range(p)]
+        cells = materialize(core.groupBy("k").agg(F.min("i").alias("g"), *_box_aggregates(p)), "corecells")
+        met = pairs.select("k", "h").join(cells, "k").join(_other(cells, p, F.col("g").alias("gh")), "h").where(F.col("g") < F.col("gh")).where(_boxes(p, True) <= self.eps)
+        met = materialize(met.withColumn("linked", _boxes(p, False) <= self.eps).select("k", "h", "g", "gh", "linked", *[f"b{c}{k}" for k in range(p) for c in ("lo", "hi")]), "met")
+        rest = met.where("not linked").drop("linked")
+        nearest = core.join(rest, "k").groupBy("g", "gh", "h").agg(F.min_by(F.struct(*xs), F.struct(_to_box(p), F.col("i"))).alias("x")).select("g", "gh", "h", "x.*")
+        hit = nearest.join(_as_y(core, p), "h").where(_within(xs, self.eps)).select("g", "gh").distinct()
+        links = materialize(met.where("linked").select("g", "gh").union(hit), "links")
+        label = _min_labels(cells.select(F.col("g").alias("i")), _both(links))
+        apart = rest.join(label.select(F.col("i").alias("g"), F.col("c").alias("cg")), "g").join(label.select(F.col("i").alias("gh"), F.col("c").alias("ch")), "gh").where("cg <> ch")
+        near = core.join(apart, "k").where(_to_box(p) <= self.eps).select("h", "cg", "ch", *xs).distinct()
+        late = materialize(near.join(_as_y(core, p).distinct(), "h").where(_within(xs, self.eps)).select(F.col("cg").alias("g"), F.col("ch").alias("gh")).distinct(), "links")
+        final = label
+        if not late.isEmpty():
+            roots = _min_labels(label.select(F.col("c").alias("i")).distinct(), _both(late))
+            final = label.join(roots.select(F.col("i").alias("c"), F.col("c").alias("root")), "c").select("i", F.col("root").alias("c"))
+        order = numbered(final.select("c").distinct(), [F.col("c")], "cluster").select("c", F.col("cluster").cast("int").alias("cluster"))
+        out = materialize(cells.select("k", F.col("g").alias("i")).join(final, "i").join(order, "c").select("k", "cluster"), "clusters")
+        discard(cells, met, links, late)
+        return out
+
+
+def _both(links: DataFrame) -> DataFrame:
+    """Links g, gh as edges i, j in both directions."""
+    return materialize(links.select(F.col("g").alias("i"), F.col("gh").alias("j")).union(links.select("gh", "g")), "edges")
 
 
 def _min_labels(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
     """(i, c): least node connected to each, by neighbours' least labels and then the labels' own labels, which halves the way each round."""
-    cur = materialize(nodes.select("i", F.col("i").alias("c")), "labels")
+    cur = held = materialize(nodes.select("i", F.col("i").alias("c")), "labels")
     for _ in range(limit):
         near = edges.join(cur.select(F.col("i").alias("j"), "c"), "j").groupBy("i").agg(F.min("c").alias("m"))
         step = cur.join(near, "i", "left").select("i", F.least("c", F.coalesce("m", "c")).alias("n"), "c")
         jump = step.join(step.select(F.col("i").alias("n"), F.col("n").alias("nn")), "n", "left")
         nxt = materialize(jump.select("i", F.least("n", F.coalesce("nn", "n")).alias("c"), F.col("c").alias("was")), "labels")
-        cur = nxt.select("i", "c")
+        discard(held)
+        cur, held = nxt.select("i", "c"), nxt
         if nxt.where("c <> was").isEmpty():
             return cur
     raise RuntimeError("labels did not settle")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import isnan
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import Config, DimensionMismatchError, EmptyInputError, FitTransformMixin, InvalidParameterError, require
-from ..plans.frame import checked, number
+from ..plans.frame import checked, medians, number
 
 
 def _replace(df: DataFrame, features, exprs) -> DataFrame:
@@ -127,6 +127,17 @@ class OneHotEncoderModel:
         return df.select(*out)
 
 
+#: Up to this many classes a label is looked up by comparisons, beyond it by a join; up to this many bytes of classes are broadcast.
+LITERAL, BROADCAST = 256, 32 << 20
+
+
+def _chosen(x: Column, classes, low: int, high: int) -> Column:
+    out = F.lit(None).cast("double")
+    for k in range(low, high):
+        out = F.when(x == classes[k], float(k)).otherwise(out)
+    return out
+
+
 @dataclass(frozen=True)
 class LabelEncoder(Config, FitTransformMixin):
     def fit(self, df: DataFrame, features: list[str]) -> "LabelEncoderModel":
@@ -144,11 +155,23 @@ class LabelEncoderModel:
     def _classes(self):
         return F.array(*[F.lit(c) for c in self.classes])
 
+    def _position(self, x: Column, low: int, high: int) -> Column:
+        """Number of the class among classes[low:high], by halving; null if it isn't there."""
+        if high - low <= 4:
+            return _chosen(x, self.classes, low, high)
+        middle = (low + high) // 2
+        return F.when(x < self.classes[middle], self._position(x, low, middle)).otherwise(self._position(x, middle, high))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Class numbers from 0; an unknown label fails the query."""
         require(df, [self.feature])
-        at = F.array_position(self._classes(), number(self.feature))
-        return _replace(df, [self.feature], [F.when(at > 0, (at - 1).cast("double")).otherwise(F.raise_error(F.lit(f"unknown label of {self.feature}")).cast("double"))])
+        fail = F.raise_error(F.lit(f"unknown label of {self.feature}")).cast("double")
+        if len(self.classes) <= LITERAL:
+            return _replace(df, [self.feature], [F.coalesce(self._position(number(self.feature), 0, len(self.classes)), fail)])
+        table = df.sparkSession.createDataFrame([(c, float(k)) for k, c in enumerate(self.classes)], "_class double, _number double")
+        table = F.broadcast(table) if 16 * len(self.classes) <= BROADCAST else table
+        found = df.join(table, number(self.feature) == F.col("_class"), "left")
+        return _replace(found, [self.feature], [F.coalesce("_number", fail)]).drop("_class", "_number")
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         """Labels of class numbers (their integer part); one out of range fails the query."""
@@ -171,11 +194,11 @@ class SimpleImputer(Config, FitTransformMixin):
             raise InvalidParameterError(f"unknown strategy {self.strategy!r}")
         require(df, features)
         present = [F.nanvl(number(c), F.lit(None).cast("double")) for c in features]
-        stat = {"mean": F.avg, "median": lambda x: F.percentile(x, 0.5), "constant": lambda x: F.max(F.lit(self.fill_value))}[self.strategy]
-        got = df.agg(F.count("*"), *[stat(x) for x in present]).first()
-        if not got[0]:
+        n, *means = df.agg(F.count("*"), *[F.avg(x) for x in present if self.strategy == "mean"]).first()
+        if not n:
             raise EmptyInputError("no rows")
-        return SimpleImputerModel(tuple(features), tuple(float("nan") if v is None else float(v) for v in got[1:]))
+        got = {"mean": lambda: means, "median": lambda: medians(df, present), "constant": lambda: [self.fill_value] * len(features)}[self.strategy]()
+        return SimpleImputerModel(tuple(features), tuple(float("nan") if v is None else float(v) for v in got))
 
 
 @dataclass(frozen=True)

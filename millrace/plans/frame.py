@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core import EmptyInputError, InvalidParameterError, require
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def number(name: str) -> Column:
@@ -43,3 +43,26 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFr
         before += sizes[p]
     table = spark.createDataFrame(bases, "_p int, _base bigint")
     return held.join(F.broadcast(table), "_p").withColumn(name, F.col("_base") + F.col("_r") - 1).drop("_p", "_r", "_base", *keys)
+
+
+def medians(df: DataFrame, columns: list[Column]) -> list[float | None]:
+    """Exact medians of what isn't null, None without any: values are counted, dealt by ranges, and only the ranges that hold a middle are ordered."""
+    spark = df.sparkSession
+    counts = df.select(F.posexplode(F.array(*columns)).alias("f", "v")).where("v IS NOT NULL").groupBy("f", "v").agg(F.count("*").alias("n"))
+    held = materialize(counts.repartitionByRange(partitions(spark), "f", "v").withColumn("b", F.spark_partition_id()), "values")
+    sums = sorted((r.f, r.b, r.n) for r in held.groupBy("f", "b").agg(F.sum("n").alias("n")).collect())  # a row a range and column
+    wanted = []
+    for f in range(len(columns)):
+        total, before = sum(n for g, _, n in sums if g == f), 0
+        for b, n in ((b, n) for g, b, n in sums if g == f):
+            wanted += [(f, b, before, rank) for rank in sorted({(total + 1) // 2, total // 2 + 1}) if before < rank <= before + n]
+            before += n
+    out: list[float | None] = [None] * len(columns)
+    if wanted:
+        upto = F.sum("n").over(Window.partitionBy("f", "b", "rank", "before").orderBy("v")) + F.col("before")
+        table = spark.createDataFrame(wanted, "f int, b int, before long, rank long")
+        at = held.join(F.broadcast(table), ["f", "b"]).withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        for r in at.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            out[r.f] = r.lo + (r.hi - r.lo) / 2
+    discard(held)
+    return out

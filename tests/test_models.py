@@ -363,3 +363,50 @@ def test_protocols():
     assert isinstance(Ridge(), core.Estimator) and isinstance(Ridge(), core.ParamSetter) and isinstance(Ridge(), core.Cloneable)
     assert isinstance(StandardScaler(), core.FitTransformer)
     assert Ridge(2.0).clone() == Ridge(2.0)
+
+
+def test_medians_of_odd_even_tied_and_missing(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from millrace.plans.frame import medians
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 400, 401):
+        x = np.stack([rng.integers(0, 5, n), rng.normal(size=n).round(2)], 1).astype(float)
+        df = spark.createDataFrame([(*map(float, r), None) for r in x], "a double, b double, c double")
+        assert medians(df, [F.col("a"), F.col("b"), F.col("c")]) == pytest.approx([*np.median(x, 0), None])
+
+
+@pytest.mark.parametrize("p, eps", [(1, 0.02), (2, 0.12), (4, 0.35)])
+def test_density_clusters_against_plain_version(spark, p, eps):
+    """Dense cells, repeated rows, chains over many cells and points on the border, by all distances."""
+    import numpy as np
+
+    rng = np.random.default_rng(p)
+    x = np.concatenate([rng.random((150, p)), rng.normal(0.5, 0.03, (80, p)), np.repeat(rng.random((3, p)), 9, 0)])
+    near = np.sqrt(sum((x[:, None, k] - x[None, :, k]) ** 2 for k in range(p))) <= eps
+    core, label, c = near.sum(1) >= 5, np.full(len(x), -1), 0
+    for i in range(len(x)):
+        if core[i] and label[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label[j] < 0:
+                    label[j] = c
+                    todo += list(np.flatnonzero(near[j] & core & (label < 0)))
+            c += 1
+    want = [label[i] if core[i] else min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))]
+    names = [f"f{k}" for k in range(p)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, " + ", ".join(f"{n} double" for n in names))
+    got = DBSCAN(eps, 5).fit(df, names).labels.orderBy("row_id").collect()
+    assert [r.label for r in got] == want
+
+
+def test_labels_beyond_the_literal_bound(spark):
+    df = spark.range(300).selectExpr("id AS row_id", "CAST(id * 3 AS DOUBLE) AS x")
+    m = LabelEncoder().fit(df, ["x"])
+    assert values(m.transform(df), "x") == [float(i) for i in range(300)]
+    assert values(m.inverse_transform(m.transform(df)), "x") == [3.0 * i for i in range(300)]
+    with pytest.raises(Exception, match="unknown label"):
+        m.transform(spark.createDataFrame([(1.0,)], "x double")).collect()
