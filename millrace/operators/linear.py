@@ -6,12 +6,14 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import Config, ConvergenceWarning, InvalidParameterError, SingularMatrixError, require
 from ..plans.frame import checked, number
 from ..plans.gram import Moments, dot, moments
+from ..plans.scratch import discard, materialize
 from . import metrics
 
 
@@ -192,6 +194,50 @@ class LogisticModel:
         return metrics.accuracy(self.predict(df, "_p"), label, "_p")
 
 
+#: Up to this many aggregate expressions a step is one plan in generated code; beyond it blocks of rows go through matrix products.
+EXPRESSIONS = 400
+
+
+def _likelihood(d: DataFrame, p: int, live: int, beta, positive) -> list[float]:
+    """For each class the mean loss, gradient and upper half of the Hessian (rows x0.., y; `live` weights, the last one for the intercept)."""
+    width = 1 + live + live * (live + 1) // 2
+    if width * len(beta) <= EXPRESSIONS:
+        names, aggs = [f"x{i}" for i in range(p)], []
+        for b, c in zip(beta, positive):
+            z = dot(names, b[:-1], b[-1])
+            t = (F.col("y") == c).cast("double")
+            s = _sigmoid(z)
+            x = [*(F.col(n) for n in names), F.lit(1.0)]
+            aggs.append(F.avg(F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))))
+            aggs += [F.avg((s - t) * x[i]) for i in range(live)]
+            aggs += [F.avg(s * (1 - s) * x[i] * x[j]) for i in range(live) for j in range(i, live)]
+        return list(d.agg(*aggs).first())
+    weights, classes, upper = np.array(beta), np.array(positive), np.triu_indices(live)
+
+    def part(batches):
+        """Sums of a partition, as rows: they are combined before their exchange. The last cell counts rows."""
+        total, n = np.zeros((len(classes), width)), 0
+        for b in batches:
+            x = np.stack([*(b.column(i).to_numpy() for i in range(p)), np.ones(len(b))], axis=1)
+            z = x @ weights.T
+            t = b.column(p).to_numpy()[:, None] == classes
+            small = np.exp(-np.abs(z))
+            s = np.where(z >= 0, 1.0, small) / (1 + small)
+            total[:, 0] += (np.maximum(z, 0) - z * t + np.log1p(small)).sum(0)
+            x = x[:, :live]
+            total[:, 1 : 1 + live] += (s - t).T @ x
+            for k in range(len(classes)):
+                total[k, 1 + live :] += ((x * (s[:, k] * (1 - s[:, k]))[:, None]).T @ x)[upper]
+            n += len(b)
+        values = np.append(total.reshape(-1), float(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["cell", "v"])
+
+    sums = np.zeros(width * len(beta) + 1)
+    for r in d.mapInArrow(part, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
+        sums[r.cell] = r.v
+    return list(sums[:-1] / sums[-1])
+
+
 @dataclass(frozen=True)
 class LogisticRegression(Config):
     """Mean log loss and half the squared weights over c; the intercept is free. More than two classes: one against the rest."""
@@ -209,16 +255,14 @@ class LogisticRegression(Config):
         if len(classes) < 2:
             raise InvalidParameterError("two classes at least")
         positive = classes[1:] if len(classes) == 2 else classes
-        d = df.select(*[number(f).alias(f"x{i}") for i, f in enumerate(features)], number(label).alias("y")).cache()
-        try:
-            beta = self._newton(d, len(features), positive)
-        finally:
-            d.unpersist()
+        d = df.select(*[number(f).alias(f"x{i}") for i, f in enumerate(features)], number(label).alias("y"))
+        d = materialize(d, "logistic")
+        beta = self._newton(d, len(features), positive)
+        discard(d)
         return LogisticModel(tuple(features), classes, tuple(tuple(map(float, b[:-1])) for b in beta), tuple(float(b[-1]) for b in beta))
 
     def _newton(self, d: DataFrame, p: int, positive) -> list[np.ndarray]:
         """Newton steps, halved while they don't lower the loss; all classes share each aggregation."""
-        names = [f"x{i}" for i in range(p)]
         live = p + 1 if self.fit_intercept else p
         reg = np.append(np.full(p, 1 / self.c), 0.0)
         beta = [np.zeros(p + 1) for _ in positive]
@@ -226,17 +270,8 @@ class LogisticRegression(Config):
         last: list[float | None] = [None] * len(positive)
         open_ = set(range(len(positive)))
         for _ in range(self.max_iter):
-            aggs, keys = [], []
-            for k in sorted(open_):
-                z = dot(names, beta[k][:-1], beta[k][-1])
-                t = (F.col("y") == positive[k]).cast("double")
-                s = _sigmoid(z)
-                x = [*(F.col(n) for n in names), F.lit(1.0)]
-                aggs.append(F.avg(F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))))
-                aggs += [F.avg((s - t) * x[i]) for i in range(live)]
-                aggs += [F.avg(s * (1 - s) * x[i] * x[j]) for i in range(live) for j in range(i, live)]
-                keys.append(k)
-            got = list(d.agg(*aggs).first())
+            keys = sorted(open_)
+            got = _likelihood(d, p, live, [beta[k] for k in keys], [positive[k] for k in keys])
             width = 1 + live + live * (live + 1) // 2
             for n, k in enumerate(keys):
                 part = got[n * width : (n + 1) * width]

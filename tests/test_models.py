@@ -410,3 +410,21 @@ def test_labels_beyond_the_literal_bound(spark):
     assert values(m.inverse_transform(m.transform(df)), "x") == [3.0 * i for i in range(300)]
     with pytest.raises(Exception, match="unknown label"):
         m.transform(spark.createDataFrame([(1.0,)], "x double")).collect()
+
+
+def test_logistic_sums_by_blocks_are_those_of_expressions(spark, monkeypatch):
+    import numpy as np
+
+    from millrace.operators import linear
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3))
+    y = np.digitize(x[:, 0] - x[:, 1], [-0.7, 0.7])
+    df = spark.createDataFrame([(*map(float, r), float(c)) for r, c in zip(x, y)], "a double, b double, c double, label double")
+    for intercept in (True, False):
+        fit = linear.LogisticRegression(2.0, fit_intercept=intercept).fit
+        monkeypatch.setattr(linear, "EXPRESSIONS", 400)
+        want = fit(df, ["a", "b", "c"])
+        monkeypatch.setattr(linear, "EXPRESSIONS", 0)
+        got = fit(df, ["a", "b", "c"])
+        assert np.allclose(got.weights, want.weights, atol=1e-9) and np.allclose(got.intercepts, want.intercepts, atol=1e-9)
