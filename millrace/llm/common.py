@@ -71,8 +71,13 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 def word_spans(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word in the bytes, and the number of words before each text (one more entry than texts)."""
+    return word_spans_of(raw, ends, SPACES)
+
+
+def word_spans_of(raw: np.ndarray, ends: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for words that the bytes marked in `breaks` part."""
     inside = np.zeros(len(raw) + 1, bool)
-    np.logical_not(SPACES[raw], out=inside[:-1])
+    np.logical_not(breaks[raw], out=inside[:-1])
     first = inside[:-1].copy()
     first[1:] &= ~inside[:-2]
     cuts = ends[:-1][ends[:-1] < len(raw)]

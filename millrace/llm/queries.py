@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, jaccard_join, language, mixing, packing, quality, substrings, token_counts, token_store
+from . import fingerprints, html_text, jaccard_join, language, lexical_search, mixing, packing, quality, substrings, token_counts, token_store, vector_codes
 from .common import table
 
 
@@ -50,8 +50,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_fingerprints, op3_substring_dedup, op4_best_fit_packing, op5_html_text, op6_quality_rules, op7_language, op8_source_mix, op9_jaccard_join, op10_token_counts)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_token_store, op2_fingerprints, op3_substring_dedup, op4_best_fit_packing, op5_html_text, op6_quality_rules, op7_language,
+            op8_source_mix, op9_jaccard_join, op10_token_counts, op11_vector_codes, op13_lexical_search,
+        )
+    }
 
 
 #: Words of every text, for DuckDB.
@@ -81,5 +95,44 @@ FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY ALL
 """
 
 
+def _op11(parts: int = 4, rounds: int = 4, entries: int = 256) -> str:
+    """Unrolled rounds: lists of doubles hold integers exactly."""
+    s = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT i, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] AS x FROM v, range({parts}) AS t(p)),
+n AS MATERIALIZED (SELECT *, list_dot_product(x, x) AS s FROM q),
+b0 AS MATERIALIZED (SELECT p, i AS k, x, s FROM n WHERE i < {entries}),
+"""
+    for r in range(rounds + 1):
+        s += f"a{r} AS MATERIALIZED (SELECT i, n.p, any_value(n.x) AS x, min(struct_pack(d := n.s + b.s - 2 * list_dot_product(n.x, b.x), k := b.k)) AS m FROM n JOIN b{r} AS b USING (p) GROUP BY i, n.p),\n"
+        if r < rounds:
+            s += f"""u{r} AS (SELECT p, k, list(y ORDER BY j) AS x FROM (SELECT p, m.k AS k, j, floor(sum(x[j]) / count(*)) AS y FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM n) + 1)) AS j) GROUP BY p, m.k, j) GROUP BY p, k),
+b{r + 1} AS MATERIALIZED (SELECT p, k, x, list_dot_product(x, x) AS s FROM (SELECT b.p, b.k, coalesce(u.x, b.x) AS x FROM b{r} AS b LEFT JOIN u{r} AS u USING (p, k))),
+"""
+    s += f"""c AS (SELECT i, string_agg(lower(lpad(to_hex(m.k), 2, '0')), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY i),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, k)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM c JOIN v USING (i), h
+"""
+    return s
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP13 = f"""
+WITH t AS MATERIALIZED (SELECT doc_id, rid, unnest(w) AS term FROM (SELECT doc_id, row_number() OVER () AS rid, {_TERMS} AS w FROM documents)),
+f AS MATERIALIZED (SELECT doc_id, rid, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT rid, sum(tf) AS n FROM f GROUP BY rid),
+g AS (SELECT count(*) AS nn, sum(n) AS l FROM d),
+m AS (SELECT rid, CAST(75 + (25 * CAST(n AS BIGINT) * nn) // CAST(l AS BIGINT) AS BIGINT) AS m FROM d, g),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, g GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, rid, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, doc_id, rid),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op9_jaccard_join": _OP9}
+    return {"op3_substring_dedup": _OP3, "op9_jaccard_join": _OP9, "op11_vector_codes": _op11(), "op13_lexical_search": _OP13}
