@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, jaccard_join, language, lexical_search, mixing, packing, quality, substrings, token_counts, token_store, vector_codes
+from . import fingerprints, html_text, jaccard_join, language, lexical_search, mixing, packing, quality, substrings, token_counts, token_store, toxicity, vector_codes
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_token_store, op2_fingerprints, op3_substring_dedup, op4_best_fit_packing, op5_html_text, op6_quality_rules, op7_language,
-            op8_source_mix, op9_jaccard_join, op10_token_counts, op11_vector_codes, op13_lexical_search,
+            op8_source_mix, op9_jaccard_join, op10_token_counts, op11_vector_codes, op12_toxicity, op13_lexical_search,
         )
     }
 
