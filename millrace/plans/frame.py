@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,12 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFr
     return held.join(F.broadcast(table), "_p").withColumn(name, F.col("_base") + F.col("_r") - 1).drop("_p", "_r", "_base", *keys)
 
 
-def medians(df: DataFrame, columns: list[Column]) -> list[float | None]:
-    """Exact medians of what isn't null, None without any: values are counted, dealt by ranges, and only the ranges that hold a middle are ordered."""
+def order_statistics(df: DataFrame, columns: list[Column], ranks: Callable[[int], Iterable[int]]) -> list[dict[int, float]]:
+    """Of each column the values at these ranks (from 1; given how many values it has) among what isn't null.
+
+    Values are counted, dealt by ranges, and only the ranges that hold a rank are ordered. The driver gets a row a range and
+    column, and the wanted values.
+    """
     spark = df.sparkSession
     counts = df.select(F.posexplode(F.array(*columns)).alias("f", "v")).where("v IS NOT NULL").groupBy("f", "v").agg(F.count("*").alias("n"))
     held = materialize(counts.repartitionByRange(partitions(spark), "f", "v").withColumn("b", F.spark_partition_id()), "values")
@@ -54,15 +60,23 @@ def medians(df: DataFrame, columns: list[Column]) -> list[float | None]:
     wanted = []
     for f in range(len(columns)):
         total, before = sum(n for g, _, n in sums if g == f), 0
+        asked = sorted(set(ranks(total))) if total else []
         for b, n in ((b, n) for g, b, n in sums if g == f):
-            wanted += [(f, b, before, rank) for rank in sorted({(total + 1) // 2, total // 2 + 1}) if before < rank <= before + n]
+            wanted += [(f, b, before, rank) for rank in asked if before < rank <= before + n]
             before += n
-    out: list[float | None] = [None] * len(columns)
+    out: list[dict[int, float]] = [{} for _ in columns]
     if wanted:
-        upto = F.sum("n").over(Window.partitionBy("f", "b", "rank", "before").orderBy("v")) + F.col("before")
-        table = spark.createDataFrame(wanted, "f int, b int, before long, rank long")
-        at = held.join(F.broadcast(table), ["f", "b"]).withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        for r in at.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
-            out[r.f] = r.lo + (r.hi - r.lo) / 2
+        upto = F.sum("n").over(Window.partitionBy("f", "b").orderBy("v"))
+        table = spark.createDataFrame([(f, b, before, [r for g, c, _, r in wanted if (g, c) == (f, b)]) for f, b, before in sorted({w[:3] for w in wanted})], "f int, b int, before long, ranks array<long>")
+        at = held.join(F.broadcast(table), ["f", "b"]).withColumn("upto", upto + F.col("before"))
+        hit = at.select("f", "v", F.explode(F.filter("ranks", lambda r: (F.col("upto") >= r) & (F.col("upto") - F.col("n") < r))).alias("rank"))
+        for r in hit.collect():
+            out[r.f][r.rank] = r.v
     discard(held)
     return out
+
+
+def medians(df: DataFrame, columns: list[Column]) -> list[float | None]:
+    """Exact medians of what isn't null, None without any."""
+    found = order_statistics(df, columns, lambda n: ((n + 1) // 2, n // 2 + 1))
+    return [min(x.values()) + (max(x.values()) - min(x.values())) / 2 if x else None for x in found]

@@ -939,3 +939,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import queries_learners  # noqa: E402, F401 (registers its queries)
