@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..core import Config, InvalidParameterError, require
 from ..functions.rng import key, uniform
 from ..plans.cart import Node, Params, grow, importances
+from ..plans.flat import array_of, value_of
 from ..plans.frame import checked, number, numbered
 from ..plans.scratch import discard, materialize
 from . import metrics
-from .tree import class_rows, validated
+from .tree import class_rows, feature, validated
 
 
 def bootstrap(rows: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
@@ -45,10 +46,12 @@ class _Forest(Config):
     seed: int = 0
     n_jobs: int = 1
 
-    def _grow(self, rows: DataFrame, features, n: int, size: int, params: Params, shift: float = 0.0) -> tuple[Node, ...]:
+    def _grow(self, rows: DataFrame, features, n: int, size: int, params: Params) -> tuple[Node, ...]:
         # Rows of equal values drawn by a tree are one row with a weight.
-        drawn = bootstrap(_placed(rows, features, self.seed).withColumn("y", F.col("y") - F.lit(shift)), n, self.n_trees, self.seed).groupBy("tree", *[F.col(f"`{f}`") for f in features], "y").agg(F.sum("w").alias("w"))
-        trees = grow(drawn, list(features), params, _subsets(len(features), size, self.n_trees, self.seed), shift)
+        placed = _placed(rows, features, self.seed)
+        drawn = bootstrap(placed, n, self.n_trees, self.seed).groupBy("tree", *[F.col(f"`{f}`") for f in features], "y").agg(F.sum("w").alias("w"))
+        trees = grow(drawn, list(features), params, _subsets(len(features), size, self.n_trees, self.seed))
+        discard(placed)
         return tuple(trees[t] for t in range(self.n_trees))
 
     def _valid(self):
@@ -67,20 +70,13 @@ class RandomForestClassifier(_Forest):
     def fit(self, df: DataFrame, features: list[str], label: str = "label") -> "ForestClassifierModel":
         self._valid()
         validated("gini", ("gini",), self.min_samples_split, self.min_samples_leaf)
-        n = checked(df, features, label)
+        require(df, features)
+        n = checked(df, [], label)
         classes, rows = class_rows(df, features, label)
         params = Params(self.max_depth, self.min_samples_split, self.min_samples_leaf, "gini", classes)
         return ForestClassifierModel(tuple(features), classes, self._grow(rows, features, n, max(1, isqrt(len(features))), params))
 
 
-def _count(votes: str, c: float) -> Column:
-    return F.size(F.filter(votes, lambda x: x == c))
-
-
-def _total(rows: str, c: int) -> Column:
-    return F.aggregate(rows, F.lit(0.0), lambda a, r: a + r[c])
-
-
 @dataclass(frozen=True)
 class ForestClassifierModel:
     features: tuple[str, ...]
@@ -94,18 +90,15 @@ class ForestClassifierModel:
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """The class with most votes, the smallest of equals."""
         require(df, self.features)
-        votes = F.array(*[t.column(list(self.features), lambda n: F.lit(float(n.value))) for t in self.trees])
-        held = df.withColumn("_v", votes)
-        counts = F.array(*[_count("_v", c) for c in self.classes])
-        return held.withColumn("_c", counts).withColumn(output, F.get(F.array(*[F.lit(c) for c in self.classes]), (F.array_position("_c", F.array_max("_c")) - 1).cast("int"))).drop("_v", "_c")
+        votes = array_of(list(self.trees), list(self.features), lambda n: [float(n.value == c) for c in self.classes])
+        best = F.array_position("_c", F.array_max("_c")) - 1
+        return df.withColumn("_c", votes).withColumn(output, F.get(F.array(*[F.lit(c) for c in self.classes]), best.cast("int"))).drop("_c")
 
     def predict_probabilities(self, df: DataFrame, output: str = "probability") -> DataFrame:
         """Mean of the trees' class shares."""
         require(df, self.features)
-        rows = F.array(*[t.column(list(self.features), lambda n: F.array(*[F.lit(float(x)) for x in n.proba])) for t in self.trees])
-        held = df.withColumn("_r", rows)
-        mean = F.array(*[_total("_r", c) / len(self.trees) for c in range(len(self.classes))])
-        return held.withColumn(output, mean).drop("_r")
+        total = array_of(list(self.trees), list(self.features), lambda n: n.proba)
+        return df.withColumn(output, F.transform(total, lambda x: x / len(self.trees)))
 
     def score(self, df: DataFrame, label: str = "label") -> float:
         return metrics.accuracy(self.predict(df, "_p"), label, "_p")
@@ -116,11 +109,11 @@ class RandomForestRegressor(_Forest):
     def fit(self, df: DataFrame, features: list[str], label: str = "label") -> "ForestRegressorModel":
         self._valid()
         validated("mse", ("mse",), self.min_samples_split, self.min_samples_leaf)
-        n = checked(df, features, label)
-        shift = float(df.agg(F.avg(number(label))).first()[0])
-        rows = df.select(*[number(f).alias(f) for f in features], number(label).alias("y"))
+        require(df, features)
+        n = checked(df, [], label)
+        rows = df.select(*[feature(f).alias(f) for f in features], number(label).alias("y"))
         params = Params(self.max_depth, self.min_samples_split, self.min_samples_leaf, "mse")
-        return ForestRegressorModel(tuple(features), self._grow(rows, features, n, max(1, len(features) // 3), params, shift))
+        return ForestRegressorModel(tuple(features), self._grow(rows, features, n, max(1, len(features) // 3), params))
 
 
 @dataclass(frozen=True)
@@ -133,8 +126,7 @@ class ForestRegressorModel:
         return _mean_importances(self.trees, len(self.features))
 
     def column(self) -> Column:
-        parts = [t.column(list(self.features), lambda n: F.lit(float(n.value))) for t in self.trees]
-        return F.aggregate(F.array(*parts), F.lit(0.0), lambda a, x: a + x) / len(parts)
+        return value_of(list(self.trees), list(self.features)) / len(self.trees)
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         require(df, self.features)
@@ -162,18 +154,22 @@ class _Boosting(Config):
         """rows: features, y, raw. Each round fits a tree to the residuals and moves raw; written each round, so lineage stays short."""
         params, trees = Params(self.max_depth, 2, self.min_samples_leaf, "mse"), []
         names = list(features)
-        if self.subsample < 1:
-            rows = _placed(rows, names, self.seed)
-        state = materialize(rows, "boost")
+        placed = _placed(rows, names, self.seed) if self.subsample < 1 else None
+        state = materialize(rows if placed is None else placed, "boost")
+        if placed is not None:
+            discard(placed)
         for t in range(self.n_trees):
-            part = state.withColumn("r", residual)
+            part, drawn = state.withColumn("r", residual), None
             if self.subsample < 1:
-                part = numbered(part, [key(self.seed + t, "i"), F.col("i")], "place").where(F.col("place") < max(1, int(n * self.subsample)))
+                drawn = numbered(part, [key(self.seed + t, "i"), F.col("i")], "place")
+                part = drawn.where(F.col("place") < max(1, int(n * self.subsample)))
             fit = part.select(*[F.col(f"`{f}`") for f in names], F.col("r").alias("y")).groupBy(*[F.col(f"`{f}`") for f in names], "y").agg(F.count("*").cast("double").alias("w"))
             root = grow(fit.withColumn("tree", F.lit(0)), names, params)[0]
+            if drawn is not None:
+                discard(drawn)
             trees.append(root)
             if t + 1 < self.n_trees:
-                step = root.column(names, lambda x: F.lit(float(x.value)))
+                step = value_of([root], names)
                 old, state = state, materialize(state.withColumn("raw", F.col("raw") + F.lit(self.learning_rate) * step), "boost")
                 discard(old)
         discard(state)
@@ -181,17 +177,17 @@ class _Boosting(Config):
 
 
 def _raw(features, trees, rate: float, start: float) -> Column:
-    parts = [t.column(list(features), lambda n: F.lit(float(n.value))) for t in trees]
-    return F.lit(start) + F.lit(rate) * F.aggregate(F.array(*parts), F.lit(0.0), lambda a, x: a + x)
+    return F.lit(start) + F.lit(rate) * value_of(list(trees), list(features))
 
 
 @dataclass(frozen=True)
 class GradientBoostingRegressor(_Boosting):
     def fit(self, df: DataFrame, features: list[str], label: str = "label") -> "BoostedRegressorModel":
         self._valid()
-        n = checked(df, features, label)
+        require(df, features)
+        n = checked(df, [], label)
         start = float(df.agg(F.avg(number(label))).first()[0])
-        rows = df.select(*[number(f).alias(f) for f in features], number(label).alias("y"), F.lit(start).alias("raw"))
+        rows = df.select(*[feature(f).alias(f) for f in features], number(label).alias("y"), F.lit(start).alias("raw"))
         return BoostedRegressorModel(tuple(features), self._boost(rows, features, n, F.col("y") - F.col("raw")), self.learning_rate, start)
 
 
@@ -219,7 +215,8 @@ class GradientBoostingClassifier(_Boosting):
 
     def fit(self, df: DataFrame, features: list[str], label: str = "label") -> "BoostedClassifierModel":
         self._valid()
-        n = checked(df, features, label)
+        require(df, features)
+        n = checked(df, [], label)
         classes, rows = class_rows(df, features, label)
         if len(classes) != 2:
             raise InvalidParameterError("exactly two classes are needed")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..core import Config, EmptyInputError, InvalidParameterError, require
 from ..plans.cart import Node
-from ..plans.flat import Flat
+from ..plans.flat import Flat, value_of
 from ..plans.frame import number, order_statistics
 from ..plans.scratch import discard, materialize
 from . import metrics
@@ -26,9 +26,6 @@ from . import metrics
 #: Trees between two rewrites of the scores, the byte of a missing value, and the largest number of histogram cells of a level.
 REFRESH, MISSING, CELLS = 8, 255, 1 << 25
 
-#: Trees that are evaluated as one column expression; more nodes go through flat arrays.
-EXPRESSION_NODES = 256
-
 
 @dataclass(frozen=True)
 class Bins:
@@ -266,10 +263,7 @@ class HistBoostedModel:
 
     def raw(self) -> Column:
         """The score: one expression for a few small trees, look-ups in flat arrays for more."""
-        nodes = sum(1 for t in self.trees for _ in t.walk())
-        if nodes > EXPRESSION_NODES:
-            return F.lit(self.start) + Flat.of(list(self.trees), lambda n: [n.value]).column(list(self.features))[0]
-        return F.lit(self.start) + sum((t.column(list(self.features), lambda n: F.lit(float(n.value))) for t in self.trees), F.lit(0.0))
+        return F.lit(self.start) + value_of(list(self.trees), list(self.features))
 
     def column(self) -> Column:
         """The prediction, or the probability of the second class."""

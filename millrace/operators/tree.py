@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from ..core import Config, InvalidParameterError, require
 from ..plans.cart import Node, Params, grow, importances
+from ..plans.flat import array_of, value_of
 from ..plans.frame import checked, number
 from . import metrics
 
 
+#: Classes up to which a classifier is fitted.
+MOST_CLASSES = 4096
+
+
 def validated(criterion: str, known: tuple[str, ...], split: int, leaf: int) -> None:
     if criterion not in known:
         raise InvalidParameterError(f"criterion must be one of {known}")
@@ -20,11 +25,18 @@ def validated(criterion: str, known: tuple[str, ...], split: int, leaf: int) ->
         raise InvalidParameterError("min_samples_split must be 2 at least, min_samples_leaf 1")
 
 
+def feature(name: str) -> Column:
+    """A feature as a double; null counts as NaN, which lies above all values and goes right."""
+    return F.coalesce(number(name), F.lit(float("nan")))
+
+
 def class_rows(df: DataFrame, features, label: str) -> tuple[tuple[float, ...], DataFrame]:
-    """Sorted classes, and rows with the label's number as y."""
-    classes = tuple(sorted(r[0] for r in df.select(number(label)).distinct().collect()))
+    """Sorted classes, and rows with the label's number as y. More than MOST_CLASSES are an error: the model holds a number a class and node."""
+    classes = tuple(sorted(r[0] for r in df.select(number(label)).distinct().limit(MOST_CLASSES + 1).collect()))
+    if len(classes) > MOST_CLASSES:
+        raise InvalidParameterError(f"more than {MOST_CLASSES} classes; is the label continuous?")
     y = (F.array_position(F.array(*[F.lit(c) for c in classes]), number(label)) - 1).cast("double")
-    return classes, df.select(*[number(f).alias(f) for f in features], y.alias("y"))
+    return classes, df.select(*[feature(f).alias(f) for f in features], y.alias("y"))
 
 
 def pre_aggregated(rows: DataFrame, features) -> DataFrame:
@@ -42,7 +54,8 @@ class DecisionTreeClassifier(Config):
 
     def fit(self, df: DataFrame, features: list[str], label: str = "label") -> "TreeClassifierModel":
         validated(self.criterion, ("gini", "entropy"), self.min_samples_split, self.min_samples_leaf)
-        checked(df, features, label)
+        require(df, features)
+        checked(df, [], label)
         classes, rows = class_rows(df, features, label)
         params = Params(self.max_depth, self.min_samples_split, self.min_samples_leaf, self.criterion, classes)
         root = grow(pre_aggregated(rows, features).withColumn("tree", F.lit(0)), list(features), params)[0]
@@ -60,10 +73,10 @@ class TreeClassifierModel:
         return tuple(importances(self.root, len(self.features)))
 
     def column(self) -> Column:
-        return self.root.column(list(self.features), lambda n: F.lit(float(n.value)))
+        return value_of([self.root], list(self.features))
 
     def probability(self) -> Column:
-        return self.root.column(list(self.features), lambda n: F.array(*[F.lit(float(x)) for x in n.proba]))
+        return array_of([self.root], list(self.features), lambda n: n.proba)
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         require(df, self.features)
@@ -87,11 +100,11 @@ class DecisionTreeRegressor(Config):
 
     def fit(self, df: DataFrame, features: list[str], label: str = "label") -> "TreeRegressorModel":
         validated(self.criterion, ("mse",), self.min_samples_split, self.min_samples_leaf)
-        checked(df, features, label)
-        shift = float(df.agg(F.avg(number(label))).first()[0])  # squares of centred labels don't cancel
-        rows = df.select(*[number(f).alias(f) for f in features], (number(label) - F.lit(shift)).alias("y"))
+        require(df, features)
+        checked(df, [], label)
+        rows = df.select(*[feature(f).alias(f) for f in features], number(label).alias("y"))
         params = Params(self.max_depth, self.min_samples_split, self.min_samples_leaf, "mse")
-        root = grow(pre_aggregated(rows, features).withColumn("tree", F.lit(0)), list(features), params, shift=shift)[0]
+        root = grow(pre_aggregated(rows, features).withColumn("tree", F.lit(0)), list(features), params)[0]
         return TreeRegressorModel(tuple(features), root)
 
 
@@ -105,7 +118,7 @@ class TreeRegressorModel:
         return tuple(importances(self.root, len(self.features)))
 
     def column(self) -> Column:
-        return self.root.column(list(self.features), lambda n: F.lit(float(n.value)))
+        return value_of([self.root], list(self.features))
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         require(df, self.features)

@@ -23,6 +23,9 @@ from .sparse import Sparse
 #: Numbers of the directions' matrix, rows that a task multiplies at a time, and triangular factors that one task joins.
 CELLS, BLOCK, FAN = 1 << 25, 4096, 16
 
+#: Columns up to which directions span all of them, so that no round is needed but to confirm.
+ALL = 128
+
 
 @dataclass(frozen=True)
 class _Block:
@@ -147,7 +150,7 @@ class TruncatedSVD(Config):
     def _fit(self, rows: DataFrame, columns: int, sparse: bool, source: tuple[str, ...]) -> "TruncatedSVDModel":
         if self.n_components < 1 or self.oversamples < 0 or self.max_iter < 1 or self.tol < 0:
             raise InvalidParameterError("n_components and max_iter >= 1, oversamples and tol >= 0 are needed")
-        wide = min(columns, self.n_components + self.oversamples)
+        wide = columns if columns <= ALL else min(columns, self.n_components + self.oversamples)
         if self.n_components > columns:
             raise InvalidParameterError("more components than columns")
         if columns * wide > CELLS:

@@ -71,3 +71,23 @@ class Flat:
             return pd.Series(list(self.sums(x)))
 
         return evaluate(*[F.col(f"`{f}`").cast("double") for f in features])
+
+
+#: Nodes of trees that are evaluated as nested conditions; more go through flat arrays.
+EXPRESSION_NODES = 256
+
+
+def value_of(trees: list[Node], features: list[str]) -> Column:
+    """The trees' values added up."""
+    if sum(1 for t in trees for _ in t.walk()) > EXPRESSION_NODES:
+        return Flat.of(trees, lambda n: [n.value]).column(features)[0]
+    parts = [t.column(features, lambda n: F.lit(float(n.value))) for t in trees]
+    return parts[0] if len(parts) == 1 else F.aggregate(F.array(*parts), F.lit(0.0), lambda a, x: a + x)
+
+
+def array_of(trees: list[Node], features: list[str], numbers) -> Column:
+    """Arrays of the leaves' numbers, added up over the trees."""
+    if sum(1 for t in trees for _ in t.walk()) > EXPRESSION_NODES:
+        return Flat.of(trees, lambda n: list(numbers(n))).column(features)
+    rows = [t.column(features, lambda n: F.array(*[F.lit(float(x)) for x in numbers(n)])) for t in trees]
+    return rows[0] if len(rows) == 1 else F.aggregate(F.array(*rows[1:]), rows[0], lambda a, r: F.zip_with(a, r, lambda x, y: x + y))

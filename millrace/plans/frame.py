@@ -32,7 +32,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
-    """Adds 0-based positions in the given order: range partitions, a running number inside each, and their sizes (one row a partition) added up on the driver."""
+    """Adds 0-based positions in the given order: range partitions, a running number inside each, and their sizes (one row a partition) added up on the driver. It reads a written table, which its last reader may `discard`."""
     spark = df.sparkSession
     keyed = [o.alias(f"_o{i}") for i, o in enumerate(order)]
     keys = [f"_o{i}" for i in range(len(order))]
@@ -44,7 +44,9 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFr
         bases.append((p, before))
         before += sizes[p]
     table = spark.createDataFrame(bases, "_p int, _base bigint")
-    return held.join(F.broadcast(table), "_p").withColumn(name, F.col("_base") + F.col("_r") - 1).drop("_p", "_r", "_base", *keys)
+    out = held.join(F.broadcast(table), "_p").withColumn(name, F.col("_base") + F.col("_r") - 1).drop("_p", "_r", "_base", *keys)
+    out.written_to = held.written_to
+    return out
 
 
 def order_statistics(df: DataFrame, columns: list[Column], ranks: Callable[[int], Iterable[int]]) -> list[dict[int, float]]:

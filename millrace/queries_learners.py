@@ -106,7 +106,7 @@ def gaussian_mixture_predict(spark, d):
 def truncated_svd_embeddings(spark, d):
     """Singular values of the embeddings' first eight directions, and the mean squared projection on each."""
     df = table(spark, d, "embeddings")
-    m = TruncatedSVD(n_components=8, oversamples=24).fit_arrays(df, "embedding")
+    m = TruncatedSVD(n_components=8).fit_arrays(df, "embedding")
     p = m.transform(df.select("embedding")).select(F.posexplode("components").alias("k", "v")).groupBy("k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     values = spark.createDataFrame(list(enumerate(m.singular_values)), "k int, singular_value double")
     return rounded(values.join(p, "k"), 5, "singular_value", "norm")

@@ -191,8 +191,9 @@ def same_directions(a, b, close=1e-6):
     assert np.abs(np.sum(np.array(a) * np.array(b), axis=1)) == pytest.approx(np.ones(len(a)), abs=close)
 
 
-@pytest.mark.parametrize("fan,block", [(16, 4096), (2, 5)])
-def test_svd_equals_numpy(spark, monkeypatch, fan, block):
+@pytest.mark.parametrize("fan,block,every", [(16, 4096, 128), (2, 5, 0)])
+def test_svd_equals_numpy(spark, monkeypatch, fan, block, every):
+    monkeypatch.setattr(truncated_svd, "ALL", every)
     monkeypatch.setattr(truncated_svd, "FAN", fan)
     monkeypatch.setattr(truncated_svd, "BLOCK", block)
     r = np.random.default_rng(5)
@@ -281,3 +282,57 @@ def test_nmf_odd_input(spark):
     with pytest.raises(InvalidParameterError):
         NMF(n_components=65).fit(Sparse(3, 3, spark.createDataFrame([(0, 0, 1.0)], kind)))
     assert hist_boosting.REFRESH < 10  # the plain version above crosses a rewrite of the scores
+
+
+def test_trees_in_tasks_and_by_levels_agree(spark, monkeypatch):
+    """Nodes of few rows are finished in one task; the same trees come out where all are split by levels."""
+    from millrace.operators.tree import DecisionTreeClassifier, DecisionTreeRegressor
+    from millrace.plans import cart
+
+    r = np.random.default_rng(11)
+    x = np.stack([r.integers(0, 12, 150), r.normal(size=150).round(2), r.normal(size=150)], axis=1)
+    x[r.random(150) < 0.1, 1] = nan
+    df, names = frame(spark, x, label=np.nan_to_num(x[:, 1]) * 2 + x[:, 0], c=r.integers(0, 3, 150))
+    for config, label in ((DecisionTreeRegressor(max_depth=4), "label"), (DecisionTreeClassifier(max_depth=3, min_samples_leaf=4), "c"), (DecisionTreeClassifier(max_depth=3, criterion="entropy"), "c")):
+        found = []
+        for small in (1 << 16, 40, 0):
+            monkeypatch.setattr(cart, "SMALL", small)
+            before = listed(spark)
+            tree = config.fit(df, names, label).root
+            assert listed(spark) == before
+            found.append([(n.feature, n.n, pytest.approx(n.threshold), pytest.approx(n.value), pytest.approx(n.gain, abs=1e-9)) for n in tree.walk()])
+        assert found[0] == found[1] == found[2]
+
+
+def test_deep_trees_and_missing_values(spark):
+    from millrace.operators.tree import DecisionTreeClassifier, DecisionTreeRegressor
+
+    df = spark.createDataFrame([(float(i), float(i)) for i in range(70)], "a double, label double")
+    m = DecisionTreeClassifier().fit(df, ["a"])
+    assert {r.prediction == r.label for r in m.predict(m.predict_probabilities(df)).collect()} == {True}
+    chain = spark.createDataFrame([(float(i), 3.0**i) for i in range(70)], "a double, label double")
+    t = DecisionTreeRegressor().fit(chain, ["a"])
+    assert t.root.depth() == 69 and all(r.prediction == pytest.approx(r.label) for r in t.predict(chain).collect())
+    odd = spark.createDataFrame([(1.0, 0.0), (2.0, 0.0), (nan, 1.0), (None, 1.0), (inf, 0.0)], "a double, label double")
+    m = DecisionTreeClassifier().fit(odd, ["a"])
+    assert [r.prediction == r.label for r in m.predict(odd).collect()] == [True] * 5
+    with pytest.raises(InvalidParameterError, match="classes"):
+        DecisionTreeClassifier().fit(spark.range(5000).selectExpr("CAST(id AS double) AS a", "CAST(id AS double) AS label"), ["a"])
+
+
+def test_forests_and_boosting_leave_nothing(spark, monkeypatch):
+    from millrace.operators.ensemble import GradientBoostingRegressor, RandomForestClassifier
+    from millrace.plans import flat
+
+    r = np.random.default_rng(12)
+    x = r.normal(size=(120, 3)).round(1)
+    df, names = frame(spark, x, label=(x[:, 0] > 0) + (x[:, 1] > 0))
+    before = listed(spark)
+    forest = RandomForestClassifier(n_trees=5, max_depth=4).fit(df, names)
+    boosted = GradientBoostingRegressor(n_trees=3, subsample=0.7).fit(df, names)
+    assert listed(spark) == before
+    want = [(a.prediction, a.probability, a.b) for a in boosted.predict(forest.predict(forest.predict_probabilities(df)), "b").orderBy(*names, "label").collect()]
+    monkeypatch.setattr(flat, "EXPRESSION_NODES", 0)
+    got = [(a.prediction, a.probability, a.b) for a in boosted.predict(forest.predict(forest.predict_probabilities(df)), "b").orderBy(*names, "label").collect()]
+    assert [w[0] for w in want] == [g[0] for g in got]
+    assert np.array([[*w[1], w[2]] for w in want]) == pytest.approx(np.array([[*g[1], g[2]] for g in got]))
