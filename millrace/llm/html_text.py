@@ -36,35 +36,64 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: What an opening tag closes: an element of its own kind that is still open in the same container.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul figure".split()}
-#: Elements that hold no article text, by tag, by ARIA role, and by words of class and id.
+#: Elements that hold no article text, by tag, by ARIA role, and by words of class.
 NOT_TEXT = frozenset("head nav footer aside form button select option input label svg canvas object embed dialog menu audio video map datalist fieldset legend".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOT_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising adv sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription"
     " sidebar sidenav menu menus nav navbar navigation navi breadcrumb breadcrumbs footer topbar masthead comment comments commentlist respond replies reply disqus share sharing social related recommended"
-    " widget widgets login signup signin search searchbox toolbar pagination pager copyright legal disclaimer paywall alert toc".split()
+    " widget widgets login signup signin search searchbox toolbar pagination pager copyright legal disclaimer paywall alert toc buy shop cart checkout cta".split()
 )
+#: Words that say nothing about what an element is for; a class of such words and those above is one for other things.
+GENERIC = frozenset(
+    "list area box section wrapper wrap container block item items content contents inner outer body bar link links post posts form thread slot unit top bottom left right main holder panel group title heading"
+    " header row col column text small large desktop mobile button buttons icon icons primary secondary global site page entry js lazy sticky fixed".split()
+)
+#: Elements of running text: their class alone never decides, only together with the ratio of their path.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd pre blockquote figcaption caption address summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset({"html", "body", "article", "main"})
 
 
-def _other(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether the element is for something else than article text. inside: below an article or main element."""
+#: What names a container of readers' comments.
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+
+
+def _named(value: str, words_of=NOT_WORDS) -> bool:
+    """Whether a class or id says that its element is for other things than article text: all its words are such words or say nothing."""
+    for token in value.split():
+        words = [w.lower() for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", token) if w]
+        if any(w in words_of for w in words) and all(w in words_of or w in GENERIC or len(w) == 1 or w.isdigit() for w in words):
+            return True
+    return False
+
+
+#: What an element's tag and attributes say: nothing, that it is for other things if its path fails, that it is.
+NOTHING, DOUBT, OTHER = range(3)
+
+
+def _other(tag: str, attrs: str, inside: bool) -> int:
+    """Whether the element is for something else than article text. inside: below an article or main element, where ids name headings and sections, so that they count only for containers of readers' comments."""
     if tag in NOT_TEXT or tag == "header" and not inside:
-        return True
+        return OTHER
     if not attrs or tag in _SCOPE:
-        return False
+        return NOTHING
+    out = NOTHING
     for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value in NOT_ROLES:
-            return True
-        if name in ("class", "id"):
-            words = re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", value)
-            if any(w in NOT_WORDS for w in words) or not inside and "header" in words:
-                return True
-    return False
+        name, value = name.lower(), value.strip("\"'")
+        low = value.lower()
+        if name == "hidden" or name == "aria-hidden" and low == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low):
+            return OTHER
+        if name == "role" and low in NOT_ROLES:
+            return OTHER
+        if name == "class" or name == "id" and tag not in RUNNING:
+            if _named(value, COMMENTS if inside and name == "id" else NOT_WORDS):
+                out = DOUBT if tag in RUNNING else OTHER
+            elif not inside and tag not in RUNNING and low == "header":
+                out = OTHER
+        if out == OTHER:
+            return out
+    return out
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str, str, str | None]]:
@@ -109,13 +138,14 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str, str | None]]:
 
 
 class Block(NamedTuple):
-    """node: the element that it stands in; path: a number of the tags down to there; links: characters in links; able: whether it may be article text."""
+    """node: the element that it stands in; path: a number of the tags down to there; links: characters in links; able: whether it may be article text; doubt: only if its path passes."""
 
     node: int
     path: int
     text: str
     links: int
     able: bool
+    doubt: bool
 
     @property
     def linked(self) -> bool:
@@ -131,7 +161,7 @@ class Page:
         self.tag, self.parent, self.last = [""], [0], [0]
         self.declared = [0]  # the innermost article or main element around, itself included; 0: none
         paths: dict[tuple[int, str], int] = {}
-        stack, path, others, opened = [0], [0], [False], Counter()
+        stack, path, others, opened = [0], [0], [NOTHING], Counter()
         held: list[str] = []
         links, link, shut = 0, 0, None
 
@@ -140,7 +170,7 @@ class Page:
             if held:
                 text = _SPACE.sub(" ", "".join(held)).strip()
                 if text:
-                    self.blocks.append(Block(stack[-1], path[-1], text, links, not others[-1]))
+                    self.blocks.append(Block(stack[-1], path[-1], text, links, others[-1] < OTHER, others[-1] == DOUBT))
                 held, links = [], 0
 
         def pop():
@@ -167,7 +197,7 @@ class Page:
                 elif tag == "a":
                     link = 0 if slash else 1
                 # An inline element that is no article text (a badge, a hidden span) is passed over up to its end.
-                elif shut is None and not slash and attrs and _other(tag, attrs, True):
+                elif shut is None and not slash and attrs and _other(tag, attrs, True) == OTHER:
                     shut = tag, len(held)
                 elif shut and slash and shut[0] == tag:
                     del held[shut[1] :]
@@ -190,7 +220,7 @@ class Page:
                     while near(t):
                         pop()
             inside = opened["article"] or opened["main"] or tag in ("article", "main")
-            others.append(others[-1] or _other(tag, attrs, inside))
+            others.append(max(others[-1], _other(tag, attrs, inside)))
             node = len(self.tag)
             self.declared.append(node if tag in ("article", "main") else self.declared[stack[-1]])
             self.tag.append(tag)
@@ -265,6 +295,8 @@ def content(source: str, level: float = 0.5, whole: float = 0.9) -> list[str]:
     spread = (sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5
     least = min(level * spread, max(fused))
     taken = [b for b, f in zip(able, fused) if f >= least] or able
+    passed = {b.path for b in taken}
+    found = [b for b in found if not b.doubt or b.path in passed and not b.linked]
     marked = [b for b in taken if page.declared[b.node]]
     if marked and sum(len(b.text) for b in marked) >= whole * sum(len(b.text) for b in taken):
         taken = marked
