@@ -283,8 +283,8 @@ def _overlap(percent: int):
     return rows
 
 
-def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between sets, enough of them that what all links connect is connected. known: profiles, deleted once read; slim: the same without keys."""
+def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between sets in two written tables, enough of them that what all links connect is connected. known: profiles, deleted once read; slim: the same without keys."""
     met = known.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     # A key of one row says nothing; counts are combined before the exchange, however many meet there. Here and below
     # aggregates are written before they are joined, and joins before what needs a key's rows together, so that both sides
@@ -366,7 +366,7 @@ def links(keyed: DataFrame, known: DataFrame, slim: DataFrame, k: int = SHINGLE,
     discard(members, facts)
     more = verified(late, "more")
     discard(whole, late)
-    return linked.union(more)
+    return linked, more
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,7 +381,9 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("_a"), F.xxhash64(t, F.col(id_col).isNull()).alias("_b"), t.alias("_t"))
     known = materialize(profiles(keyed, k, percent), "profiles")
     slim = materialize(known.select("_a", "_b", "n", "node"), "sizes")
-    part = components(links(keyed, known, slim, k, percent))
+    linked, more = links(keyed, known, slim, k, percent)
+    part = components(linked.union(more))
+    discard(linked, more)
     rows = slim.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(rows.withColumn("id", F.when(F.col("_a") != NONE, F.col("_a"))), "rows")
     discard(slim, part)
