@@ -1,4 +1,9 @@
-"""Nearest neighbours: blocks of queries against blocks of training rows, matrix products inside, top k merged by aggregation."""
+"""Nearest neighbours, exact. Few training rows travel to all tasks; many are cut into cells of space.
+
+Cells are the leaves of a k-d tree; the box of every cell is exact. A query first meets the rows of its own cell, whose k-th distance bounds
+what it still needs; then only the cells whose boxes lie within that distance. Both meetings are equi-joins by cell, of packed blocks
+of queries with packed blocks of rows, so adaptive execution can split a cell that most queries fall into.
+"""
 
 from __future__ import annotations
 
@@ -11,75 +16,210 @@ from pyspark.sql import functions as F
 
 from ..core import Config, InvalidParameterError, require
 from ..plans.frame import checked, number
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, materialize
 from . import metrics
 
 #: Rows of a training block, and bytes up to which all blocks travel to every task.
 BLOCK, SMALL = 2048, 32 << 20
 
+#: Most cells of space, and training rows that their cuts are chosen from. Only the balance of cells depends on the choice.
+CELLS, SAMPLE = 4096, 32768
+
 WEIGHTS = ("uniform", "distance")
 
 #: Weight of a neighbour at distance 0.
 NEAR = 1e18
 
 
-def _blocks(train: DataFrame, ids: str, x: Column, n: int) -> DataFrame:
-    """Training rows packed in blocks: block, ids and values as binary."""
-    count = max(1, -(-n // BLOCK))
-    d = train.select(F.col(ids).cast("long").alias("i"), x.alias("x"), F.pmod(F.xxhash64(F.col(ids)), F.lit(count)).cast("int").alias("block"))
-    return d.groupBy("block").agg(F.collect_list("i").alias("ids"), F.flatten(F.collect_list("x")).alias("x"))
+@dataclass(frozen=True)
+class _Space:
+    """Cuts of space (feature, value, children; a child below 0 is a cell), and the box of every cell that has rows."""
+
+    feature: np.ndarray
+    value: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    numbers: np.ndarray
+    boxes: np.ndarray
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The cell of every row."""
+        at = np.zeros(len(x), np.int64) if len(self.feature) else np.full(len(x), -1)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            at[inner] = np.where(x[inner, self.feature[node]] <= self.value[node], self.low[node], self.high[node])
+        return -at - 1
+
+    def near(self, x: np.ndarray, reach: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the other cells whose boxes may hold something within their reach (distances are rounded, so a little beyond)."""
+        gap = np.zeros((len(x), len(self.numbers)))
+        for j in range(x.shape[1]):
+            outside = np.maximum(np.maximum(self.boxes[None, :, 0, j] - x[:, j : j + 1], x[:, j : j + 1] - self.boxes[None, :, 1, j]), 0.0)
+            gap += outside * outside
+        row, cell = np.nonzero((np.sqrt(gap) <= reach[:, None] * (1 + 1e-9)) & (self.numbers[None, :] != home[:, None]))
+        return row, self.numbers[cell]
+
+
+def _cuts(x: np.ndarray, least: int) -> list[tuple[int, float, int, int]]:
+    """A k-d tree over some rows, at medians of the widest feature, down to `least` rows."""
+    nodes: list[list] = []
+    cells = 0
+    stack = [(x, None, None)]
+    while stack:
+        rows, parent, side = stack.pop()
+        feature = int((rows.max(0) - rows.min(0)).argmax()) if len(rows) else 0
+        values = rows[:, feature]
+        middle = float(np.median(values)) if len(rows) else 0.0
+        if len(rows) and middle >= values.max() > values.min():  # more than half are the largest: the rest goes to one side
+            middle = float(values[values < values.max()].max())
+        below = values <= middle
+        if len(rows) <= least or below.all():
+            cells += 1
+            mark = -cells
+        else:
+            mark = len(nodes)
+            nodes.append([feature, middle, 0, 0])
+            stack += [(rows[~below], mark, 3), (rows[below], mark, 2)]
+        if parent is not None:
+            nodes[parent][side] = mark
+    return nodes
+
+
+def _doubles(column: pa.Array, p: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p)
+
+
+def _space(train: DataFrame, ids: str, x: Column, n: int, p: int, k: int) -> tuple[DataFrame, _Space]:
+    """Training rows packed by cell (cell, ids, x) in blocks of about BLOCK, written; and the space. The driver holds SAMPLE rows for the cuts, then CELLS boxes."""
+    d = train.select(F.col(ids).cast("long").alias("i"), x.alias("x"))
+    some = d.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < max(1, min(1 << 20, (SAMPLE << 20) // max(n, 1)))).limit(4 * SAMPLE).toArrow()
+    count = max(1, min(CELLS, n // max(BLOCK, 4 * k)))
+    sample = _doubles(some.column("x").combine_chunks(), p) if some.num_rows else np.zeros((0, p))
+    nodes = _cuts(sample, max(1, -(-len(sample) // count)))
+    arrays = [np.array([v[c] for v in nodes]) for c in range(4)]
+    bare = _Space(*arrays, np.zeros(0, np.int64), np.zeros((0, 2, p)))
+
+    def place(batches):
+        for b in batches:
+            cell = bare.cells(_doubles(b.column("x"), p))
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("x"), pa.array(cell)], names=["i", "x", "cell"])
+
+    placed = materialize(d.mapInArrow(place, "i long, x array<double>, cell long"), "placed")
+    values = [F.col("x")[j] for j in range(p)]
+    found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.array(*[F.min(v) for v in values]).alias("low"), F.array(*[F.max(v) for v in values]).alias("high")).collect()  # a row a cell
+    space = _Space(*arrays, np.array([r.cell for r in found], np.int64), np.array([[r.low, r.high] for r in found], float).reshape(-1, 2, p))
+    parts = train.sparkSession.createDataFrame([(r.cell, -(-r.n // BLOCK)) for r in found], "cell long, parts long")  # CELLS rows at most
+    packed = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts"))).groupBy("cell", "part").agg(F.collect_list(F.struct("i", "x")).alias("rows"))
+    blocks = materialize(packed.select("cell", F.col("rows.i").alias("ids"), F.flatten("rows.x").alias("x")), "train")
+    discard(placed)
+    return blocks, space
+
+
+def _packed(q: DataFrame) -> DataFrame:
+    """Queries (q, x, r, cell) packed by cell in blocks of about BLOCK: cell, qs, qx, rs."""
+    counts = q.groupBy("cell").agg(F.count("*").alias("n"))
+    parts = F.pmod(F.xxhash64("q"), F.ceil(F.col("n") / BLOCK))
+    rows = q.join(counts, "cell").withColumn("part", parts).groupBy("cell", "part").agg(F.collect_list(F.struct("q", "x", "r")).alias("rows"))
+    return rows.select("cell", F.col("rows.q").alias("qs"), F.flatten("rows.x").alias("qx"), F.col("rows.r").alias("rs"))
 
 
 def neighbours(train: DataFrame, queries: DataFrame, k: int, x: Column, train_id: str, query_id: str, n: int | None = None) -> DataFrame:
     """(query, neighbour, distance, rank): the k nearest training rows of every query, ties by id. x: array of doubles, the same in both.
 
-    Training blocks go to all tasks while their size allows it (it is computed from the row count); beyond that every block
-    of queries meets every block of training rows in a task of its own. Either way a task holds two blocks.
+    Training rows go to all tasks while their size allows it (it is computed from the row count); beyond that by cells of
+    space. A task holds a block of queries and a block of rows at a time. The result is a written table in the second case.
     """
     spark = train.sparkSession
     n = train.count() if n is None else n
     p = len(train.select(x.alias("x")).first()["x"]) if n else 1
     q = queries.select(F.col(query_id).cast("long").alias("q"), x.alias("x"))
-    blocks = materialize(_blocks(train, train_id, x, n), "train")
 
-    def nearest(ids: np.ndarray, t: np.ndarray, qs: np.ndarray, qx: np.ndarray):
+    def nearest(ids: np.ndarray, t: np.ndarray, qs: np.ndarray, qx: np.ndarray, rs: np.ndarray | None = None):
         d = np.zeros((len(qx), len(t)))
         for j in range(t.shape[1]):  # differences, not products: distances of equal rows are exactly 0
             d += (qx[:, j : j + 1] - t[None, :, j]) ** 2
         d = np.sqrt(d)
         m = min(k, len(ids))
         order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :m]
-        return np.repeat(qs, m), ids[order].reshape(-1), np.take_along_axis(d, order, 1).reshape(-1)
+        qs, ids, d = np.repeat(qs, m), ids[order].reshape(-1), np.take_along_axis(d, order, 1).reshape(-1)
+        if rs is None:
+            return qs, ids, d
+        able = d <= np.repeat(rs, m)
+        return qs[able], ids[able], d[able]
 
     def out(parts):
         a, b, c = (np.concatenate(z) for z in zip(*parts))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["q", "i", "d"])
 
+    def ranked(found: DataFrame) -> DataFrame:
+        top = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "i"))).where(F.col("rank") <= k)
+        return top.select(F.col("q").alias("query"), F.col("i").alias("neighbour"), F.col("d").alias("distance"), "rank")
+
     if n * p * 8 <= SMALL:
-        held = spark.sparkContext.broadcast([(np.array(r.ids, np.int64), np.array(r.x, float).reshape(-1, p)) for r in blocks.collect()])
+        rows = train.select(F.col(train_id).cast("long").alias("i"), x.alias("x")).toArrow()
+        ids, t = rows.column("i").to_numpy(), _doubles(rows.column("x").combine_chunks(), p) if rows.num_rows else np.zeros((0, p))
+        held = spark.sparkContext.broadcast([(ids[at : at + BLOCK], t[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)])
+
+        def best(qs: np.ndarray, qx: np.ndarray):
+            """The k best of all blocks: so many rows a query leave the task, whatever the number of blocks."""
+            a, b, c = (np.concatenate(z) for z in zip(*[nearest(ids, t, qs, qx) for ids, t in held.value]))
+            order = np.lexsort((b, c, a))
+            a, b, c = a[order], b[order], c[order]
+            start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            able = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < k
+            return a[able], b[able], c[able]
 
         def scan(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     b = batch.slice(at, 256)
-                    qs, qx = b.column("q").to_numpy(), b.column("x").flatten().to_numpy().reshape(-1, p)
-                    yield out([nearest(ids, t, qs, qx) for ids, t in held.value])
-
-        found = q.mapInArrow(scan, "q bigint, i bigint, d double")
-    else:
-        qb = q.withColumn("g", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // BLOCK))))).groupBy("g").agg(F.collect_list("q").alias("qs"), F.flatten(F.collect_list("x")).alias("qx"))
-
-        def cross(batches):
-            for batch in batches:
-                for r in batch.to_pylist():
-                    qx, t = np.array(r["qx"], float).reshape(-1, p), np.array(r["x"], float).reshape(-1, p)
-                    for at in range(0, len(qx), 256):
-                        yield out([nearest(np.array(r["ids"], np.int64), t, np.array(r["qs"][at : at + 256], np.int64), qx[at : at + 256])])
-
-        found = qb.crossJoin(blocks).mapInArrow(cross, "q bigint, i bigint, d double")
-    rank = Window.partitionBy("q").orderBy("d", "i")
-    top = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return top.select(F.col("q").alias("query"), F.col("i").alias("neighbour"), F.col("d").alias("distance"), "rank")
+                    qs, qx = b.column("q").to_numpy(), _doubles(b.column("x"), p)
+                    if len(np.unique(qs)) == len(qs) and held.value:
+                        yield out([best(qs, qx)])
+                    elif held.value:
+                        yield out([nearest(ids, t, qs, qx) for ids, t in held.value])
+
+        return ranked(q.mapInArrow(scan, "q bigint, i bigint, d double"))
+
+    blocks, space = _space(train, train_id, x, n, p, k)
+    shared = spark.sparkContext.broadcast(space)  # CELLS boxes at most
+    kind = "q bigint, x array<double>, r double, cell bigint"
+
+    def home(batches):
+        for b in batches:
+            cell = shared.value.cells(_doubles(b.column("x"), p))
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("x"), pa.array(np.full(len(cell), np.inf)), pa.array(cell)], names=["q", "x", "r", "cell"])
+
+    def further(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                row, cell = shared.value.near(_doubles(b.column("x"), p), b.column("r").to_numpy(), b.column("cell").to_numpy())
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column("q").take(rows), b.column("x").take(rows), b.column("r").take(rows), pa.array(cell)], names=["q", "x", "r", "cell"])
+
+    def meet(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                qs, rs, ids = (one.column(c).flatten().to_numpy() for c in ("qs", "rs", "ids"))
+                qx, t = _doubles(one.column("qx"), p), _doubles(one.column("x"), p)
+                for at in range(0, len(qs), 256):
+                    yield out([nearest(ids, t, qs[at : at + 256], qx[at : at + 256], rs[at : at + 256])])
+
+    def met(some: DataFrame) -> DataFrame:
+        return _packed(some).join(blocks, "cell").select("qs", "qx", "rs", "ids", "x").mapInArrow(meet, "q bigint, i bigint, d double")
+
+    homes = materialize(q.mapInArrow(home, kind), "homes")
+    first = materialize(ranked(met(homes)), "first")
+    reach = first.where(F.col("rank") == k).select(F.col("query").alias("q"), F.col("distance").alias("reach"))
+    more = homes.join(reach, "q", "left").select("q", "x", F.coalesce("reach", F.lit(float("inf"))).alias("r"), "cell")
+    wide = materialize(more.mapInArrow(further, kind), "further")
+    discard(homes)
+    both = first.select(F.col("query").alias("q"), F.col("neighbour").alias("i"), F.col("distance").alias("d")).union(met(wide))
+    result = materialize(ranked(both), "neighbours")
+    discard(first, wide, blocks)
+    return result
 
 
 def _valid(k: int, weights: str, n: int) -> str:

@@ -336,3 +336,25 @@ def test_forests_and_boosting_leave_nothing(spark, monkeypatch):
     got = [(a.prediction, a.probability, a.b) for a in boosted.predict(forest.predict(forest.predict_probabilities(df)), "b").orderBy(*names, "label").collect()]
     assert [w[0] for w in want] == [g[0] for g in got]
     assert np.array([[*w[1], w[2]] for w in want]) == pytest.approx(np.array([[*g[1], g[2]] for g in got]))
+
+
+@pytest.mark.parametrize("dims,values,block", [(1, 5, 8), (2, 30, 16), (3, 4, 8), (6, 1000, 16)])
+def test_neighbours_by_space_equal_brute_force(spark, monkeypatch, dims, values, block):
+    """Ties, equal rows, queries outside all cells, a cell that most queries fall into."""
+    from millrace.operators import neighbors
+
+    r = np.random.default_rng(dims)
+    t = r.integers(0, values, (300, dims)).astype(float)
+    t[:90] = t[0]
+    q = np.concatenate([r.integers(-values, 2 * values, (60, dims)), t[:1].repeat(60, 0)]).astype(float)
+    train, names = frame(spark, t, row_id=np.arange(300))
+    asked, _ = frame(spark, q, row_id=np.arange(len(q)))
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    d = np.sqrt(((q[:, None] - t[None]) ** 2).sum(2))
+    for k, small in ((4, 0), (4, 1 << 20), (13, 0)):
+        monkeypatch.setattr(neighbors, "SMALL", small)
+        got = neighbors.neighbours(train, asked, k, F.array(*names), "row_id", "row_id")
+        assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+        rows = sorted((x.query, x["rank"], x.neighbour, round(x.distance, 9)) for x in got.collect())
+        want = [(i, j + 1, int(n), round(float(d[i, n]), 9)) for i in range(len(q)) for j, n in enumerate(sorted(range(300), key=lambda n: (d[i, n], n))[:k])]
+        assert rows == want
