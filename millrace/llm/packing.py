@@ -25,7 +25,11 @@ GROUP = 20_000
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's ids and end_id, cut into pieces of `size` where longer: doc_id, piece, start, length, ids_crc32."""
+    """Every document's ids and end_id, cut into pieces of `size` where longer: doc_id, piece, start, length, ids_crc32.
+
+    Null and empty texts are end_id alone; very long texts are encoded whole; repeated rows and rows of one or no id are
+    documents each; an empty table gives an empty one; other columns are ignored, whatever their names.
+    """
     path = tokenizer or default_tokenizer()
 
     def cut(batches):
@@ -173,7 +177,8 @@ def best_fit(cut: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to the rows of `cut` (with `length`, at most size): packed per hashed group of about `group` pieces.
 
     Rows are dealt by a written number of their own too, so rows of equal or no id are spread like others; full pieces take a
-    sequence each. Empty in, empty out.
+    sequence each. Every row comes back once, with its other columns; repeated rows and ties of length are packed like
+    others, in an order of their values. Empty in, empty out.
     """
     columns = cut.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"

@@ -155,7 +155,7 @@ def judge(marked: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 def assess(docs: DataFrame, rules=RULES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good and the votes.
 
-    Measures are written once and read for the fit and for the verdict. Null and empty texts fail; repeated rows each get
+    Measures are written once and read for the fit and for the verdict. Null and empty texts fail; very long texts are measured whole; repeated rows each get
     their verdict; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

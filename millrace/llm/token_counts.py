@@ -159,7 +159,9 @@ class Counter:
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text: one pass, no exchange.
 
-    Null and empty texts have no bytes and no tokens. Repeated rows each give a row; other columns are ignored.
+    Null and empty texts have no bytes and no tokens; very long texts are counted whole, alone in their task's memory.
+    Repeated rows, rows of one id and rows without an id each give a row; an empty table gives an empty one; other columns
+    are ignored, whatever their names. A tokenizer file of another kind than word-level merges raises ValueError.
     """
     path = tokenizer or default_tokenizer()
 

@@ -100,7 +100,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     """Encodes every whole text, appends end_id, and writes shards in ascending order of the ids; returns the written table.
 
     Rows are range-partitioned and sorted by id (null ids first, then by text), so `part` and `seq` number the shards in
-    order. A document is never cut: a shard has one document at least. Null and empty texts hold end_id alone; repeated
+    order. A document is never cut: a shard has one document at least, and one very long text may fill it. Null and empty texts hold end_id alone; repeated
     rows and equal ids are all kept; an empty table gives an empty one; other columns are ignored.
     """
     path = tokenizer or default_tokenizer()
