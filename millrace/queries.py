@@ -22,7 +22,6 @@ from .operators.preprocessing import LabelEncoder, MinMaxScaler, OneHotEncoder,
 from .operators.sparse import Sparse
 from .operators.tree import DecisionTreeClassifier, DecisionTreeRegressor
 from .plans.scratch import materialize
-from .sources.datasets import COLUMNS, ROWS, load_diabetes, load_iris, load_wine, make_blobs, make_classification, make_regression
 from .sources.persistence import load_json, load_msgpack, load_native, save_json, save_msgpack, save_native
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,12 +393,6 @@ def tree_regressor_depth_two(spark, d):
     return rounded(m.predict(df).select("i", "prediction"), 6, "prediction")
 
 
-@query("SELECT * FROM (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (0, 1, 1), (1, 0, 1), (1, 1, 0)) AS t(a, b, prediction)")
-def tree_classifier_xor(spark, d):
-    df = spark.createDataFrame([(0.0, 0.0, 0.0), (0.0, 1.0, 1.0), (1.0, 0.0, 1.0), (1.0, 1.0, 0.0)], "a double, b double, label double")
-    return DecisionTreeClassifier().fit(df, ["a", "b"]).predict(df).select("a", "b", "prediction")
-
-
 @query(f"WITH s AS ({_TREE}) SELECT i, c::DOUBLE AS prediction FROM s")
 def tree_classifier_full(spark, d):
     """Unlimited depth: the labels are a function of the features, so the training rows come back."""
@@ -787,53 +780,6 @@ def pipeline_score(spark, d):
     return rounded(spark.createDataFrame([(m.score(df),)], "r2 double"), 9, "r2")
 
 
-# --- generators ----------------------------------------------------------------------------------------------------
-
-
-def _gauss(seed: int, *parts: str) -> str:
-    u, v = _md5(seed, *parts, "'u'"), _md5(seed, *parts, "'v'")
-    return f"(sqrt(-2.0 * ln(1.0 - {u})) * cos({2 * pi!r} * {v}))"
-
-
-@query("SELECT i AS row_id, " + ", ".join(f"{_r(_md5(42, repr('center'), 'i % 4', str(j)) + ' * 20 - 10 + 0.5 * ' + _gauss(42, 'i', str(j)), 7)} AS f{j}" for j in range(3)) + ", (i % 4)::DOUBLE AS label FROM range(300) AS t(i)")
-def blobs(spark, d):
-    return rounded(make_blobs(spark, 300, 3, 4, 0.5, 42), 7, "f0", "f1", "f2")
-
-
-@query(
-    "WITH g AS (SELECT i, " + ", ".join(f"{_gauss(42, 'i', str(j))} AS f{j}" for j in range(2)) + " FROM range(500) AS t(i)), s AS (SELECT *, min(f0 + f1) OVER () AS lo, max(f0 + f1) OVER () AS hi FROM g) "
-    f"SELECT i AS row_id, {_r('f0', 7)} AS f0, {_r('f1', 7)} AS f1, {_r('f0 * ' + _gauss(42, repr('mix'), '0', '0') + ' + f1 * ' + _gauss(42, repr('mix'), '0', '1'), 7)} AS f2, {_r(_gauss(42, 'i', '3'), 7)} AS f3, "
-    f"CASE WHEN {_md5(42, repr('flip'), 'i')} < 0.05 THEN floor({_md5(42, repr('class'), 'i')} * 3) ELSE least(floor((f0 + f1 - lo) / ((hi - lo) / 3)), 2) END::DOUBLE AS label FROM s"
-)
-def classification_rows(spark, d):
-    return rounded(make_classification(spark, 500, 4, 2, 1, 3, 0.05, 1.0, 42), 7, "f0", "f1", "f2", "f3")
-
-
-@query("WITH g AS (SELECT i, " + ", ".join(f"{_gauss(9, 'i', str(j))} AS f{j}" for j in range(3)) + f" FROM range(400) AS t(i)) SELECT i AS row_id, {_r('f0', 7)} AS f0, {_r('f1', 7)} AS f1, {_r('f2', 7)} AS f2, {_r('5.0 + f0 * ' + _gauss(9, repr('coef'), '0') + ' + f1 * ' + _gauss(9, repr('coef'), '1') + ' + 0.1 * ' + _gauss(9, repr('noise'), 'i'), 7)} AS label FROM g")
-def regression_rows(spark, d):
-    return rounded(make_regression(spark, 400, 3, 2, 0.1, 5.0, 9), 7, "f0", "f1", "f2", "label")
-
-
-def _loader(load, name: str, width: int):
-    """A file of the table's shape, its values by a rule, read by its loader; the same rule in SQL."""
-    columns, rows = COLUMNS[name], ROWS[name]
-    values = [f"((i * {j + 3} + {j}) % 97) / 8.0" for j in range(len(columns))]
-    label = f"(i % {width})"
-
-    def run(spark, d):
-        made = spark.range(rows).withColumnRenamed("id", "i").select(*[F.expr(f"CAST({v} AS DOUBLE)").alias(c) for c, v in zip(columns, values)], F.expr(f"CAST({label} AS DOUBLE)").alias("label"))
-        folder = materialize(spark.range(1), name).written_to + "-csv"
-        made.write.csv(folder, header=True)
-        return load(spark, folder)
-
-    query("SELECT " + ", ".join(f"({v})::DOUBLE AS {c}" for c, v in zip(columns, values)) + f", {label}::DOUBLE AS label FROM range({rows}) AS t(i)", f"load_{name}")(run)
-
-
-_loader(load_iris, "iris", 3)
-_loader(load_diabetes, "diabetes", 347)
-_loader(load_wine, "wine", 3)
-
-
 # --- sparse --------------------------------------------------------------------------------------------------------
 
 _SPARSE = "s AS (SELECT p_partkey AS row, unnest([0, 1, 2]) AS col, unnest([p_size % 3, p_size % 4, p_size % 5])::DOUBLE AS value FROM part), e AS (SELECT * FROM s WHERE value <> 0), z AS (SELECT count(*) AS n FROM part)"
@@ -849,16 +795,6 @@ def sparse_from_dense(spark, d):
     return _sparse(spark, d).entries
 
 
-@query("SELECT i AS row, ((i + 2 * j) % 7)::INT AS col, (i + 0.5 * j)::DOUBLE AS value FROM range(300) AS t(i), range(3) AS u(j) WHERE j < i % 4")
-def sparse_from_csr(spark, d):
-    """Row i has i % 4 entries."""
-    cells = [[((i + 2 * j) % 7, i + 0.5 * j) for j in range(i % 4)] for i in range(300)]
-    starts = [0]
-    for row in cells:
-        starts.append(starts[-1] + len(row))
-    return Sparse.from_csr(spark, 300, 7, [v for row in cells for _, v in row], [c for row in cells for c, _ in row], starts).entries
-
-
 @query(f"WITH {_SPARSE} SELECT row, col::INT AS col, value FROM e")
 def sparse_from_row_views(spark, d):
     s = _sparse(spark, d)

@@ -7,10 +7,13 @@ import warnings
 from pyspark.sql import functions as F
 
 from .core import ConvergenceWarning
+from .operators.agreement import agreement_table
 from .operators.factorization import NMF
 from .operators.hist_boosting import HistGradientBoosting
+from .operators.isotonic import IsotonicRegression
 from .operators.mixture import GaussianMixture
 from .operators.sparse import Sparse
+from .operators.topics import LatentDirichlet
 from .operators.truncated_svd import TruncatedSVD
 from .queries import _TREE, _md5, _r, _tree, query, rounded, table
 
@@ -149,3 +152,53 @@ def nmf_supplier_months(spark, d):
     """Quantities by supplier and month after two rounds."""
     items, m = _nmf(spark, d)
     return rounded(m.values(items.select("row", "col")), 5, "value")
+
+
+# --- topics --------------------------------------------------------------------------------------------------------
+
+
+@query()
+def topic_model_documents(spark, d):
+    """The main topic of every document, and its share."""
+    df = table(spark, d, "documents").select("doc_id", "text")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", ConvergenceWarning)
+        m = LatentDirichlet(n_topics=6, max_iter=8, vocabulary=5000).fit(df)
+    best = F.array_max("topics")
+    return rounded(m.transform(df).select("doc_id", (F.array_position("topics", best) - 1).cast("int").alias("topic"), best.alias("share")), 4, "share")
+
+
+# --- isotonic regression -------------------------------------------------------------------------------------------
+
+_ISO_ROWS = "SELECT c_custkey AS i, floor(c_acctbal / 50)::DOUBLE AS x, c_nationkey + c_acctbal / 1000 AS y FROM customer"
+
+
+@query(
+    f"""WITH v AS ({_ISO_ROWS}), u AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY x) AS k, sum(y) AS s, count(*) AS w FROM v GROUP BY x),
+c AS MATERIALIZED (SELECT k, x, sum(s) OVER (ORDER BY k) AS cs, sum(w) OVER (ORDER BY k) AS cw, s, w FROM u),
+m AS (SELECT a.k AS a, b.k AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM c AS a JOIN c AS b ON b.k >= a.k),
+l AS MATERIALIZED (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m),
+f AS (SELECT b AS k, max(least) AS value FROM l GROUP BY b)
+SELECT i, {_r('value', 6)} AS prediction FROM v JOIN u USING (x) JOIN f USING (k)"""
+)
+def isotonic_regression(spark, d):
+    df = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.floor(F.col("c_acctbal") / 50).cast("double").alias("x"), (F.col("c_nationkey") + F.col("c_acctbal") / 1000).alias("y"))
+    return rounded(IsotonicRegression().fit(df, "x", "y").predict(df).select("i", "prediction"), 6, "prediction")
+
+
+# --- agreement of labellings ---------------------------------------------------------------------------------------
+
+_TWO = "SELECT o_orderstatus AS a, CASE WHEN o_orderkey % 7 < 4 THEN o_orderpriority END AS b FROM orders"
+
+
+@query(
+    f"""WITH v AS ({_TWO}), t AS (SELECT a, b, count(*) AS n FROM v GROUP BY ALL), z AS (SELECT count(*)::DOUBLE AS z FROM v),
+x AS (SELECT a, sum(n)::DOUBLE AS n FROM t GROUP BY a), y AS (SELECT b, sum(n)::DOUBLE AS n FROM t GROUP BY b),
+p AS (SELECT sum(n * (n - 1) / 2) AS p FROM t), q AS (SELECT sum(n * (n - 1) / 2) AS q, -sum(n / z * ln(n / z)) AS ha FROM x, z), r AS (SELECT sum(n * (n - 1) / 2) AS r, -sum(n / z * ln(n / z)) AS hb FROM y, z),
+m AS (SELECT sum(t.n / z * ln(t.n * z / (x.n * y.n))) AS mi FROM t JOIN x ON t.a IS NOT DISTINCT FROM x.a JOIN y ON t.b IS NOT DISTINCT FROM y.b, z)
+SELECT z::BIGINT AS n, {_r('(p - q * r / (z * (z - 1) / 2)) / ((q + r) / 2 - q * r / (z * (z - 1) / 2))', 8)} AS adjusted_rand, {_r('mi', 8)} AS mutual_information, {_r('mi / ha', 8)} AS homogeneity, {_r('mi / hb', 8)} AS completeness, {_r('2 * mi / (ha + hb)', 8)} AS v_measure FROM p, q, r, m, z"""
+)
+def labelling_agreement(spark, d):
+    df = table(spark, d, "orders").select(F.col("o_orderstatus").alias("a"), F.when(F.col("o_orderkey") % 7 < 4, F.col("o_orderpriority")).alias("b"))
+    cols = ("adjusted_rand", "mutual_information", "homogeneity", "completeness", "v_measure")
+    return rounded(agreement_table(df, "a", "b").select("n", *cols), 8, *cols)

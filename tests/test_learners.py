@@ -358,3 +358,189 @@ def test_neighbours_by_space_equal_brute_force(spark, monkeypatch, dims, values,
         rows = sorted((x.query, x["rank"], x.neighbour, round(x.distance, 9)) for x in got.collect())
         want = [(i, j + 1, int(n), round(float(d[i, n]), 9)) for i in range(len(q)) for j, n in enumerate(sorted(range(300), key=lambda n: (d[i, n], n))[:k])]
         assert rows == want
+
+
+def plain_topics(docs, words, topics, passes, rounds, tol):
+    """Document by document."""
+    from math import lgamma
+
+    slope = lambda x: (lgamma(x + 1e-5) - lgamma(x - 1e-5)) / 2e-5
+    k = topics.shape[1]
+    share = lambda row: np.exp([slope(v) - slope(row.sum()) for v in row])
+    for _ in range(passes):
+        beta = np.stack([share(topics[:, t]) for t in range(k)], axis=1)
+        sums = np.zeros(topics.shape)
+        for d in docs:
+            ids = sorted({words.index(w) for w in d if w in words})
+            if not ids:
+                continue
+            counts = np.array([sum(w == words[i] for w in d) for i in ids], float)
+            weights = np.ones(k)
+            for _ in range(rounds):
+                theta = share(weights)
+                new = 1 / k + theta * ((counts / (beta[ids] @ theta)) @ beta[ids])
+                moved, weights = np.abs(new - weights).mean(), new
+                if moved < tol:
+                    break
+            theta = share(weights)
+            sums[ids] += np.outer(counts / (beta[ids] @ theta), theta)
+        topics = 1 / k + sums * beta
+    return topics
+
+
+def topic_docs(seed=1, n=80):
+    r = np.random.default_rng(seed)
+    sets = [[f"{c}{a}{b}" for a in "abcdef" for b in "xyz"] for c in "klm"]
+    kind = r.integers(0, 3, n)
+    return [" ".join(r.choice(sets[k] if r.random() < 0.9 else sets[(k + 1) % 3]) for _ in range(r.integers(20, 60))) for k in kind], kind, sets
+
+
+@pytest.mark.parametrize("entries", [1 << 16, 40])
+def test_topics_equal_plain_version(spark, monkeypatch, entries):
+    from millrace.operators import topics
+
+    monkeypatch.setattr(topics, "ENTRIES", entries)
+    assert topics.digamma(np.array([1.0, 0.1, 30.0])) == pytest.approx([-0.5772156649015329, -10.423754940411076, 3.38443813265855], rel=1e-10)
+    docs, _, _ = topic_docs(n=20)
+    df = spark.createDataFrame([(d,) for d in [*docs, None, "", "Kax kax, 12 unknownword!"]], "text string").repartition(3)
+    before = listed(spark)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", ConvergenceWarning)
+        m = topics.LatentDirichlet(n_topics=3, max_iter=2, seed=4, tol=1e-6).fit(df)
+    assert listed(spark) == before and "unknownword" not in m.words
+    start = np.random.default_rng(4).gamma(100.0, 0.01, (len(m.words), 3))
+    want = plain_topics([d.split() for d in [*docs, "kax kax"]], list(m.words), start, 2, 100, 1e-6)
+    assert np.array(m.topics) == pytest.approx(want, rel=1e-4)
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_planted_topics_are_found(spark, batches):
+    from millrace.operators.topics import LatentDirichlet
+
+    docs, kind, sets = topic_docs(n=150)
+    df = spark.createDataFrame([(d, int(k), 0) for d, k in zip(docs, kind)] + [(None, -1, 0), ("", -1, 0)], "text string, kind int, words int").repartition(3)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", ConvergenceWarning)
+        m = LatentDirichlet(n_topics=3, max_iter=15, batches=batches, offset=1.0, seed=2).fit(df)
+    tops = [set(t) for t in m.top_words(12)]
+    assert sorted(max(range(3), key=lambda s: len(t & set(sets[s]))) for t in tops) == [0, 1, 2] and all(max(len(t & set(s)) for s in sets) >= 11 for t in tops)
+    got = m.transform(df).select("kind", "topics").collect()
+    assert all(sum(r.topics) == pytest.approx(1) for r in got) and all(r.topics == pytest.approx([1 / 3] * 3) for r in got if r.kind < 0)
+    pairs = {(r.kind, int(np.argmax(r.topics))) for r in got if r.kind >= 0}
+    assert len(pairs) == 3
+
+
+def test_topics_odd_input(spark):
+    from millrace.operators.topics import LatentDirichlet
+
+    df = spark.createDataFrame([("a b",), (None,)], "text string")
+    for bad in (LatentDirichlet(n_topics=0), LatentDirichlet(decay=0.2), LatentDirichlet(vocabulary=1 << 24)):
+        with pytest.raises(InvalidParameterError):
+            bad.fit(df)
+    for rows in (df, df.limit(0)):
+        with pytest.raises(EmptyInputError):
+            LatentDirichlet().fit(rows)
+
+
+def plain_isotonic(x, y, w):
+    """The min-max formula at every distinct value."""
+    values = np.unique(x)
+    s = np.array([(w * y)[x == v].sum() for v in values])
+    c = np.array([w[x == v].sum() for v in values])
+    mean = lambda a, b: s[a : b + 1].sum() / c[a : b + 1].sum()
+    n = len(values)
+    return values, [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+
+
+@pytest.mark.parametrize("shape", ["noise", "rising", "falling", "cliff"])
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_isotonic_equals_min_max(spark, monkeypatch, shape, one_task):
+    from millrace.operators import isotonic
+    from millrace.operators.isotonic import IsotonicRegression
+
+    monkeypatch.setattr(isotonic, "ONE_TASK", one_task)
+    r = np.random.default_rng(3)
+    x = r.integers(0, 60, 150) / 4
+    y = {"noise": x / 3 + r.normal(size=150) * 2, "rising": x * 2, "falling": -x, "cliff": np.where(x < 9, x, x - 20)}[shape]
+    w = r.integers(1, 4, 150).astype(float)
+    df = spark.createDataFrame([tuple(map(float, v)) for v in zip(x, y, w)], "x double, label double, w double").repartition(3)
+    before = listed(spark)
+    m = IsotonicRegression().fit(df, "x", weight="w")
+    assert listed(spark) == before
+    values, want = plain_isotonic(x, y, w)
+    ask = spark.createDataFrame([(float(v),) for v in values], "x double")
+    got = {v.x: v.prediction for v in m.predict(ask).collect()}
+    assert [got[v] for v in values] == pytest.approx(want)
+    down = IsotonicRegression(increasing=False).fit(df.withColumn("label", -F.col("label")), "x", weight="w")
+    got = {v.x: v.prediction for v in down.predict(ask).collect()}
+    assert [-got[v] for v in values] == pytest.approx(want)
+
+
+def test_isotonic_odd_input(spark):
+    from millrace.operators.isotonic import IsotonicRegression
+
+    df = spark.createDataFrame([(1.0, 3.0), (2.0, 1.0), (4.0, 6.0), (-0.0, 0.0), (0.0, 1.0)], "x double, label double")
+    m = IsotonicRegression().fit(df, "x")
+    ask = spark.createDataFrame([(None,), (nan,), (-9.0,), (9.0,), (3.0,), (0.0,)], "x double")
+    assert [r.prediction for r in m.predict(ask).collect()] == [None, None, 0.5, 6.0, 4.0, 0.5]
+    assert [r.prediction for r in IsotonicRegression(outside="null").fit(df, "x").predict(ask).collect()] == [None, None, None, None, 4.0, 0.5]
+    with pytest.raises(EmptyInputError):
+        IsotonicRegression().fit(df.limit(0), "x")
+    for bad in (df.union(spark.createDataFrame([(None, 1.0)], df.schema)), df.union(spark.createDataFrame([(1.0, nan)], df.schema))):
+        with pytest.raises(InvalidParameterError):
+            IsotonicRegression().fit(bad, "x")
+    with pytest.raises(InvalidParameterError):
+        IsotonicRegression().fit(df.withColumn("w", F.lit(0.0)), "x", weight="w")
+
+
+def plain_expected(a, b, n):
+    """Exact fractions over all ways."""
+    from fractions import Fraction
+    from math import comb, log
+
+    out = 0.0
+    for x in a:
+        for y in b:
+            for k in range(max(1, x + y - n), min(x, y) + 1):
+                out += float(Fraction(comb(x, k) * comb(n - x, y - k), comb(n, y))) * k / n * log(n * k / (x * y))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_agreement_equals_plain_version(spark, seed):
+    from collections import Counter
+    from math import comb, log
+
+    from millrace.operators import agreement
+
+    r = np.random.default_rng(seed)
+    a, b = r.integers(0, 5, 80).tolist(), r.integers(0, 4, 80).tolist()
+    b = [x if r.random() < 0.5 else y for x, y in zip(a, b)]
+    rows = [(x if x else None, y, 1) for x, y in zip(a, b)]
+    df = spark.createDataFrame(rows, "label int, prediction int, n int").repartition(3)
+    t, na, nb, n = Counter(zip(a, b)), Counter(a), Counter(b), 80
+    pairs = lambda c: sum(comb(v, 2) for v in c.values())
+    chance = pairs(na) * pairs(nb) / comb(n, 2)
+    mi = sum(v / n * log(v * n / (na[x] * nb[y])) for (x, y), v in t.items())
+    entropy = lambda c: -sum(v / n * log(v / n) for v in c.values())
+    assert agreement.adjusted_rand(df) == pytest.approx((pairs(t) - chance) / ((pairs(na) + pairs(nb)) / 2 - chance))
+    assert agreement.normalized_mutual_information(df) == pytest.approx(2 * mi / (entropy(na) + entropy(nb)))
+    expected = plain_expected(na.values(), nb.values(), n)
+    assert agreement.adjusted_mutual_information(df) == pytest.approx((mi - expected) / ((entropy(na) + entropy(nb)) / 2 - expected))
+
+
+def test_agreement_odd_input(spark):
+    from millrace.operators import agreement
+
+    kind = "label int, prediction string"
+    same = spark.createDataFrame([(i % 4, str(i % 4)) for i in range(20)] + [(None, None)], kind)
+    one = spark.createDataFrame([(1, "x")] * 5, kind)
+    apart = spark.createDataFrame([(i, str(i)) for i in range(6)], kind)
+    for df in (same, one, apart):
+        assert agreement.adjusted_rand(df) == pytest.approx(1) and agreement.adjusted_mutual_information(df) == pytest.approx(1)
+    row = agreement.agreement_table(same.limit(0)).first()
+    assert row.n == 0 and row.adjusted_rand is None and row.homogeneity is None and row.v_measure is None
+    for f in (agreement.adjusted_rand, agreement.adjusted_mutual_information, agreement.normalized_mutual_information):
+        with pytest.raises(EmptyInputError):
+            f(same.limit(0))
+    assert agreement._expected_cell(40_000, 50_000, 100_000) == pytest.approx(0.6 * 0.5 / 200_000, rel=0.02)  # to first order
