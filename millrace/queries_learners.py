@@ -170,7 +170,7 @@ def topic_model_documents(spark, d):
 
 # --- isotonic regression -------------------------------------------------------------------------------------------
 
-_ISO_ROWS = "SELECT c_custkey AS i, floor(c_acctbal / 50)::DOUBLE AS x, c_nationkey + c_acctbal / 1000 AS y FROM customer"
+_ISO_ROWS = "SELECT c_custkey AS i, floor(c_acctbal / 50)::DOUBLE AS x, c_nationkey + c_acctbal / 7000 AS y FROM customer"
 
 
 @query(
@@ -182,7 +182,7 @@ f AS (SELECT b AS k, max(least) AS value FROM l GROUP BY b)
 SELECT i, {_r('value', 6)} AS prediction FROM v JOIN u USING (x) JOIN f USING (k)"""
 )
 def isotonic_regression(spark, d):
-    df = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.floor(F.col("c_acctbal") / 50).cast("double").alias("x"), (F.col("c_nationkey") + F.col("c_acctbal") / 1000).alias("y"))
+    df = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.floor(F.col("c_acctbal") / 50).cast("double").alias("x"), (F.col("c_nationkey") + F.col("c_acctbal") / 7000).alias("y"))
     return rounded(IsotonicRegression().fit(df, "x", "y").predict(df).select("i", "prediction"), 6, "prediction")
 
 
