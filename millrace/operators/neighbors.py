@@ -1,8 +1,9 @@
-"""Nearest neighbours, exact. Few training rows travel to all tasks; many are cut into cells of space.
+"""Nearest neighbours, exact. Few training rows travel to all tasks, as a tree; many are cut into cells of space.
 
 Cells are the leaves of a k-d tree; the box of every cell is exact. A query first meets the rows of its own cell, whose k-th distance bounds
 what it still needs; then only the cells whose boxes lie within that distance. Both meetings are equi-joins by cell, of packed blocks
-of queries with packed blocks of rows, so adaptive execution can split a cell that most queries fall into.
+of queries with packed blocks of rows, so adaptive execution can split a cell that most queries fall into. Inside a block, too, a
+tree spares a query the leaves whose boxes lie beyond its k-th distance.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import Config, InvalidParameterError, require
-from ..plans.frame import checked, number
+from ..plans.frame import checked, number, partitions
 from ..plans.scratch import discard, materialize
 from . import metrics
 
@@ -25,6 +26,12 @@ BLOCK, SMALL = 2048, 32 << 20
 #: Most cells of space, and training rows that their cuts are chosen from. Only the balance of cells depends on the choice.
 CELLS, SAMPLE = 4096, 32768
 
+#: Least rows of a leaf of a tree, queries that walk it at a time, and numbers that a step of the walk holds at most.
+LEAF, WALK, STEP = 16, 4096, 1 << 21
+
+#: Leaves of a tree that a query's first bound comes from.
+BEAM = 4
+
 WEIGHTS = ("uniform", "distance")
 
 #: Weight of a neighbour at distance 0.
@@ -50,13 +57,13 @@ class _Space:
             at[inner] = np.where(x[inner, self.feature[node]] <= self.value[node], self.low[node], self.high[node])
         return -at - 1
 
-    def near(self, x: np.ndarray, reach: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, x: np.ndarray, reach: np.ndarray, home: np.ndarray, root: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Rows and the other cells whose boxes may hold something within their reach (distances are rounded, so a little beyond)."""
         gap = np.zeros((len(x), len(self.numbers)))
         for j in range(x.shape[1]):
             outside = np.maximum(np.maximum(self.boxes[None, :, 0, j] - x[:, j : j + 1], x[:, j : j + 1] - self.boxes[None, :, 1, j]), 0.0)
             gap += outside * outside
-        row, cell = np.nonzero((np.sqrt(gap) <= reach[:, None] * (1 + 1e-9)) & (self.numbers[None, :] != home[:, None]))
+        row, cell = np.nonzero(((np.sqrt(gap) if root else gap) <= reach[:, None] * (1 + 1e-9)) & (self.numbers[None, :] != home[:, None]))
         return row, self.numbers[cell]
 
 
@@ -85,6 +92,114 @@ def _cuts(x: np.ndarray, least: int) -> list[tuple[int, float, int, int]]:
     return nodes
 
 
+class _Tree:
+    """Rows as a balanced k-d tree: halves at the middle of the widest feature, exact boxes on every level. Of equal rows only the k of least id
+    are kept, since no query takes more. Distances are square roots, or squares where `root` is false."""
+
+    def __init__(self, ids: np.ndarray, t: np.ndarray, k: int, root: bool = True):
+        order = np.lexsort((ids, *t.T))
+        ids, t = ids[order], t[order]
+        place = np.arange(len(ids))
+        start = np.maximum.accumulate(np.where(np.append(True, (t[1:] != t[:-1]).any(1)), place, 0)) if len(ids) else place
+        ids, t = ids[place - start < k], t[place - start < k]
+        depth = max(0, (len(ids) // max(LEAF, k)).bit_length() - 1)
+        order, bounds, self.boxes = np.arange(len(ids)), np.array([0, len(ids)]), []
+        for level in range(depth + 1 if len(ids) else 0):
+            rows = t[order]
+            box = np.minimum.reduceat(rows, bounds[:-1]), np.maximum.reduceat(rows, bounds[:-1])
+            self.boxes.append(box)
+            if level < depth:
+                node = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                order = order[np.lexsort((rows[np.arange(len(rows)), (box[1] - box[0]).argmax(1)[node]], node))]
+                bounds = np.sort(np.concatenate([bounds, (bounds[:-1] + bounds[1:]) // 2]))
+        self.ids, self.t, self.bounds, self.k, self.root = ids[order], t[order], bounds, k, root
+
+    def _gap(self, level: int, node: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Distance of every x to the box of its node."""
+        low, high = self.boxes[level]
+        gap = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            outside = np.maximum(np.maximum(low[node, j] - x[:, j], x[:, j] - high[node, j]), 0.0)
+            gap += outside * outside
+        return np.sqrt(gap) if self.root else gap
+
+    def _leaves(self, leaf: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of every x's leaf and their distances; places beyond the leaf are rows of infinite distance numbered -1."""
+        rows = self.bounds[leaf][:, None] + np.arange(np.diff(self.bounds).max())
+        rows = np.where(rows < self.bounds[leaf + 1][:, None], rows, -1)
+        d = np.zeros(rows.shape)
+        for j in range(x.shape[1]):  # differences, not products: distances of equal rows are exactly 0
+            d += (x[:, j : j + 1] - self.t[rows, j]) ** 2
+        return rows, np.where(rows < 0, np.inf, np.sqrt(d) if self.root else d)
+
+    def _best(self, q: np.ndarray, ids: np.ndarray, d: np.ndarray):
+        """The k nearest of every q, ties by id."""
+        order = np.lexsort((ids, d, q))
+        q, ids, d = q[order], ids[order], d[order]
+        start = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+        able = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < self.k
+        return q[able], ids[able], d[able]
+
+    def _all(self, x: np.ndarray, reach: np.ndarray):
+        """Every row against every query, BLOCK rows at a time."""
+        parts = [(np.zeros(0, np.int64), self.ids[:0], np.zeros(0))]
+        for a in range(0, len(x), 256):
+            own = [(np.zeros(0, np.int64), self.ids[:0], np.zeros(0))]
+            for b in range(0, len(self.ids), BLOCK):
+                t, q = self.t[b : b + BLOCK], x[a : a + 256]
+                d = np.zeros((len(q), len(t)))
+                for j in range(t.shape[1]):
+                    d += (q[:, j : j + 1] - t[None, :, j]) ** 2
+                d = np.sqrt(d) if self.root else d
+                row, at = np.nonzero(~(d > reach[a : a + 256, None]))  # no number at all comes last, but comes
+                own.append(self._best(row + a, self.ids[b + at], d[row, at]))
+            parts.append(self._best(*(np.concatenate(z) for z in zip(*own))))
+        return tuple(np.concatenate(z) for z in zip(*parts))
+
+    def nearest(self, x: np.ndarray, reach: np.ndarray | None = None):
+        """(position of the query, id, distance) of the k nearest rows of every query, none beyond its reach."""
+        reach = np.full(len(x), np.inf) if reach is None else reach
+        odd = ~np.isfinite(x).all(1)
+        at, size = np.flatnonzero(~odd), max(1, min(WALK, STEP // (2 * BEAM * max(LEAF, self.k))))
+        parts = [self._walk(at[a : a + size], x, reach) for a in range(0, len(at), size)] if len(self.ids) else []
+        at = np.flatnonzero(odd)
+        q, ids, d = self._all(x[at], reach[at])
+        parts.append((at[q], ids, d))
+        return tuple(np.concatenate(z) for z in zip(*parts))
+
+    def _walk(self, at: np.ndarray, x: np.ndarray, reach: np.ndarray):
+        """The queries at these positions: first the BEAM nearest leaves, whose k-th distance bounds the rest, then down all boxes within it."""
+        own, p, depth = x[at], x.shape[1], len(self.boxes) - 1
+        leaf = np.zeros((len(at), 1), np.int64)
+        for level in range(1, depth + 1):  # boxes touch where a feature repeats a value, so one way down may end far off
+            leaf = (2 * leaf[:, :, None] + np.arange(2)).reshape(len(at), -1)
+            if leaf.shape[1] > BEAM:
+                gap = self._gap(level, leaf.reshape(-1), np.repeat(own, leaf.shape[1], 0)).reshape(leaf.shape)
+                leaf = np.take_along_axis(leaf, np.argsort(gap, axis=1, kind="stable")[:, :BEAM], 1)
+        near = self._leaves(leaf.reshape(-1), np.repeat(own, leaf.shape[1], 0))[1].reshape(len(at), -1)
+        bound = np.minimum(reach[at], np.partition(near, self.k - 1, axis=1)[:, self.k - 1]) if near.shape[1] >= self.k else reach[at]
+        q, node = np.arange(len(at)), np.zeros(len(at), np.int64)
+        for level in range(1, depth + 1):
+            q, node = np.repeat(q, 2), (2 * node[:, None] + np.arange(2)).reshape(-1)
+            able = self._gap(level, node, own[q]) <= bound[q] * (1 + 1e-9)
+            q, node = q[able], node[able]
+            if level >= 5 and 4 * len(q) > len(at) << level:  # boxes spare too little
+                q, ids, d = self._all(own, bound)
+                return at[q], ids, d
+            if len(q) * p > STEP and len(at) > 1:
+                halves = [self._walk(half, x, reach) for half in np.array_split(at, 2)]
+                return tuple(np.concatenate(z) for z in zip(*halves))
+        best = (q[:0], self.ids[:0], np.zeros(0))
+        size = max(1, STEP // (8 * max(LEAF, self.k)))
+        for a in range(0, len(q), size):
+            rows, d = self._leaves(node[a : a + size], own[q[a : a + size]])
+            row, column = np.nonzero((rows >= 0) & (d <= bound[q[a : a + size], None]))
+            found = (q[a + row], self.ids[rows[row, column]], d[row, column])
+            best = self._best(*(np.concatenate(z) for z in zip(best, found)))
+        q, ids, d = best
+        return at[q], ids, d
+
+
 def _doubles(column: pa.Array, p: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p)
 
@@ -123,33 +238,20 @@ def _packed(q: DataFrame) -> DataFrame:
     return rows.select("cell", F.col("rows.q").alias("qs"), F.flatten("rows.x").alias("qx"), F.col("rows.r").alias("rs"))
 
 
-def neighbours(train: DataFrame, queries: DataFrame, k: int, x: Column, train_id: str, query_id: str, n: int | None = None) -> DataFrame:
+def neighbours(train: DataFrame, queries: DataFrame, k: int, x: Column, train_id: str, query_id: str, n: int | None = None, root: bool = True, within: float = float("inf")) -> DataFrame:
     """(query, neighbour, distance, rank): the k nearest training rows of every query, ties by id. x: array of doubles, the same in both.
 
     Training rows go to all tasks while their size allows it (it is computed from the row count); beyond that by cells of
     space. A task holds a block of queries and a block of rows at a time. The result is a written table in the second case.
+    Without `root` distances are squares. Nothing beyond `within`, in the same measure, is found.
     """
     spark = train.sparkSession
     n = train.count() if n is None else n
     p = len(train.select(x.alias("x")).first()["x"]) if n else 1
     q = queries.select(F.col(query_id).cast("long").alias("q"), x.alias("x"))
 
-    def nearest(ids: np.ndarray, t: np.ndarray, qs: np.ndarray, qx: np.ndarray, rs: np.ndarray | None = None):
-        d = np.zeros((len(qx), len(t)))
-        for j in range(t.shape[1]):  # differences, not products: distances of equal rows are exactly 0
-            d += (qx[:, j : j + 1] - t[None, :, j]) ** 2
-        d = np.sqrt(d)
-        m = min(k, len(ids))
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :m]
-        qs, ids, d = np.repeat(qs, m), ids[order].reshape(-1), np.take_along_axis(d, order, 1).reshape(-1)
-        if rs is None:
-            return qs, ids, d
-        able = d <= np.repeat(rs, m)
-        return qs[able], ids[able], d[able]
-
-    def out(parts):
-        a, b, c = (np.concatenate(z) for z in zip(*parts))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["q", "i", "d"])
+    def out(qs, ids, d):
+        return pa.RecordBatch.from_arrays([pa.array(qs), pa.array(ids), pa.array(d)], names=["q", "i", "d"])
 
     def ranked(found: DataFrame) -> DataFrame:
         top = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "i"))).where(F.col("rank") <= k)
@@ -158,28 +260,17 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, x: Column, train_id
     if n * p * 8 <= SMALL:
         rows = train.select(F.col(train_id).cast("long").alias("i"), x.alias("x")).toArrow()
         ids, t = rows.column("i").to_numpy(), _doubles(rows.column("x").combine_chunks(), p) if rows.num_rows else np.zeros((0, p))
-        held = spark.sparkContext.broadcast([(ids[at : at + BLOCK], t[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)])
-
-        def best(qs: np.ndarray, qx: np.ndarray):
-            """The k best of all blocks: so many rows a query leave the task, whatever the number of blocks."""
-            a, b, c = (np.concatenate(z) for z in zip(*[nearest(ids, t, qs, qx) for ids, t in held.value]))
-            order = np.lexsort((b, c, a))
-            a, b, c = a[order], b[order], c[order]
-            start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            able = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < k
-            return a[able], b[able], c[able]
+        held = spark.sparkContext.broadcast(_Tree(ids, t, k, root))
 
         def scan(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    b = batch.slice(at, 256)
-                    qs, qx = b.column("q").to_numpy(), _doubles(b.column("x"), p)
-                    if len(np.unique(qs)) == len(qs) and held.value:
-                        yield out([best(qs, qx)])
-                    elif held.value:
-                        yield out([nearest(ids, t, qs, qx) for ids, t in held.value])
+            for b in batches:
+                qs, qx = b.column("q").to_numpy(), _doubles(b.column("x"), p)
+                if len(held.value.ids):
+                    at, ids, d = held.value.nearest(qx, np.full(len(qs), within))
+                    yield out(qs[at], ids, d)
 
-        return ranked(q.mapInArrow(scan, "q bigint, i bigint, d double"))
+        # Dealt anew: a table of few files or row groups would leave all queries to few tasks.
+        return ranked(q.repartition(partitions(spark), "q").mapInArrow(scan, "q bigint, i bigint, d double"))
 
     blocks, space = _space(train, train_id, x, n, p, k)
     shared = spark.sparkContext.broadcast(space)  # CELLS boxes at most
@@ -188,13 +279,13 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, x: Column, train_id
     def home(batches):
         for b in batches:
             cell = shared.value.cells(_doubles(b.column("x"), p))
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("x"), pa.array(np.full(len(cell), np.inf)), pa.array(cell)], names=["q", "x", "r", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("x"), pa.array(np.full(len(cell), within)), pa.array(cell)], names=["q", "x", "r", "cell"])
 
     def further(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                row, cell = shared.value.near(_doubles(b.column("x"), p), b.column("r").to_numpy(), b.column("cell").to_numpy())
+                row, cell = shared.value.near(_doubles(b.column("x"), p), b.column("r").to_numpy(), b.column("cell").to_numpy(), root)
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column("q").take(rows), b.column("x").take(rows), b.column("r").take(rows), pa.array(cell)], names=["q", "x", "r", "cell"])
 
@@ -203,9 +294,8 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, x: Column, train_id
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 qs, rs, ids = (one.column(c).flatten().to_numpy() for c in ("qs", "rs", "ids"))
-                qx, t = _doubles(one.column("qx"), p), _doubles(one.column("x"), p)
-                for at in range(0, len(qs), 256):
-                    yield out([nearest(ids, t, qs[at : at + 256], qx[at : at + 256], rs[at : at + 256])])
+                at, ids, d = _Tree(ids, _doubles(one.column("x"), p), k, root).nearest(_doubles(one.column("qx"), p), rs)
+                yield out(qs[at], ids, d)
 
     def met(some: DataFrame) -> DataFrame:
         return _packed(some).join(blocks, "cell").select("qs", "qx", "rs", "ids", "x").mapInArrow(meet, "q bigint, i bigint, d double")
@@ -213,7 +303,7 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, x: Column, train_id
     homes = materialize(q.mapInArrow(home, kind), "homes")
     first = materialize(ranked(met(homes)), "first")
     reach = first.where(F.col("rank") == k).select(F.col("query").alias("q"), F.col("distance").alias("reach"))
-    more = homes.join(reach, "q", "left").select("q", "x", F.coalesce("reach", F.lit(float("inf"))).alias("r"), "cell")
+    more = homes.join(reach, "q", "left").select("q", "x", F.coalesce("reach", F.lit(within)).alias("r"), "cell")
     wide = materialize(more.mapInArrow(further, kind), "further")
     discard(homes)
     both = first.select(F.col("query").alias("q"), F.col("neighbour").alias("i"), F.col("distance").alias("d")).union(met(wide))

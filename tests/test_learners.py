@@ -360,6 +360,52 @@ def test_neighbours_by_space_equal_brute_force(spark, monkeypatch, dims, values,
         assert rows == want
 
 
+@pytest.mark.parametrize("lines,copies", [(25, 1), (25, 60), (1, 20_000)])
+def test_neighbours_look_at_few_rows(monkeypatch, lines, copies):
+    """Work a query does not grow with the rows, nor with copies of them; results are those of all rows."""
+    from millrace.operators import neighbors
+
+    r = np.random.default_rng(lines)
+    t = np.stack([r.random(20_000 // copies) * 10, r.integers(0, lines, 20_000 // copies)], 1).repeat(copies, 0)
+    ids, q = r.permutation(len(t)), np.stack([r.random(300) * 12 - 1, r.integers(0, 25, 300)], 1)
+    seen, leaves = [], neighbors._Tree._leaves
+
+    def counted(tree, leaf, x):
+        got = leaves(tree, leaf, x)
+        seen.append(got[0].size)
+        return got
+
+    monkeypatch.setattr(neighbors._Tree, "_leaves", counted)
+    at, found, d = neighbors._Tree(ids, t, 5).nearest(q)
+    assert sum(seen) < 1000 * len(q)
+    every = np.sqrt(((q[:, None] - t[None]) ** 2).sum(2))
+    order = np.lexsort((np.broadcast_to(ids, every.shape), every), axis=1)[:, :5]
+    assert (at == np.arange(300).repeat(5)).all() and (found == ids[order].reshape(-1)).all() and (d == np.take_along_axis(every, order, 1).reshape(-1)).all()
+
+
+def test_neighbours_of_one_partition_are_dealt(spark):
+    from millrace.operators import neighbors
+
+    df, names = frame(spark, np.arange(40.0).reshape(-1, 2), row_id=np.arange(20))
+    got = neighbors.neighbours(df, df.coalesce(1), 2, F.array(*names), "row_id", "row_id")
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["knn_classifier_distance"])
+def test_neighbours_of_repeated_tables(spark, tmp_path, name):
+    """Copies of the rows under other keys: ties by key, as in SQL."""
+    import duckdb
+
+    import millrace.queries as core
+
+    c = duckdb.connect()
+    for table, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        c.execute(f"COPY (SELECT t.* REPLACE (t.{key} + r.range * 100000 AS {key}) FROM '/root/testdata/sf0.001/{table}.parquet' AS t, range(7) AS r) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    got = [tuple(r) for r in core.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(c.execute(core.oracle_sql()[name]).fetchall())
+
+
 def plain_topics(docs, words, topics, passes, rounds, tol):
     """Document by document."""
     from math import lgamma
