@@ -391,7 +391,7 @@ def test_neighbours_of_one_partition_are_dealt(spark):
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["knn_classifier_distance", "knn_classifier_uniform", "knn_regressor_distance"])
+@pytest.mark.parametrize("name", ["knn_classifier_distance", "knn_classifier_uniform", "knn_regressor_distance", "knn_regressor_uniform"])
 def test_neighbours_of_repeated_tables(spark, tmp_path, name):
     """Copies of the rows under other keys: ties by key, as in SQL."""
     import duckdb
