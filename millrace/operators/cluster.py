@@ -16,6 +16,7 @@ from ..core import Config, ConvergenceWarning, InvalidParameterError, require
 from ..functions.rng import key
 from ..plans.frame import checked, number, numbered
 from ..plans.scratch import discard, materialize
+from .neighbors import neighbours
 
 
 def squared_distance(features, center) -> Column:
@@ -150,16 +151,6 @@ def _within(features, eps: float) -> Column:
     return F.sqrt(total) <= F.lit(eps)
 
 
-def _grid_join(left: DataFrame, right: DataFrame, p: int, eps: float) -> DataFrame:
-    """Pairs of rows (x*, y*) within eps: equal cells of a grid of that width, one side copied to the cells around it (first three features)."""
-    dims = min(p, 3)
-    cell = lambda c: F.floor(F.col(c) / F.lit(eps))
-    shifts = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"d{i}") for i, s in enumerate(x)]) for x in product((-1, 0, 1), repeat=dims)])).alias("s")
-    a = left.select("*", shifts).select("*", *[(cell(f"x{i}") + F.col(f"s.d{i}")).alias(f"c{i}") for i in range(dims)]).drop("s")
-    b = right.select("*", *[cell(f"y{i}").alias(f"c{i}") for i in range(dims)])
-    return a.join(b, [f"c{i}" for i in range(dims)]).where(_within([None] * p, eps))
-
-
 def _boxes(p: int, near: bool) -> Column:
     """Least or largest distance of two rows in boxes (lo*, hi*) and (blo*, bhi*). Sums and roundings are those of `_within`, so the bounds hold exactly."""
     total = F.lit(0.0)
@@ -304,8 +295,11 @@ class DBSCANModel:
         """Cluster of the nearest core row within eps (the earlier of equals), else -1."""
         require(df, [*self.features, self.row_id])
         p = len(self.features)
-        x = df.select(F.col(self.row_id).cast("long").alias("q"), *[number(c).alias(f"x{k}") for k, c in enumerate(self.features)])
-        y = self.cores.select(F.col("i").alias("j"), "cluster", *[F.col(f"x{k}").alias(f"y{k}") for k in range(p)])
-        d = sum(((F.col(f"x{k}") - F.col(f"y{k}")) ** 2 for k in range(p)), F.lit(0.0))
-        best = _grid_join(x, y, p, self.eps).groupBy("q").agg(F.min_by("cluster", F.struct(d, F.col("j"))).alias(output))
+        xs = [f"x{k}" for k in range(p)]
+        asked = df.select(F.col(self.row_id).cast("long").alias("q"), *[number(c).alias(n) for c, n in zip(self.features, xs)]).where(~F.exists(F.array(*xs), lambda v: v.isNull() | F.isnan(v)))
+        # Of equal core rows the earliest: copies of a row cost a query nothing.
+        cores = self.cores.groupBy(*[(F.col(n) + 0.0).alias(n) for n in xs]).agg(F.min(F.struct("i", "cluster")).alias("c")).select("c.i", "c.cluster", *xs)
+        cores = materialize(cores, "cores")
+        near = neighbours(cores, asked, 1, F.array(*xs), "i", "q", root=False, within=self.eps**2 * (1 + 1e-9)).where(F.sqrt("distance") <= F.lit(self.eps))
+        best = near.join(cores.select(F.col("i").alias("neighbour"), F.col("cluster").alias(output)), "neighbour").select(F.col("query").alias("q"), output)
         return df.join(best, F.col(f"`{self.row_id}`").cast("long") == F.col("q"), "left").drop("q").withColumn(output, F.coalesce(output, F.lit(-1)))

@@ -404,6 +404,26 @@ def test_grid_search_marks_all_of_equal_means(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(c.execute(f"SELECT alpha, best FROM ({core.oracle_sql()['grid_search']})").fetchall()) == [(100.0, True), (1e7, True), (1e9, True)]
 
 
+def test_density_prediction_meets_no_pairs_of_rows(spark):
+    """Nearest core row, the earlier of equals; no join deals every core row around to every row asked."""
+    from millrace.operators.cluster import DBSCAN
+
+    r = np.random.default_rng(3)
+    t = np.concatenate([r.integers(0, 12, (200, 2)) * 0.5, r.integers(30, 42, (200, 2)) * 0.5]).repeat(2, 0)
+    q = r.integers(-2, 46, (150, 2)) * 0.5 + r.choice([0, 0.25], (150, 2))
+    df, names = frame(spark, t, row_id=np.arange(len(t)))
+    asked, _ = frame(spark, q, row_id=np.arange(len(q)))
+    m = DBSCAN(0.8, 4).fit(df, names)
+    got = m.predict(asked)
+    assert "explode" not in got._jdf.queryExecution().toString().lower()
+    cores = [(x.i, x.cluster, x.x0, x.x1) for x in m.cores.collect()]
+    want = []
+    for a, b in q:
+        d, _, c = min(((a - x) ** 2 + (b - y) ** 2, i, c) for i, c, x, y in cores)
+        want.append(c if d**0.5 <= 0.8 else -1)
+    assert len(set(want)) > 2 and [x.prediction for x in got.orderBy("row_id").collect()] == want
+
+
 @pytest.mark.parametrize("name", ["knn_classifier_distance", "knn_classifier_uniform", "knn_regressor_distance", "knn_regressor_uniform"])
 def test_neighbours_of_repeated_tables(spark, tmp_path, name):
     """Copies of the rows under other keys: ties by key, as in SQL."""
