@@ -12,23 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import Config, ConvergenceWarning, EmptyInputError, InvalidParameterError, require
+from ..plans.frame import partitions
 from ..plans.scratch import discard, materialize
 
 #: Words by topics that the driver and every task hold at most, and entries that a task infers at a time.
-CELLS, ENTRIES = 1 << 24, 1 << 16
+CELLS, ENTRIES = 1 << 24, 1 << 18
 
 #: A word is a run of letters.
 WORD = r"\p{L}+"
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """For positive numbers: up to 6 by recurrence, then the asymptotic series."""
-    x, out = np.array(x, float), np.zeros(np.shape(x))
-    while (low := x < 6).any():
-        out[low] -= 1 / x[low]
-        x[low] += 1
+    """For positive numbers: six steps of the recurrence, then the asymptotic series."""
+    x = np.asarray(x, float)
+    low = sum(1 / (x + i) for i in range(6))
+    x = x + 6
     y = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - low
 
 
 def _expected(rows: np.ndarray) -> np.ndarray:
@@ -36,34 +36,49 @@ def _expected(rows: np.ndarray) -> np.ndarray:
     return np.exp(digamma(rows) - digamma(rows.sum(1))[:, None])
 
 
+def _settled(known: np.ndarray, counts: np.ndarray, alpha: float, rounds: int, tol: float) -> np.ndarray:
+    """Topic weights of documents of similar length: known (documents by places by topics), counts (documents by places, 0 beyond the end)."""
+    out = np.ones((len(known), known.shape[2]))
+    at, weights, rests = np.arange(len(known)), out, np.zeros(len(known), bool)
+    for _ in range(rounds):
+        theta = _expected(weights)
+        ratio = counts / ((known @ theta[:, :, None])[:, :, 0] + 1e-100)
+        new = alpha + theta * (ratio[:, None, :] @ known)[:, 0]
+        new[rests] = weights[rests]
+        rests = rests | (np.abs(new - weights).mean(1) < tol)
+        weights = new
+        if 4 * rests.sum() >= len(rests):  # those that rest leave once they are many
+            out[at] = weights
+            at, weights, known, counts, rests = at[~rests], weights[~rests], known[~rests], counts[~rests], rests[~rests]
+            if not len(at):
+                break
+    out[at] = weights
+    return out
+
+
 def infer(words: np.ndarray, counts: np.ndarray, starts: np.ndarray, beta: np.ndarray, alpha: float, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     """Topic weights of documents (documents by topics), and what each entry adds to its word (entries by topics), before the word's own factor.
 
     Entries of a document follow each other; starts has one more place than there are documents. beta: words by topics. A
-    document rests once its weights move by less than `tol` on average.
+    document rests once its weights move by less than `tol` on average. Documents of similar length are filled up to one, so
+    that a round is two products.
     """
-    n, k = len(starts) - 1, beta.shape[1]
-    weights = np.ones((n, k))
-    owner = np.repeat(np.arange(n), np.diff(starts))
-    active = np.flatnonzero(np.diff(starts) > 0)
-    weights[np.diff(starts) == 0] = alpha
-    known = beta[words]
-    for _ in range(rounds):
-        if not len(active):
-            break
-        mine = np.isin(owner, active)
-        theta = _expected(weights[active])
-        place = np.searchsorted(active, owner[mine])
-        share = theta[place] * known[mine]
-        ratio = counts[mine] / (share.sum(1) + 1e-100)
-        begin = np.flatnonzero(np.append(True, np.diff(place) > 0))
-        new = alpha + np.add.reduceat(share * ratio[:, None], begin, axis=0)
-        moved = np.abs(new - weights[active]).mean(1)
-        weights[active] = new
-        active = active[moved >= tol]
-    theta = _expected(weights)
-    ratio = counts / ((theta[owner] * known).sum(1) + 1e-100)
-    return weights, theta[owner] * ratio[:, None]
+    sizes = np.diff(starts)
+    weights = np.full((len(sizes), beta.shape[1]), alpha)
+    low, high = 0, 16
+    while low < sizes.max(initial=0):
+        some = np.flatnonzero((sizes > low) & (sizes <= high))
+        step = max(1, ENTRIES // high)
+        for docs in (some[i : i + step] for i in range(0, len(some), step)):
+            place = np.arange(sizes[docs].max())
+            inside = place < sizes[docs, None]
+            entry = np.where(inside, starts[docs, None] + place, 0)
+            weights[docs] = _settled(beta[words[entry]], np.where(inside, counts[entry], 0.0), alpha, rounds, tol)
+        low, high = high, high * 3 // 2
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    theta = _expected(weights)[owner]
+    ratio = counts / (np.einsum("ek,ek->e", theta, beta[words]) + 1e-100)
+    return weights, theta * ratio[:, None]
 
 
 def _blocks(batches):
@@ -114,7 +129,8 @@ class LatentDirichlet(Config):
         words = self._vocabulary(df, text)
         if not words:
             raise EmptyInputError("no words that enough documents hold")
-        held = materialize(counted(df.select(F.col(f"`{text}`").alias("t")), words).where(F.size("words") > 0), "counts")
+        # Dealt anew: a table of few files or row groups would leave every pass to few tasks.
+        held = materialize(counted(df.select(F.col(f"`{text}`").alias("t")), words).where(F.size("words") > 0).repartition(partitions(df.sparkSession)), "counts")
         try:
             topics, steps, settled, n = np.random.default_rng(self.seed).gamma(100.0, 0.01, (len(words), self.n_topics)), 0, False, held.count()
             for _ in range(self.max_iter):
@@ -155,7 +171,8 @@ class LatentDirichlet(Config):
             total, seen = np.zeros(beta.shape), 0
             for _, words, counts, starts in _blocks(batches):
                 _, add = infer(words, counts, starts, shared.value, alpha, rounds, tol)
-                np.add.at(total, words, add)
+                for c in range(k):
+                    total[:, c] += np.bincount(words, weights=add[:, c], minlength=len(total))
                 seen += len(starts) - 1
             used = np.flatnonzero(total.any(1))
             columns = [pa.array(np.append(used, -1)), *[pa.array(np.append(total[used, c], float(seen))) for c in range(k)]]

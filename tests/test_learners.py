@@ -404,6 +404,30 @@ def test_grid_search_marks_all_of_equal_means(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(c.execute(f"SELECT alpha, best FROM ({core.oracle_sql()['grid_search']})").fetchall()) == [(100.0, True), (1e7, True), (1e9, True)]
 
 
+def test_topics_settle_in_few_products(monkeypatch):
+    """Documents of similar length go through a round together; passes are dealt to all tasks."""
+    from millrace.operators import topics
+
+    r = np.random.default_rng(2)
+    beta = topics._expected(r.gamma(100, 0.01, (4, 300))).T
+    sizes = np.concatenate([[0], r.integers(1, 120, 300), [0]])
+    starts, words = np.append(0, np.cumsum(sizes)), np.concatenate([np.sort(r.choice(300, n, replace=False)) for n in sizes])
+    counts, calls, settled = r.integers(1, 5, len(words)).astype(float), [], topics._settled
+    monkeypatch.setattr(topics, "_settled", lambda *x: calls.append(len(x[0])) or settled(*x))
+    weights, add = topics.infer(words, counts, starts, beta, 0.25, 50, 1e-3)
+    assert sum(calls) == 300 and len(calls) < 10 and (weights[[0, -1]] == 0.25).all()
+    for d in range(1, 301):
+        w, own, times = np.ones(4), beta[words[starts[d] : starts[d + 1]]], counts[starts[d] : starts[d + 1]]
+        for _ in range(50):
+            e = topics._expected(w[None])[0]
+            new = 0.25 + e * (own.T @ (times / (own @ e)))
+            moved, w = np.abs(new - w).mean(), new
+            if moved < 1e-3:
+                break
+        assert weights[d] == pytest.approx(w, rel=1e-9)
+        assert add[starts[d] : starts[d + 1]].sum() == pytest.approx((topics._expected(w[None])[0] * (times / (own @ topics._expected(w[None])[0]))[:, None]).sum(), rel=1e-9)
+
+
 def test_density_prediction_meets_no_pairs_of_rows(spark):
     """Nearest core row, the earlier of equals; no join deals every core row around to every row asked."""
     from millrace.operators.cluster import DBSCAN
