@@ -162,11 +162,22 @@ class _Tree:
         odd = ~np.isfinite(x).all(1)
         at, size = np.flatnonzero(~odd), max(1, min(WALK, STEP // (2 * BEAM * max(LEAF, self.k))))
         parts = [self._walk(at[a : a + size], x, reach) for a in range(0, len(at), size)] if len(self.ids) else []
-        at = np.flatnonzero(odd)
-        q, ids, d = self._all(x[at], reach[at])
-        parts.append((at[q], ids, d))
+        parts.append(self._odd(np.flatnonzero(odd), x, reach))
         return tuple(np.concatenate(z) for z in zip(*parts))
 
+    def _odd(self, at: np.ndarray, x: np.ndarray, reach: np.ndarray):
+        """The queries at these positions, each with a value that isn't finite: all their distances are infinite or no number, whatever
+        their finite values are, so all rows are searched once a pattern of such values."""
+        own = x[at]
+        kind = np.column_stack([np.select([np.isnan(own), own == np.inf, own == -np.inf], [1, 2, 3], 0), reach[at] < np.inf])
+        _, first, pattern = np.unique(kind, axis=0, return_index=True, return_inverse=True)
+        q, ids, d = self._all(own[first], reach[at[first]])
+        start, n = np.searchsorted(q, np.arange(len(first))), np.bincount(q, minlength=len(first))
+        pattern = pattern.reshape(-1)
+        each = n[pattern]
+        rows = np.repeat(start[pattern] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        return np.repeat(at, each), ids[rows], d[rows]
+
     def _walk(self, at: np.ndarray, x: np.ndarray, reach: np.ndarray):
         """The queries at these positions: first the BEAM nearest leaves, whose k-th distance bounds the rest, then down all boxes within it."""
         own, p, depth = x[at], x.shape[1], len(self.boxes) - 1

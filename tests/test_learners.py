@@ -383,6 +383,35 @@ def test_neighbours_look_at_few_rows(monkeypatch, lines, copies):
     assert (at == np.arange(300).repeat(5)).all() and (found == ids[order].reshape(-1)).all() and (d == np.take_along_axis(every, order, 1).reshape(-1)).all()
 
 
+def test_neighbours_search_all_rows_once_a_pattern(monkeypatch):
+    """Queries with null or infinite values are at infinite distance, or none, of all rows: equal patterns of such values share one search."""
+    from millrace.operators import neighbors
+
+    r = np.random.default_rng(4)
+    t, x, ids = r.integers(0, 50, (3000, 2)).astype(float), r.random((900, 2)), r.permutation(3000)
+    t[r.choice(3000, 3, replace=False), 0] = np.inf
+    x[::3, 0], x[1::9, 1], x[2::9, 0] = np.nan, np.inf, np.inf
+    reach = np.where(np.arange(900) % 2, np.inf, 5.0)
+    searched, every = [], neighbors._Tree._all
+
+    def counted(tree, q, bound):
+        searched.append(len(q))
+        return every(tree, q, bound)
+
+    monkeypatch.setattr(neighbors._Tree, "_all", counted)
+    at, found, d = neighbors._Tree(ids, t, 5).nearest(x, reach)
+    assert sum(searched) <= 6
+    want = {}
+    with np.errstate(invalid="ignore"):
+        for i in np.flatnonzero(~np.isfinite(x).all(1)):
+            far = np.sqrt(((x[i] - t) ** 2).sum(1))
+            order = [j for j in np.lexsort((ids, far)) if not far[j] > reach[i]][:5]
+            want[i] = [*ids[order]], [*far[order]]
+    assert {len(w[0]) for w in want.values()} == {0, 3, 5}
+    for i, (rows, far) in want.items():
+        assert [*found[at == i]] == rows and np.array_equal(d[at == i], far, equal_nan=True)
+
+
 def test_neighbours_of_one_partition_are_dealt(spark):
     from millrace.operators import neighbors
 
