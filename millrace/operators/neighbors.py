@@ -393,9 +393,11 @@ class KNeighborsRegressor(_Config):
 @dataclass(frozen=True)
 class KNeighborsRegressorModel(_Model):
     def predict(self, df: DataFrame, output: str = "prediction", row_id: str = "row_id") -> DataFrame:
-        """Weighted mean of the k nearest labels."""
+        """Weighted mean of the k nearest labels. A row with a null feature has no weights by distance, so its mean is null."""
         best = self._weighted(df, row_id).groupBy("query").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias(output))
-        return df.join(best.withColumnRenamed("query", "_q"), F.col(f"`{row_id}`").cast("long") == F.col("_q")).drop("_q")
+        found = df.join(best.withColumnRenamed("query", "_q"), F.col(f"`{row_id}`").cast("long") == F.col("_q")).drop("_q")
+        known = F.forall(F.array(*[number(c) for c in self.features]), lambda v: v.isNotNull())
+        return found.withColumn(output, F.when(known, F.col(f"`{output}`"))) if self.weights == "distance" else found
 
     def score(self, df: DataFrame, label: str = "label", row_id: str = "row_id") -> float:
         return metrics.r2(self.predict(df, "_p", row_id), label, "_p")

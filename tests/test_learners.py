@@ -492,6 +492,22 @@ def test_neighbours_of_repeated_tables(spark, tmp_path, name):
     assert sorted(got) == sorted(c.execute(core.oracle_sql()[name]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["knn_regressor_distance"])
+def test_neighbours_of_missing_values(spark, tmp_path, name):
+    """Customers without balance, nation or both: as in SQL."""
+    import duckdb
+
+    import millrace.queries as core
+
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey END AS c_nationkey) FROM '/root/testdata/sf0.001/customer.parquet') TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    c.execute(f"COPY (FROM '/root/testdata/sf0.001/supplier.parquet') TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    for table in ("customer", "supplier"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    got = [tuple(r) for r in core.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(c.execute(core.oracle_sql()[name]).fetchall())
+
+
 def plain_topics(docs, words, topics, passes, rounds, tol):
     """Document by document."""
     from math import lgamma
