@@ -6,29 +6,37 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import Config, ConvergenceWarning, EmptyInputError, InvalidParameterError, require
 from ..plans.frame import partitions
 from ..plans.scratch import discard, materialize
 
-#: Words by topics that the driver and every task hold at most, and entries that a task infers at a time.
-CELLS, ENTRIES = 1 << 24, 1 << 18
+#: Words by topics that the driver and every task hold at most, entries that a task infers at a time, those that a product takes, and bytes of text that are split at a time.
+CELLS, ENTRIES, PRODUCT, BYTES = 1 << 24, 1 << 18, 1 << 13, 1 << 23
 
-#: A word is a run of letters.
-WORD = r"\p{L}+"
+#: The tasks over which Spark spreads the files of a scan, where they are large enough.
+TASKS = "spark.sql.files.minPartitionNum"
+
+#: A word is a run of letters; this is what lies between.
+BETWEEN = r"\PL+"
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """For positive numbers: six steps of the recurrence, then the asymptotic series."""
-    x = np.asarray(x, float)
-    low = sum(1 / (x + i) for i in range(6))
-    x = x + 6
-    y = 1 / (x * x)
-    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - low
+    series, z = _series(np.asarray(x, float))
+    return np.log(z) + series
+
+
+def _series(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """digamma(x) - log(z) and z = x + 6; the six steps are one fraction of u = x (x + 5)."""
+    z, u = x + 6, x * (x + 5)
+    y = 1 / (z * z)
+    low = (2 * x + 5) * ((3 * u + 20) * u + 24) / (u * (u + 4) * (u + 6))
+    return -0.5 / z - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - low, z
 
 
 def _expected(rows: np.ndarray) -> np.ndarray:
@@ -36,63 +44,148 @@ def _expected(rows: np.ndarray) -> np.ndarray:
     return np.exp(digamma(rows) - digamma(rows.sum(1))[:, None])
 
 
-def _settled(known: np.ndarray, counts: np.ndarray, alpha: float, rounds: int, tol: float) -> np.ndarray:
-    """Topic weights of documents of similar length: known (documents by places by topics), counts (documents by places, 0 beyond the end)."""
-    out = np.ones((len(known), known.shape[2]))
-    at, weights, rests = np.arange(len(known)), out, np.zeros(len(known), bool)
+def _settled(sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, starts: np.ndarray, beta: np.ndarray, alpha: float, rounds: int, tol: float) -> np.ndarray:
+    """Topic weights of documents by their sizes, none 0, and starts.
+
+    Documents of similar length are filled up to one, topics by places, so that a round is two products for some thousand
+    entries; what a round does to weights it does to all documents at once.
+    """
+    k = beta.shape[1]
+    order = np.argsort(sizes, kind="stable")
+    bounds, high = [0], 2
+    while bounds[-1] < len(order):
+        bounds.append(int(np.searchsorted(sizes[order], high, side="right")))
+        high = high * 3 // 2
+    groups = []
+    for docs in (order[a:b] for a, b in zip(bounds, bounds[1:]) if a < b):
+        place = np.arange(sizes[docs].max())
+        inside = place < sizes[docs, None]
+        entry = np.where(inside, starts[docs, None] + place, 0)
+        groups.append((np.ascontiguousarray(beta[words[entry]].transpose(0, 2, 1)), np.where(inside, counts[entry], 0.0)))
+    out = np.ones((len(sizes), k))
+    at, weights, rests = order, out[order], np.zeros(len(order), bool)
+    # Weights add up to k at first and to this ever after.
+    whole = np.exp(-digamma(k * alpha + np.add.reduceat(counts, starts)))[order] if len(order) else np.zeros(0)
+    scale = np.full(len(order), np.exp(-digamma(np.array(float(k)))))
     for _ in range(rounds):
-        theta = _expected(weights)
-        ratio = counts / ((known @ theta[:, :, None])[:, :, 0] + 1e-100)
-        new = alpha + theta * (ratio[:, None, :] @ known)[:, 0]
+        series, z = _series(weights)
+        theta = z * np.exp(series) * scale[:, None]
+        new = np.empty_like(theta)
+        low = 0
+        for known, times in groups:
+            step = max(1, PRODUCT // known.shape[2])
+            for i in range(0, len(known), step):
+                some, to = known[i : i + step], min(i + step, len(known))
+                ratio = np.vecmat(theta[low + i : low + to], some)
+                ratio += 1e-100
+                np.divide(times[i:to], ratio, out=ratio)
+                np.matvec(some, ratio, out=new[low + i : low + to])
+            low += len(known)
+        new *= theta
+        new += alpha
         new[rests] = weights[rests]
-        rests = rests | (np.abs(new - weights).mean(1) < tol)
-        weights = new
+        rests |= np.abs(new - weights).mean(1) < tol
+        weights, scale = new, whole
         if 4 * rests.sum() >= len(rests):  # those that rest leave once they are many
             out[at] = weights
-            at, weights, known, counts, rests = at[~rests], weights[~rests], known[~rests], counts[~rests], rests[~rests]
+            go, low, left = ~rests, 0, []
+            for known, times in groups:
+                stay = go[low : low + len(known)]
+                low += len(known)
+                if stay.any():
+                    left.append((known[stay], times[stay]))
+            groups, at, weights, whole, rests = left, at[go], weights[go], whole[go], rests[go]
+            scale = whole
             if not len(at):
                 break
     out[at] = weights
     return out
 
 
-def infer(words: np.ndarray, counts: np.ndarray, starts: np.ndarray, beta: np.ndarray, alpha: float, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    """Topic weights of documents (documents by topics), and what each entry adds to its word (entries by topics), before the word's own factor.
+def _weights(words: np.ndarray, counts: np.ndarray, starts: np.ndarray, beta: np.ndarray, alpha: float, rounds: int, tol: float) -> np.ndarray:
+    """Topic weights of documents: documents by topics. Entries of a document follow each other; starts has one more place than there are documents.
 
-    Entries of a document follow each other; starts has one more place than there are documents. beta: words by topics. A
-    document rests once its weights move by less than `tol` on average. Documents of similar length are filled up to one, so
-    that a round is two products.
+    beta: words by topics. A document rests once its weights move by less than `tol` on average.
     """
     sizes = np.diff(starts)
     weights = np.full((len(sizes), beta.shape[1]), alpha)
-    low, high = 0, 16
-    while low < sizes.max(initial=0):
-        some = np.flatnonzero((sizes > low) & (sizes <= high))
-        step = max(1, ENTRIES // high)
-        for docs in (some[i : i + step] for i in range(0, len(some), step)):
-            place = np.arange(sizes[docs].max())
-            inside = place < sizes[docs, None]
-            entry = np.where(inside, starts[docs, None] + place, 0)
-            weights[docs] = _settled(beta[words[entry]], np.where(inside, counts[entry], 0.0), alpha, rounds, tol)
-        low, high = high, high * 3 // 2
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    theta = _expected(weights)[owner]
-    ratio = counts / (np.einsum("ek,ek->e", theta, beta[words]) + 1e-100)
-    return weights, theta * ratio[:, None]
+    docs = np.flatnonzero(sizes)
+    weights[docs] = _settled(sizes[docs], words, counts, starts[docs], beta, alpha, rounds, tol)
+    return weights
+
+
+def infer(words: np.ndarray, counts: np.ndarray, starts: np.ndarray, beta: np.ndarray, alpha: float, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights of documents, and what each entry adds to its word (entries by topics), before the word's own factor."""
+    weights = _weights(words, counts, starts, beta, alpha, rounds, tol)
+    theta = np.repeat(_expected(weights), np.diff(starts), axis=0)
+    theta *= (counts / (np.einsum("ek,ek->e", theta, beta[words]) + 1e-100))[:, None]
+    return weights, theta
+
+
+def _cuts(ends: np.ndarray, size: int):
+    """(from, to) of neighbours that together have about this size; ends has one more place than there are."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
+        yield at, to
+        at = to
 
 
 def _blocks(batches):
-    """(record batch, words, counts, starts) with about ENTRIES entries each."""
+    """(words, counts, starts, copies) with about ENTRIES entries each."""
     for batch in batches:
-        w, c = batch.column("words"), batch.column("counts")
-        ends = w.offsets.to_numpy()
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, side="right")) - 1)
+        for at, to in _cuts(batch.column("words").offsets.to_numpy(), ENTRIES):
             part = batch.slice(at, to - at)
             words, counts = (part.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("words", "counts"))
-            yield part, words, counts.astype(float), (ends[at : to + 1] - ends[at]).astype(np.int64)
-            at = to
+            ends = part.column("words").offsets.to_numpy()
+            yield words, counts.astype(float), (ends - ends[0]).astype(np.int64), part.column("copies").to_numpy().astype(float)
+
+
+def _texts(texts: pa.Array):
+    """Parts of about BYTES bytes."""
+    for at, to in _cuts(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())), BYTES):
+        yield texts.slice(at, to - at)
+
+
+def _owners(lists: pa.Array) -> np.ndarray:
+    """The list of every element."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+
+
+def _holders(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of these texts, and how many texts hold each. Every piece between spaces is split into words once."""
+    rough = pc.split_pattern(texts, " ")
+    pieces = rough.flatten().dictionary_encode()
+    split = pc.split_pattern_regex(pieces.dictionary, BETWEEN)
+    names = split.flatten().dictionary_encode()
+    begin = np.append(0, np.cumsum(np.bincount(_owners(split), minlength=len(split))))
+    piece, number = pieces.indices.to_numpy(), names.indices.to_numpy()
+    sizes = (begin[1:] - begin[:-1])[piece]
+    at = np.arange(sizes.sum()) + np.repeat(begin[piece] - np.cumsum(sizes) + sizes, sizes)
+    held = np.sort(np.repeat(_owners(rough), sizes) * len(names.dictionary) + number[at])  # np.unique would hash, which takes twenty times as long
+    held = held[np.diff(held, prepend=-1) > 0]
+    n = np.bincount(held % max(1, len(names.dictionary)), minlength=len(names.dictionary))
+    some = pc.not_equal(names.dictionary, "")
+    return names.dictionary.filter(some), n[some.to_numpy(zero_copy_only=False)]
+
+
+def _numbers(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the numbers of its known words, ascending, how often each comes, and where each text starts.
+
+    What lies between spaces and is no known word is split at all that is no letter.
+    """
+    known = known.cast(texts.type)
+    rough = pc.split_pattern(texts, " ")
+    pieces, owner = rough.flatten(), _owners(rough)
+    found = pc.index_in(pieces, value_set=known)
+    rest = pc.is_null(found)
+    split = pc.split_pattern_regex(pieces.filter(rest), BETWEEN)
+    again = pc.index_in(split.flatten(), value_set=known)
+    rest = rest.to_numpy(zero_copy_only=False)
+    owner = np.concatenate([owner[~rest], owner[rest][_owners(split)][pc.is_valid(again).to_numpy(zero_copy_only=False)]])
+    number = np.concatenate([x.drop_null().to_numpy() for x in (found, again)])
+    key, times = np.unique(owner * len(known) + number, return_counts=True)
+    return key % len(known), times, np.append(0, np.cumsum(np.bincount(key // len(known), minlength=len(texts))))
 
 
 @dataclass(frozen=True)
@@ -118,7 +211,7 @@ class LatentDirichlet(Config):
     def fit(self, df: DataFrame, text: str = "text") -> "TopicModel":
         """Null and empty texts, and those without known words, teach nothing; whole texts count.
 
-        Documents are counted once into a written table of word numbers. A step sends word by topic sums to the driver, as many as the model
+        Documents are counted once into a written table of word numbers, where those of the same counts are one row. A step sends word by topic sums to the driver, as many as the model
         holds. Ends when no topic moves by more than `tol` of its mass, or with a warning.
         """
         require(df, [text])
@@ -130,9 +223,12 @@ class LatentDirichlet(Config):
         if not words:
             raise EmptyInputError("no words that enough documents hold")
         # Dealt anew: a table of few files or row groups would leave every pass to few tasks.
-        held = materialize(counted(df.select(F.col(f"`{text}`").alias("t")), words).where(F.size("words") > 0).repartition(partitions(df.sparkSession)), "counts")
+        dealt = counted(df.select(F.col(f"`{text}`").alias("t")), words).repartition(partitions(df.sparkSession), "words", "counts")
+        held, conf, cores = materialize(dealt.groupBy("words", "counts").agg(F.sum("copies").alias("copies")), "counts"), df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
+        tasks = conf.get(TASKS, None)
+        conf.set(TASKS, str(max(int(tasks or 0), 4 * cores)))  # else Spark packs files to a task a core and one more, for which all wait
         try:
-            topics, steps, settled, n = np.random.default_rng(self.seed).gamma(100.0, 0.01, (len(words), self.n_topics)), 0, False, held.count()
+            topics, steps, settled, n = np.random.default_rng(self.seed).gamma(100.0, 0.01, (len(words), self.n_topics)), 0, False, held.agg(F.sum("copies")).first()[0] or 0
             for _ in range(self.max_iter):
                 before = topics
                 for b in range(self.batches):
@@ -148,6 +244,7 @@ class LatentDirichlet(Config):
                 if settled:
                     break
         finally:
+            conf.unset(TASKS) if tasks is None else conf.set(TASKS, tasks)
             discard(held)
         if not settled:
             warnings.warn("the topic model stopped at max_iter", ConvergenceWarning, stacklevel=2)
@@ -155,11 +252,17 @@ class LatentDirichlet(Config):
 
     def _vocabulary(self, df: DataFrame, text: str) -> list[str]:
         """The most frequent words, then by name: counts are combined in tasks, the largest go to the driver as they are the model's."""
-        t = df.select(F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
-        n = t.count()
-        words = t.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(f"({WORD})"), 1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-        some = words.where((F.col("n") >= self.min_df) & (F.col("n") <= self.max_df * n)).orderBy(F.col("n").desc(), "w").limit(self.vocabulary)
-        return sorted(r.w for r in some.collect())
+        t = df.select(F.lower(F.col(f"`{text}`")).alias("t")).where("t IS NOT NULL")
+
+        def part(batches):
+            for b in batches:
+                for texts in _texts(b.column("t")):
+                    names, n = _holders(texts)
+                    yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64())], names=["w", "n"])
+
+        words = t.mapInArrow(part, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_df)
+        some = words if self.max_df == 1 else words.where(F.col("n") <= self.max_df * t.count())
+        return sorted(r.w for r in some.orderBy(F.col("n").desc(), "w").limit(self.vocabulary).collect())
 
     def _sums(self, rows: DataFrame, topics: np.ndarray) -> tuple[int, np.ndarray]:
         """Documents seen, and by word and topic what they add."""
@@ -169,11 +272,12 @@ class LatentDirichlet(Config):
 
         def part(batches):
             total, seen = np.zeros(beta.shape), 0
-            for _, words, counts, starts in _blocks(batches):
+            for words, counts, starts, copies in _blocks(batches):
                 _, add = infer(words, counts, starts, shared.value, alpha, rounds, tol)
+                add *= np.repeat(copies, np.diff(starts))[:, None]
                 for c in range(k):
                     total[:, c] += np.bincount(words, weights=add[:, c], minlength=len(total))
-                seen += len(starts) - 1
+                seen += copies.sum()
             used = np.flatnonzero(total.any(1))
             columns = [pa.array(np.append(used, -1)), *[pa.array(np.append(total[used, c], float(seen))) for c in range(k)]]
             yield pa.RecordBatch.from_arrays(columns, names=["w", *[f"t{c}" for c in range(k)]])
@@ -188,26 +292,26 @@ class LatentDirichlet(Config):
 
 
 def counted(texts: DataFrame, words: list[str]) -> DataFrame:
-    """Adds to rows (t, ...) the numbers of their known words, ascending, and how often each comes; `t` goes."""
-    others = [c for c in texts.columns if c != "t"]
-    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # a model's words
+    """Of texts `t` that hold known words: these words' numbers, ascending, how often each comes, and how many neighbouring texts (copies) have the same."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)  # a model's words
 
     def rows(batches):
-        known = shared.value
+        known = pa.array(shared.value, pa.string())
         for b in batches:
-            lists, counts, lens = [], [], [0]
-            for found in b.column("w").to_pylist():
-                number, times = np.unique([known[w] for w in found or () if w in known], return_counts=True)
-                lists.append(number.astype(np.int32))
-                counts.append(times.astype(np.int32))
-                lens.append(lens[-1] + len(number))
-            flat = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (lists, counts)]
-            arrays = [pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(f.astype(np.int32))) for f in flat]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *arrays], names=[*others, "words", "counts"])
-
-    kinds = dict(texts.dtypes)
-    d = texts.select(*[F.col(f"`{c}`") for c in others], F.regexp_extract_all(F.lower("t"), F.lit(f"({WORD})"), 1).alias("w"))
-    return d.mapInArrow(rows, ", ".join([*[f"`{c}` {kinds[c]}" for c in others], "words array<int>", "counts array<int>"]))
+            for part in _texts(b.column("t")):
+                number, times, starts = _numbers(part, known)
+                number, times, copies, first = number.astype(np.int32), times.astype(np.int32), {}, []
+                for i, j in zip(starts[:-1], starts[1:]):
+                    if i < j:
+                        key = number[i:j].tobytes() + times[i:j].tobytes()
+                        if key not in copies:
+                            first.append((i, j))
+                        copies[key] = copies.get(key, 0) + 1
+                lens = pa.array(np.cumsum([0, *[j - i for i, j in first]]), pa.int32())
+                flat = [np.concatenate([x[i:j] for i, j in first]) if first else x[:0] for x in (number, times)]
+                yield pa.RecordBatch.from_arrays([*[pa.ListArray.from_arrays(lens, pa.array(x)) for x in flat], pa.array(copies.values(), pa.int64())], names=["words", "counts", "copies"])
+
+    return texts.select(F.lower("t").alias("t")).mapInArrow(rows, "words array<int>, counts array<int>, copies bigint")
 
 
 @dataclass(frozen=True)
@@ -231,21 +335,18 @@ class TopicModel:
         require(df, [self.text])
         topics = np.array(self.topics)
         beta, rounds, tol = _expected(topics.T).T, self.inner_rounds, self.tol
-        shared = df.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(self.words)}, beta))
-
-        @F.pandas_udf("array<double>")
-        def shares(texts: pd.Series) -> pd.Series:
-            known, beta = shared.value
-            found = [np.unique([known[w] for w in (t if t is not None else ()) if w in known], return_counts=True) for t in texts]
-            starts = np.cumsum([0, *[len(a) for a, _ in found]])
-            out = []
-            for at in range(0, len(found), 1024):
-                part = found[at : at + 1024]
-                words, counts = (np.concatenate([x[i] for x in part]) for i in range(2))
-                begin = starts[at : at + len(part) + 1] - starts[at]
-                weights, _ = infer(words.astype(np.int64), counts.astype(float), begin, beta, 1 / beta.shape[1], rounds, tol)
-                out += list(weights / weights.sum(1, keepdims=True))
-            return pd.Series(out)
-
-        words: Column = F.regexp_extract_all(F.lower(F.col(f"`{self.text}`")), F.lit(f"({WORD})"), 1)
-        return df.withColumn(output, shares(words))
+        shared = df.sparkSession.sparkContext.broadcast((self.words, beta))
+
+        @F.arrow_udf("array<double>")
+        def shares(texts: pa.Array) -> pa.Array:
+            names, beta = shared.value
+            known, k, out = pa.array(names, pa.string()), beta.shape[1], [np.zeros((0, beta.shape[1]))]
+            for part in _texts(texts):
+                words, counts, starts = _numbers(part, known)
+                for i, j in _cuts(starts, ENTRIES):
+                    own = slice(starts[i], starts[j])
+                    weights = _weights(words[own], counts[own].astype(float), starts[i : j + 1] - starts[i], beta, 1 / k, rounds, tol)
+                    out.append(weights / weights.sum(1, keepdims=True))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * k, pa.int32()), pa.array(np.concatenate(out).ravel()))
+
+        return df.withColumn(output, shares(F.lower(F.col(f"`{self.text}`"))))

@@ -590,6 +590,42 @@ def test_topics_odd_input(spark):
             LatentDirichlet().fit(rows)
 
 
+def test_topic_words_and_copies(spark):
+    """Texts are split in Arrow, not by a regular expression for each row; texts of the same counts are one row of the table that passes read."""
+    import re
+
+    import pyarrow as pa
+
+    from millrace.operators import topics
+
+    texts = ["a b  a", None, "", "b,a a", "ab\ta-b, c", "Äpfel äpfel über1über", "ñ" * 3 + " 中文 中文,x", " ", "12 ,.", "c c c " * 50, "no known word"]
+    known = sorted({"a", "b", "ab", "äpfel", "über", "ñññ", "中文"})
+    lower = [t if t is None else t.lower() for t in texts]
+    found = [re.findall(r"[^\W\d_]+", t or "") for t in lower]
+    words, counts, starts = topics._numbers(pa.array(lower), pa.array(known))
+    for i, f in enumerate(found):
+        want = [(n, f.count(w)) for n, w in enumerate(known) if w in f]
+        assert list(zip(words[starts[i] : starts[i + 1]], counts[starts[i] : starts[i + 1]])) == want
+    names, n = topics._holders(pa.array(lower))
+    assert dict(zip(names.to_pylist(), n.tolist())) == {w: sum(w in f for f in found) for f in found for w in f}
+    assert not len(topics._holders(pa.array([None, ""], pa.string()))[0]) and not len(topics._numbers(pa.array([], pa.string()), pa.array(known))[0])
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    rows = {(tuple(r.words), tuple(r.counts)): r.copies for r in topics.counted(df, known).collect()}
+    assert rows[(known.index("a"), known.index("b")), (2, 1)] == 2 and sum(rows.values()) == 5
+    docs, _, _ = topic_docs(n=12)
+    held, real = [], topics.materialize
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topics, "materialize", lambda d, name: held.append(real(d, name)) or held[-1])
+        patch.setattr(topics, "discard", lambda *x: held.append(sorted(r.copies for r in x[0].collect())))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", ConvergenceWarning)
+            m = topics.LatentDirichlet(n_topics=3, max_iter=2, seed=4, tol=1e-6).fit(spark.createDataFrame([(d + "." * i,) for d in docs for i in range(5)] + [(docs[0],)], "text string").repartition(4))
+    assert held[1] == [5] * 11 + [6] and spark.conf.get(topics.TASKS, None) is None
+    start = np.random.default_rng(4).gamma(100.0, 0.01, (len(m.words), 3))
+    assert np.array(m.topics) == pytest.approx(plain_topics([d.split() for d in docs for _ in range(5)] + [docs[0].split()], list(m.words), start, 2, 100, 1e-6), rel=1e-4)
+    assert "regexp" not in m.transform(df.withColumnRenamed("t", "text"))._jdf.queryExecution().toString()
+
+
 def plain_isotonic(x, y, w):
     """The min-max formula at every distinct value."""
     values = np.unique(x)
